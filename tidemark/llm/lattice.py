@@ -109,10 +109,12 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, tables: int, width: int) -> np.
     todo = np.ones(len(a), bool)
     for t in range(tables):
         x, y = a[:, t * width : (t + 1) * width], b[:, t * width : (t + 1) * width]
-        for home, other in ((x[:, 0], y), (y[:, 0], x)):
-            hit = todo & (other == home[:, None]).any(axis=1)
-            out[hit] = home[hit]
-            todo &= ~hit
+        p, q = x[:, 0], y[:, 0]
+        in_p, in_q = (y == p[:, None]).any(axis=1), (x == q[:, None]).any(axis=1)
+        cell = np.where(in_p & in_q, np.minimum(p, q), np.where(in_p, p, q))
+        hit = todo & (in_p | in_q)
+        out[hit] = cell[hit]
+        todo &= ~hit
     return out
 
 
