@@ -11,15 +11,22 @@ from tidemark.llm.lattice import embedding_links
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.packing import pack
+from tidemark.llm.private import private_spans
 from tidemark.llm.repetition import quality_rules
 from tidemark.llm.substring import substring_dedup
 from tidemark.llm.suffix import suffix_dedup
+from tidemark.llm.toxicity import toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -29,6 +36,13 @@ def op3_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_links(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = private_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda base: F.array_join(F.transform(F.filter("pii_spans", lambda s: s["base"] | F.lit(not base)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    counts = [F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
+    return out.select("doc_id", *counts, F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -52,8 +66,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_lattice_near_dedup": op3_lattice_near_dedup,
+    "op4_private_data": op4_private_data,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_systematic_mixing": op7_systematic_mixing,
