@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.lattice import embedding_links
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources
@@ -61,6 +62,11 @@ def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "q_text", "q_meta", F.col("q_score").alias("score"), F.col("q_kept").alias("kept"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_circulant_minhash": op6_circulant_minhash,
     "op7_systematic_mixing": op7_systematic_mixing,
     "op8_repetition_rules": op8_repetition_rules,
+    "op9_co_training": op9_co_training,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
