@@ -1,12 +1,57 @@
-"""The corpus pipeline: quality, near duplicates, personal data, mixture, packing."""
+"""The corpus pipeline: quality, near duplicates, personal data, mixture, packing. Part of the subpackage llm."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from tidemark.llm.cotraining import quality_scores
+from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix_sources
+from tidemark.llm.packing import pack
+from tidemark.llm.private import private_spans, redact
+from tidemark.llm.store import Store
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_scores(docs, labels).filter("q_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays. Rows that repeat an id and were kept all stay."""
+    kept = Store(spark, "kept").put(near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct(), "ids")
+    alone = docs.filter("doc_id is null")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(alone)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind in brackets, and the recorded length follows."""
+    out = redact(private_spans(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mixture takes it."""
+    mixed = mix_sources(docs).filter("mix_copies > 0")
+    return mixed.withColumn("mix_copies", F.explode(F.sequence(F.lit(1).cast("long"), "mix_copies"))).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences: one row per piece of a document with its bin, place and the bin's length."""
+    return pack(docs)
+
+
+STAGES = [("quality classifier", quality), ("near duplicates", near_dedup), ("personal data", personal_data), ("mixture", mixture), ("packing", packing)]
+
+#: The classifier, the signatures and the packing are no SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written and read again."""
+    docs, store = spark.read.parquet(f"{sf_dir}/documents.parquet"), Store(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = store.put(stage(spark, docs, sf_dir), f"stage-{k}")
+    return docs
