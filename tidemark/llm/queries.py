@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import twins
 from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.lattice import embedding_links
 from tidemark.llm.minhash import near_duplicates
@@ -83,4 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_co_training": op9_co_training,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+#: The others are learnt models, boosted trees, suffix arrays or packings; tests hold them against brute force, planted
+#: cases or held-out accuracy.
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": twins.SUBSTRING,
+    "op3_lattice_near_dedup": twins.LATTICE,
+    "op5_suffix_dedup": twins.SUFFIX,
+    "op6_circulant_minhash": twins.MINHASH,
+    "op7_systematic_mixing": twins.MIXING,
+}
