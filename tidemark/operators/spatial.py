@@ -173,7 +173,8 @@ def split_inside(lines: DataFrame, polygons: DataFrame, key: str, keep_inside: b
     spreadout = shapes.withColumn("gx", F.explode(spread(F.col("x0"), F.col("x1"), size))).withColumn("gy", F.explode(spread(F.col("y0"), F.col("y1"), size)))
     low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
     wide = lines.withColumn("gx", F.explode(spread(low("ax", "bx"), high("ax", "bx"), size))).withColumn("gy", F.explode(spread(low("ay", "by"), high("ay", "by"), size)))
-    pairs = wide.join(spreadout, ["gx", "gy"]).drop("gx", "gy", "x0", "x1", "y0", "y1").distinct()
+    meet = (low("ax", "bx") <= F.col("x1")) & (high("ax", "bx") >= F.col("x0")) & (low("ay", "by") <= F.col("y1")) & (high("ay", "by") >= F.col("y0"))
+    pairs = wide.join(spreadout, ["gx", "gy"]).filter(meet).drop("gx", "gy", "x0", "x1", "y0", "y1").distinct()
     rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
 
     def cut(e: Column) -> Column:

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import models, panels, scores, spatials, tabular  # noqa: F401
+    from tidemark.plans import lines, models, panels, scores, spatials, tabular  # noqa: F401
 
 
 load()
