@@ -28,9 +28,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             up = hooks.select(F.col("root").alias("to"), F.col("to").alias("next"))
             further = store.put(hooks.join(up, "to", "left").select("root", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), f"hooks-{level}-{jumps}")
             jumping = bool(further.filter("moved").take(1))
+            store.drop(f"hooks-{level}" if jumps == 0 else f"hooks-{level}-{jumps - 1}")
             hooks, jumps = further.select("root", "to"), jumps + 1
         labels = store.put(labels.join(hooks.withColumnRenamed("root", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component")), f"labels-{level}")
         to_a, to_b = hooks.select(F.col("root").alias("a"), F.col("to").alias("ta")), hooks.select(F.col("root").alias("b"), F.col("to").alias("tb"))
         moved = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(F.coalesce("ta", "a").alias("a"), F.coalesce("tb", "b").alias("b")).filter("a <> b")
         edges = store.put(moved.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"edges-{level}")
+        store.drop(f"hooks-{level}-{jumps - 1}", f"labels-{level - 1}", f"edges-{level - 1}")
+    store.drop(f"edges-{level}")
     return labels

@@ -189,6 +189,7 @@ def embedding_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TA
     full = pairs.join(hashed, ["row", "k"])
     found = full.groupBy("cell", "block", "other").applyInArrow(_compare(cosine, kind, tables, width), "row long, k int, links long, to long")
     found = store.put(found.groupBy("row", "k", "to").agg(F.sum("links").alias("links")), "found")
+    store.drop("hashed", "load")
     groups = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")), "lattice-components")
     links = found.groupBy(F.col("row").alias("vec_id"), "k").agg(F.sum("links").alias("n"))
     out = base.select("vec_id", "k").join(links, ["vec_id", "k"], "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")

@@ -116,13 +116,13 @@ def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR, id_col: st
     keyed = store.put(base.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"), F.xxhash64("text").alias("tkey")), "keys")
     classes = store.put(keyed.groupBy("sha").agg(F.min("doc_id").alias("src_doc"), F.max("doc_id").alias("last")).filter("src_doc < last").drop("last"), "classes")
     copies = store.put(keyed.join(classes, "sha").filter("doc_id > src_doc").select("doc_id", "tkey", "src_doc").distinct(), "copies")
-    store.drop("keys"), store.drop("classes")
+    store.drop("keys", "classes")
 
     firsts = base.withColumn("tkey", F.xxhash64("text")).join(copies.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti").select("doc_id", "text")
     anchors = store.put(firsts.mapInArrow(_anchors(k, anchor), "doc_id long, gram long, pos int"), "anchors")
     shared = store.put(anchors.groupBy("gram").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("gram"), "shared")
     marks = store.put(anchors.join(shared, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("pos").alias("marks")), "marks")
-    store.drop("anchors"), store.drop("shared")
+    store.drop("anchors", "shared")
 
     text = base.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
     edges = store.put(text.join(marks, "doc_id").mapInArrow(_edges(k, anchor), "edge long, doc_id long, tkey long, pos int, ends long"), "edges")
@@ -145,12 +145,12 @@ def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR, id_col: st
     seen = seen.withColumn("head", F.when(~F.coalesce(same, F.lit(False)), F.col("pos"))).withColumn("start", F.last("head", True).over(in_doc))
     spans = seen.groupBy("doc_id", "tkey", "start").agg((F.count("*") + (k - 1)).cast("int").alias("length"), F.first("src_doc").alias("src_doc"), F.first("src_tkey").alias("src_tkey"), F.min("src_pos").alias("src_start"))
     spans = store.put(spans, "spans")
-    for name in ("edges", "graph", "paths"):
-        store.drop(name)
+    store.drop("edges", "graph", "paths")
 
     asked = spans.select("doc_id", "tkey", "start", "length").union(spans.select("src_doc", "src_tkey", "src_start", "length")).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "length")).alias("asked"))
     asked = store.put(asked.select("doc_id", "tkey", F.col("asked.start").alias("starts"), F.col("asked.length").alias("lengths")), "asked")
     digests = store.put(text.join(asked, ["doc_id", "tkey"]).mapInArrow(_digests, "doc_id long, tkey long, start int, length int, digest binary").distinct(), "digests")
+    store.drop("asked")
     theirs = digests.select(F.col("doc_id").alias("src_doc"), F.col("tkey").alias("src_tkey"), F.col("start").alias("src_start"), "length", F.col("digest").alias("src_digest"))
     verified = spans.join(digests, ["doc_id", "tkey", "start", "length"]).join(theirs, ["src_doc", "src_tkey", "src_start", "length"]).filter("digest = src_digest")
     whole = copies.select("doc_id", "tkey", F.lit(0).alias("start"), F.lit(-1).alias("length"), "src_doc", F.lit(0).alias("src_start"))
