@@ -32,7 +32,7 @@ from tidemark.llm.textscan import BASES, Words, mix, prefix_sums, rolling, span_
 
 SHINGLE = 5
 #: Members of a bucket that one block holds; coordinates by which members of mixed buckets are compared.
-BLOCK, PROBE = 1024, 800
+BLOCK, PROBE = 512, 800
 PERCENT = 75
 BANDS, ROWS, RING, SEED = 40, 5, 1 << 20, 20240301
 LOWER = np.arange(256, dtype=np.uint8)
