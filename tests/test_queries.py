@@ -12,6 +12,11 @@ from tidemark.plans.registry import ORACLES, QUERIES
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    return "/root/testdata/sf0.01"
+
+
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         return "nan" if math.isnan(v) else round(float(v), 6) + 0.0

@@ -100,7 +100,7 @@ def sta13_sta14_mixed_model(i: Inputs) -> DataFrame:
 
 @query()
 def sta15_sta16_filtered_model(i: Inputs) -> DataFrame:
-    points = i.sites.join(i.hours.select("park_num").distinct(), "park_num").orderBy("park_num").limit(300).select(F.col("park_num").alias("id"), "x", "y")
+    points = i.sites.join(i.hours.select("park_num").distinct(), "park_num").select(F.col("park_num").alias("id"), "x", "y")
     rows = i.hours.join(points.select(F.col("id").alias("park_num")), "park_num").join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num")
     m = M.filtered_mixed_model(rows, points, "site_activity_index", ["size"], "park_num")
     return _terms(i, [("fixed", t, b) for t, b in zip(m["term"], m["beta"])] + [("model", k, m[k]) for k in ("sigma2", "loglik", "vectors")])

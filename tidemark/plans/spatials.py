@@ -25,12 +25,12 @@ def jn12_points_near_polygons(i: Inputs) -> DataFrame:
 
 
 #: Streets across the site borders: each site's box is the rectangle of its first half-widths scaled into the lattice.
-BOXES = "select park_num, 400.0e0 + (park_num*37 % 30)*100 + 50 as bx0, 50.0e0 + (park_num*13 % 4)*100 as by0, 230.0e0 as w from v_sites where park_num < 60"
+BOXES = "select park_num, 400.0e0 + (park_num*37 % 30)*100 + 50 as bx0, 50.0e0 + (park_num*13 % 4)*100 as by0, 230.0e0 as w from v_sites"
 
 
 def boxes(i: Inputs) -> DataFrame:
     p = F.col("park_num")
-    b = i.sites.filter("park_num < 60").select("park_num", (F.lit(450.0) + (p * 37 % 30) * 100).alias("x0"), (F.lit(50.0) + (p * 13 % 4) * 100).alias("y0"))
+    b = i.sites.select("park_num", (F.lit(450.0) + (p * 37 % 30) * 100).alias("x0"), (F.lit(50.0) + (p * 13 % 4) * 100).alias("y0"))
     corner = lambda a, c: F.struct((F.col("x0") + a).alias("x"), (F.col("y0") + c).alias("y"))
     return b.select("park_num", F.array(corner(0.0, 0.0), corner(230.0, 0.0), corner(230.0, 230.0), corner(0.0, 230.0)).alias("ring"))
 
@@ -60,18 +60,18 @@ def jn16_distance_window(i: Inputs) -> DataFrame:
 _D = "sqrt(power(greatest(greatest(least(ux,vx)-x,x-greatest(ux,vx)),0),2)+power(greatest(greatest(least(uy,vy)-y,y-greatest(uy,vy)),0),2))"
 
 
-@query(f"select stop_id, u, v, distance from (select stop_id, u, v, round({_D}+1e-9,6) as distance, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n where stop_id < 300 and {_D} <= 3200) q where r = 1")
+@query(f"select stop_id, u, v, distance from (select stop_id, u, v, round({_D}+1e-9,6) as distance, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n where {_D} <= 3200) q where r = 1")
 def jn18_nearest_edge(i: Inputs) -> DataFrame:
-    best = S.nearest_segment(i.stops.filter("stop_id < 300"), streets(i), "stop_id", ["u", "v"], 100.0, 3200.0)
+    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0, 3200.0)
     return best.select("stop_id", "u", "v", X.steady(F.col("distance")).alias("distance"))
 
 
-@query("select stop_id, case when d <= 60 then node end as node, round(d+1e-9,6) as distance from (select stop_id, u as node, sqrt(power(x-ux,2)+power(y-uy,2)) as d, row_number() over (partition by stop_id order by sqrt(power(x-ux,2)+power(y-uy,2)), u) as r from v_stops, (select distinct u, ux, uy from v_network) n where stop_id < 300 and sqrt(power(x-ux,2)+power(y-uy,2)) <= 200) q where r = 1")
+@query("select stop_id, case when d <= 60 then node end as node, round(d+1e-9,6) as distance from (select stop_id, u as node, sqrt(power(x-ux,2)+power(y-uy,2)) as d, row_number() over (partition by stop_id order by sqrt(power(x-ux,2)+power(y-uy,2)), u) as r from v_stops, (select distinct u, ux, uy from v_network) n where sqrt(power(x-ux,2)+power(y-uy,2)) <= 200) q where r = 1")
 def jn19_nearest_node(i: Inputs) -> DataFrame:
     from tidemark.operators.windows import first_of
 
     nodes = i.network.select(F.col("u").alias("node"), F.col("ux").alias("x2"), F.col("uy").alias("y2")).distinct()
-    best = first_of(S.within(i.stops.filter("stop_id < 300"), nodes, 200.0), ["stop_id"], F.col("distance"), F.col("node"))
+    best = first_of(S.within(i.stops, nodes, 200.0), ["stop_id"], F.col("distance"), F.col("node"))
     return best.select("stop_id", F.when(F.col("distance") <= 60, F.col("node")).alias("node"), X.steady(F.col("distance")).alias("distance"))
 
 
@@ -93,12 +93,12 @@ def ras1_ras4_reclass(i: Inputs) -> DataFrame:
 
 
 #: Observers stand inside the raster of 25 m cells.
-OBSERVERS = "select park_num, cast(park_num*97 % 900 as double) + 0.5e0 as x, cast(park_num*53 % 1000 as double) + 0.5e0 as y from v_sites where park_num < 40"
+OBSERVERS = "select park_num, cast(park_num*97 % 900 as double) + 0.5e0 as x, cast(park_num*53 % 1000 as double) + 0.5e0 as y from v_sites"
 
 
 def observers(i: Inputs) -> DataFrame:
     p = F.col("park_num")
-    return i.sites.filter("park_num < 40").select("park_num", ((p * 97 % 900).cast("double") + 0.5).alias("x"), ((p * 53 % 1000).cast("double") + 0.5).alias("y"))
+    return i.sites.select("park_num", ((p * 97 % 900).cast("double") + 0.5).alias("x"), ((p * 53 % 1000).cast("double") + 0.5).alias("y"))
 
 
 @query(f"select o.park_num, r.elev from ({OBSERVERS}) o join v_raster r on r.r = cast(floor(o.y/25) as int) and r.c = cast(floor(o.x/25) as int) where r.water = 0")
@@ -140,9 +140,9 @@ def geo2_perimeter_area(i: Inputs) -> DataFrame:
     return S.site_rings(i.sites).select("park_num", S.perimeter(F.col("ring")).alias("perimeter"), S.area(F.col("ring")).alias("area"))
 
 
-@query("select park_num, x, y from v_sites where park_num % 3 = 0")
+@query("select park_num, x, y from v_sites")
 def geo3_inside_point(i: Inputs) -> DataFrame:
-    p = S.site_rings(i.sites.filter("park_num % 3 = 0")).select("park_num", S.inside_point(F.col("ring")).alias("p"))
+    p = S.site_rings(i.sites).select("park_num", S.inside_point(F.col("ring")).alias("p"))
     return p.select("park_num", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
 
 
@@ -172,38 +172,41 @@ def grf1_undirected_graph(i: Inputs) -> DataFrame:
     return G.undirected(i.network.select("u", "v", "len").union(extra))
 
 
-_GRID = "u < 200 and v < 200"
+#: Walkers start at one node for each site.
+_START = "select distinct cast(park_num as bigint) as source, cast(park_num*37 % (select count(*) from part) as bigint) as node from v_sites"
+_EDGES = "e as (select u, v, cast(len as bigint) as len from v_network union all select v, u, cast(len as bigint) from v_network)"
+_PATHS = f"{_EDGES}, p as (select source, node, cast(0 as bigint) as dist from ({_START}) s where node in (select u from e) union select p.source, e.v, p.dist + e.len from p join e on p.node = e.u where p.dist + e.len <= 800)"
 
 
-def grid(i: Inputs) -> DataFrame:
-    """A bounded part of the lattice, so that the recursive twin ends soon."""
-    return i.network.filter(_GRID).select("u", "v", "len")
+def starts(i: Inputs) -> DataFrame:
+    nodes = i.table("part").count()
+    s = i.sites.select(F.col("park_num").cast("long").alias("source"), (F.col("park_num") * 37 % nodes).cast("long").alias("node"), F.lit(0.0).alias("dist"))
+    return s.join(G.both_ways(i.network).select(F.col("u").alias("node")).distinct(), "node").select("source", "node", "dist")
 
 
-@query(f"with recursive e as (select u, v, cast(len as bigint) as len from v_network where {_GRID} union all select v, u, cast(len as bigint) from v_network where {_GRID}), p as (select u as source, u as node, cast(0 as bigint) as dist from (select distinct u from e where u % 50 = 0) s union select p.source, e.v, p.dist + e.len from p join e on p.node = e.u where p.dist + e.len <= 800) select source, node, cast(min(dist) as double) as dist from p group by source, node")
+@query(f"with recursive {_PATHS} select source, node, cast(min(dist) as double) as dist from p group by source, node")
 def grf3_bounded_paths(i: Inputs) -> DataFrame:
-    """All sources on the whole bounded grid advance together."""
-    edges = grid(i)
-    sources = G.both_ways(edges).select("u").distinct().filter("u % 50 = 0").select(F.col("u").alias("source"), F.col("u").alias("node"), F.lit(0.0).alias("dist"))
-    return G.reach(sources, edges, 800.0)
+    """All sites' walks over the whole network advance together."""
+    return G.reach(starts(i), i.network.select("u", "v", "len"), 800.0)
 
 
-_COMP = f"e as (select u, v from v_network where {_GRID} union all select v, u from v_network where {_GRID}), c as (select u as node, u as component from (select distinct u from e) s union select e.v, c.component from c join e on c.node = e.u)"
+_COMP = f"{_EDGES}, c as (select u as node, u as component from (select distinct u from e) s union select e.v, c.component from c join e on c.node = e.u)"
 
 
 @query(f"with recursive {_COMP} select node, min(component) as component from c group by node")
 def grf4_components(i: Inputs) -> DataFrame:
-    return G.connected(grid(i))
+    return G.connected(i.network)
 
 
 @query(f"with recursive {_COMP}, l as (select node, min(component) as component from c group by node), d as (select u as node, count(*) as degree from e group by u) select l.component, sum(degree)*50.0e0 as total_len, cast(sum(degree) as bigint) // 2 as edge_count, count(*) as node_count, count(*) filter (where degree >= 3) as junction_count from l join d using (node) group by l.component")
 def grf5_component_stats(i: Inputs) -> DataFrame:
-    return G.component_stats(grid(i), G.connected(grid(i)))
+    return G.component_stats(i.network, G.connected(i.network))
 
 
-@query(f"with recursive e as (select u, v, cast(len as bigint) as len from v_network where {_GRID} union all select v, u, cast(len as bigint) from v_network where {_GRID}), p as (select u as source, u as node, cast(0 as bigint) as dist from (select distinct u from e where u % 50 = 0) s union select p.source, e.v, p.dist + e.len from p join e on p.node = e.u where p.dist + e.len <= 800), t as (select source, node, min(dist) as dist from p group by source, node) select k.minutes, a.source, count(*) as edges, sum(n.len) as length_m from v_network n join t a on a.node = n.u join t b on b.node = n.v and b.source = a.source, (select 5 as minutes, 400 as cutoff union all select 10, 800) k where n.u < 200 and n.v < 200 and greatest(a.dist, b.dist) <= k.cutoff group by k.minutes, a.source")
+@query(f"with recursive {_PATHS}, t as (select source, node, min(dist) as dist from p group by source, node) select k.minutes, a.source, count(*) as edges, sum(n.len) as length_m from v_network n join t a on a.node = n.u join t b on b.node = n.v and b.source = a.source, (select 5 as minutes, 400 as cutoff union all select 10, 800) k where greatest(a.dist, b.dist) <= k.cutoff group by k.minutes, a.source")
 def grf6_grf7_catchments(i: Inputs) -> DataFrame:
-    return G.reached_edges(grf3_bounded_paths(i), grid(i), [(5, 400.0), (10, 800.0)]).groupBy("minutes", "source").agg(F.count("*").alias("edges"), F.sum("len").alias("length_m"))
+    edges = i.network.select("u", "v", "len")
+    return G.reached_edges(grf3_bounded_paths(i), edges, [(5, 400.0), (10, 800.0)]).groupBy("minutes", "source").agg(F.count("*").alias("edges"), F.sum("len").alias("length_m"))
 
 
 @query(f"select cast(floor(u/40) as bigint) as row_no, count(distinct stop_id) as stops from v_network n join v_stops s on {_D} <= 15 group by cast(floor(u/40) as bigint)")
@@ -215,7 +218,7 @@ def jn21_stops_near_edges(i: Inputs) -> DataFrame:
 @query()
 def grf2_insert_origins(i: Inputs) -> DataFrame:
     """Stops as routing origins: two new edges each, to both ends of the nearest street."""
-    best = S.nearest_segment(i.stops.filter("stop_id < 300"), streets(i), "stop_id", ["u", "v"], 100.0, 400.0)
+    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0, 400.0)
     node, t = -F.col("stop_id") - 1, F.col("t")
     one = best.select(node.alias("u"), F.col("u").alias("v"), (t * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))
     two = best.select(node.alias("u"), F.col("v"), ((1 - t) * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))

@@ -27,9 +27,9 @@ def flt1_hour_band(i: Inputs) -> DataFrame:
     return P.in_hours(i.activity)
 
 
-@query("select c.* from v_cells c, (select min(x-h) x0, max(x+h) x1, min(y-h) y0, max(y+h) y1 from v_sites where h > 1 and park_num < 20) b where c.x between x0 and x1 and c.y between y0 and y1")
+@query("select c.* from v_cells c, (select min(x-h) x0, max(x+h) x1, min(y-h) y0, max(y+h) y1 from v_sites) b where c.x between x0 and x1 and c.y between y0 and y1")
 def flt2_extent_prefilter(i: Inputs) -> DataFrame:
-    s = i.sites.filter("h > 1 and park_num < 20")
+    s = i.sites
     box = s.agg(F.min(F.col("x") - F.col("h")).alias("x0"), F.max(F.col("x") + F.col("h")).alias("x1"), F.min(F.col("y") - F.col("h")).alias("y0"), F.max(F.col("y") + F.col("h")).alias("y1")).first()
     if box.x0 is None:
         return i.cells.limit(0)
@@ -102,9 +102,9 @@ def jn6_sites_with_cells(i: Inputs) -> DataFrame:
     return i.sites.select("park_num", "site_name").join(i.lookup, "park_num", "left_semi")
 
 
-@query("select coalesce(a.park_num, b.park_num) as park_num, case when a.park_num is null then 'right_only' when b.park_num is null then 'left_only' else 'both' end as match from (select park_num from v_sites where park_num % 3 <> 0) a full join (select park_num from v_sites where park_num % 2 = 0) b on a.park_num = b.park_num")
+@query("select coalesce(a.park_num, b.park_num) as park_num, case when a.park_num is null then 'right_only' when b.park_num is null then 'left_only' else 'both' end as match from (select park_num from v_sites where site_type <> 'beach') a full join (select park_num from v_sites where site_type <> 'lakefront') b on a.park_num = b.park_num")
 def jn7_full_outer_match(i: Inputs) -> DataFrame:
-    a, b = i.sites.filter("park_num % 3 <> 0").select(F.col("park_num").alias("l")), i.sites.filter("park_num % 2 = 0").select(F.col("park_num").alias("r"))
+    a, b = i.sites.filter("site_type <> 'beach'").select(F.col("park_num").alias("l")), i.sites.filter("site_type <> 'lakefront'").select(F.col("park_num").alias("r"))
     return a.join(b, F.col("l") == F.col("r"), "full").select(F.coalesce("l", "r").alias("park_num"), F.when(F.col("l").isNull(), "right_only").when(F.col("r").isNull(), "left_only").otherwise("both").alias("match"))
 
 
@@ -121,9 +121,9 @@ def jn9_two_versions(i: Inputs) -> DataFrame:
     return of(5, "old").join(of(10, "new"), "park_num")
 
 
-@query(r"select s.park_num, n.k as name_key from v_sites s join (select trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) as k from supplier where s_suppkey % 2 = 0) n on trim(regexp_replace(regexp_replace(lower(s.site_name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) = n.k")
+@query(r"select s.park_num, n.k as name_key from v_sites s join (select trim(regexp_replace(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) as k from supplier) n on trim(regexp_replace(regexp_replace(lower(s.site_name), '[^a-z0-9]+', ' ', 'g'), ' +', ' ', 'g')) = n.k")
 def jn10_normalised_names(i: Inputs) -> DataFrame:
-    other = i.table("supplier").filter("s_suppkey % 2 = 0").select(X.site_key(F.concat(F.col("s_name"), F.lit(" (Park)"))).alias("name_key"))
+    other = i.table("supplier").select(X.site_key(F.concat(F.col("s_name"), F.lit(" (Park)"))).alias("name_key"))
     return i.sites.select("park_num", X.site_key(F.col("site_name")).alias("name_key")).join(other, "name_key")
 
 
@@ -137,9 +137,9 @@ def set2_distinct(i: Inputs) -> DataFrame:
     return i.lookup.join(i.sites, "park_num").select("park_num", "site_type").distinct()
 
 
-@query("select walktime_min, outcome, specification from v_times, (select 'low_income' as outcome union all select 'education' union all select 'minority') o, (select 'baseline' as specification union all select 'controlled') s")
+@query("select walktime_min, outcome, specification from (select distinct walktime_min from v_census) t, (select 'low_income' as outcome union all select 'education' union all select 'minority') o, (select 'baseline' as specification union all select 'controlled') s")
 def set3_scenario_grid(i: Inputs) -> DataFrame:
-    times = i.view("v_times")
+    times = i.census.select("walktime_min").distinct()
     array = lambda *v: F.explode(F.array(*map(F.lit, v)))
     return times.withColumn("outcome", array("low_income", "education", "minority")).withColumn("specification", array("baseline", "controlled"))
 
@@ -242,8 +242,8 @@ def rsh2_dummies(i: Inputs) -> DataFrame:
     return i.sites.select("park_num", *[c.alias(f"type_{level}") for level, c in X.dummies(F.col("site_type"), ["beach", "lakefront", "riverfront"], "beach").items()])
 
 
-@query("select cast(s_suppkey as int) as park_num, s_acctbal as p, round(least(1.0e0, q)+1e-9,6) as q from (select *, min(raw) over (order by p desc, s_suppkey rows between unbounded preceding and current row) as q from (select s_suppkey, s_acctbal, (s_suppkey*31 % 997 + 1)/1000.0e0 as p, (s_suppkey*31 % 997 + 1)/1000.0e0 * count(*) over () / rank() over (order by (s_suppkey*31 % 997 + 1)) as raw from supplier where s_suppkey < 900) a) b")
+@query("select cast(s_suppkey as int) as park_num, s_acctbal as p, round(least(1.0e0, q)+1e-9,6) as q from (select *, min(raw) over (order by p desc, s_suppkey rows between unbounded preceding and current row) as q from (select s_suppkey, s_acctbal, (s_suppkey*31 % 997 + 1)/1000.0e0 as p, (s_suppkey*31 % 997 + 1)/1000.0e0 * count(*) over () / rank() over (order by (s_suppkey*31 % 997 + 1)) as raw from supplier) a) b")
 def win6_benjamini_hochberg(i: Inputs) -> DataFrame:
     p = ((F.col("s_suppkey") * 31 % 997 + 1) / F.lit(1000.0)).alias("pv")
-    base = i.table("supplier").filter("s_suppkey < 900").select(F.col("s_suppkey").cast("int").alias("park_num"), F.col("s_acctbal").alias("p"), p)
+    base = i.table("supplier").select(F.col("s_suppkey").cast("int").alias("park_num"), F.col("s_acctbal").alias("p"), p)
     return W.bh_table(base.withColumn("family", F.lit(1)), "pv", "family").select("park_num", "p", X.steady(F.col("q")).alias("q"))
