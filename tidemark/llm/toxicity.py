@@ -14,11 +14,13 @@ counts less. Repeated and neighbouring hits count more.
 
 Score. Logistic regression on six counts of weighed hits and their density, fitted on the driver to the sample, then
 applied to all documents. Labels, language, source and id are never inputs. Null and empty texts score like texts
-without hits. Documents without a label are scored all the same.
+without hits. Documents without a label are scored all the same. Without labels of both classes all scores are 0.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,22 +231,46 @@ def logistic(weights: np.ndarray, column: str) -> F.Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
 
 
+def _heads(text: str | None) -> set[str]:
+    """The text's words (marked by =) and their prefixes of three to eight letters."""
+    words = set(re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
+    return {"=" + w for w in words} | {w[:n] for w in words for n in range(3, min(8, len(w)) + 1)}
+
+
+def _count_terms(wanted: frozenset[str] | None):
+    """Documents by term, summed within the task before anything is shuffled; only the wanted terms, if given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                heads = _heads(text.as_py())
+                found.update(heads if wanted is None else heads & wanted)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
+
+    return run
+
+
 def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, precision: float = PRECISION, most: int = TERMS) -> tuple[list[bytes], list[bytes]]:
-    """labelled: doc_id, text, label. Terms and stems; the candidates' counts are grouped by Spark, at most 20 times
-    ``most`` of them come back."""
-    folded = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    words = labelled.select("doc_id", "label", F.explode(F.array_distinct(F.split(folded, r"[^\p{L}]+"))).alias("w")).filter(F.length("w") >= 3)
-    heads = words.select("doc_id", "label", F.explode(F.concat(F.array(F.concat(F.lit("="), "w")), F.transform(F.sequence(F.lit(3), F.least(F.lit(8), F.length("w"))), lambda n: F.substring(F.col("w"), F.lit(1), n)))).alias("term")).distinct()
-    counts = heads.groupBy("term").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))
-    found = counts.filter((F.col("bad") >= support) & (F.col("bad") >= precision * F.col("n"))).orderBy(F.desc("bad"), F.length("term"), "term").limit(20 * most).collect()
-    terms = {r.term[1:]: r.bad for r in found if r.term.startswith("=")}
+    """labelled: text, label (a bounded sample). Terms of ``support`` toxic documents are counted first, then how many
+    other documents hold them; their number is bounded by the sample."""
+    count = lambda label, wanted: labelled.filter(F.col("label") == label).select("text").mapInArrow(_count_terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    bad = {r.term: r.n for r in count(1, None).filter(F.col("n") >= support).collect()}
+    good = {r.term: r.n for r in count(0, frozenset(bad)).collect()} if bad else {}
+    bad = {t: n for t, n in bad.items() if n >= precision * (n + good.get(t, 0))}
+    terms = {t[1:]: n for t, n in bad.items() if t.startswith("=")}
+    heads = {t: n for t, n in bad.items() if not t.startswith("=")}
     stems: dict[str, int] = {}
-    for r in sorted((r for r in found if not r.term.startswith("=")), key=lambda r: (len(r.term), -r.bad)):
-        if not any(r.term.startswith(s) for s in stems):
-            stems[r.term] = r.bad
+    for t in sorted(heads, key=lambda t: (len(t), -heads[t], t)):
+        if not any(t[:k] in stems for k in range(3, len(t) + 1)):
+            stems[t] = heads[t]
     # a stem whose documents all hold one whole word says no more than that word
-    stems = {s: n for s, n in stems.items() if not any(w.startswith(s) and b >= 0.9 * n for w, b in terms.items())}
-    terms = {w: n for w, n in terms.items() if not any(w.startswith(s) for s in stems)}
+    leading: dict[str, int] = {}
+    for w, n in terms.items():
+        for k in range(3, min(8, len(w)) + 1):
+            leading[w[:k]] = max(leading.get(w[:k], 0), n)
+    stems = {s: n for s, n in stems.items() if leading.get(s, 0) < 0.9 * n}
+    terms = {w: n for w, n in terms.items() if not any(w[:k] in stems for k in range(3, min(8, len(w)) + 1))}
     best = lambda d: [w.encode() for w in sorted(d, key=lambda w: (-d[w], w))[:most]]
     return best(terms), best(stems)
 
@@ -266,6 +292,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, window: int = 60, sample: int =
     if len(train) and train.label.nunique() == 2:
         weights = fit_logistic(np.array(train.x.tolist()), train.label.to_numpy(float))
     else:
-        weights = np.zeros(len(FEATURES) + 1)
+        weights = np.append(np.zeros(len(FEATURES)), -30.0)
     scored = base.mapInArrow(run, schema).withColumn("score", logistic(weights, "x"))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), *[F.col("x")[k].alias(f"x_{f}") for k, f in enumerate(FEATURES)])
