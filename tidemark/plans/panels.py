@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
@@ -60,14 +60,15 @@ def segments(i: Inputs) -> DataFrame:
     return i.network.select((u * 2 + (v - u) % 2).alias("segment"), (u % 97).cast("int").alias("park_num"), (F.lit(20.0) + u % 5).alias("length"), F.when((u + v) % 13 != 0, ((u * 7 + v) % 12).cast("double")).alias("slope"), (u % 4 == 0).alias("beach"), (v % 3 == 0).alias("barrier"))
 
 
-#: Degrees of a slope of ten percent.
-GENTLE = F.degrees(F.atan(F.lit(0.10)))
+def gentle_slope() -> Column:
+    """At most ten percent, as degrees."""
+    return F.col("slope") <= F.degrees(F.atan(F.lit(0.10)))
 
 
 @query(f"select park_num, sum(length) as total, coalesce(sum(length) filter (where slope <= 5.710593137499643), 0) as gentle, sum(length) - coalesce(sum(length) filter (where slope <= 5.710593137499643), 0) as steep_or_unknown, {R.format('avg(slope)')} as mean_slope, count(*) as segments, {R.format('coalesce(sum(length) filter (where slope <= 5.710593137499643), 0)/sum(length)')} as gentle_ratio from ({SEGMENTS}) s group by park_num")
 def agg8_length_weighted_classes(i: Inputs) -> DataFrame:
     """Gentle shoreline by site: a segment without a slope is not gentle."""
-    gentle = F.coalesce(F.sum(F.when(F.col("slope") <= GENTLE, F.col("length"))), F.lit(0.0))
+    gentle = F.coalesce(F.sum(F.when(gentle_slope(), F.col("length"))), F.lit(0.0))
     total = F.sum("length")
     return segments(i).groupBy("park_num").agg(total.alias("total"), gentle.alias("gentle"), (total - gentle).alias("steep_or_unknown"), X.steady(F.avg("slope")).alias("mean_slope"), F.count("*").alias("segments"), X.steady(gentle / total).alias("gentle_ratio"))
 
@@ -81,7 +82,7 @@ def agg9_distinct_then_sum(i: Inputs) -> DataFrame:
 
 @query(f"select park_num, count(*) as segments, sum(length) as length_m, count(*) filter (where gentle) as gentle, count(*) filter (where beach) as beach, count(*) filter (where gentle or beach) as approachable, count(*) filter (where (gentle or beach) and not barrier) as unobstructed, coalesce(sum(length) filter (where (gentle or beach) and not barrier), 0) as unobstructed_m, count(*) filter (where slope is null) as no_slope from (select *, coalesce(slope <= 5.710593137499643, false) as gentle from ({SEGMENTS}) s) t group by park_num")
 def agg10_cnd7_approachable(i: Inputs) -> DataFrame:
-    gentle = F.coalesce(F.col("slope") <= GENTLE, F.lit(False))
+    gentle = F.coalesce(gentle_slope(), F.lit(False))
     s = segments(i).withColumn("gentle", gentle).withColumn("approach", F.col("gentle") | F.col("beach")).withColumn("free", F.col("approach") & ~F.col("barrier"))
     count = lambda c: F.count_if(F.col(c))
     return s.groupBy("park_num").agg(
