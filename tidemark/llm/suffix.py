@@ -177,24 +177,21 @@ def _match(least: int, block_bytes: int):
     return run
 
 
-def repeated_bytes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, bucket: int = BUCKET, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def repeated_bytes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, bucket: int = BUCKET, text_col: str = "text") -> DataFrame:
     """Spans of bytes to remove, by text: t1, t2, start, end (-1: the whole text)."""
     spark = docs.sparkSession
     store = Store(spark, "suffix")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
-    keys = store.put(base.filter(F.octet_length("text") >= least).select("doc_id", "t1", "t2"), "keys")
-    twice = store.put(keys.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "twice")
-    copies = store.put(keys.join(twice, ["t1", "t2"]).filter("not (doc_id <=> first)").select("doc_id", "t1", "t2").distinct(), "copies")
-    store.drop("keys")
-
-    firsts = base.filter(F.octet_length("text") >= least).join(copies, ["doc_id", "t1", "t2"], "left_anti").select("t1", "t2", "text")
-    anchors = store.put(firsts.mapInArrow(_anchors(gram, least), "t1 long, t2 long, gram long, pos int"), "anchors")
-    shared = store.put(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "shared")
+    base = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), "text")
+    long_ = base.filter(F.octet_length("text") >= least).select("t1", "t2", "text")
+    anchors = store.put(long_.mapInArrow(_anchors(gram, least), "t1 long, t2 long, gram long, pos int"), "anchors")
+    # the same place of equal texts counts once: copies are settled by their number of rows alone
+    place = F.xxhash64("t1", "t2", "pos")
+    shared = store.put(anchors.groupBy("gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a < b").select("gram"), "shared")
     marks = store.put(anchors.join(shared, "gram", "left_semi").groupBy("t1", "t2").agg(F.collect_set("pos").alias("marks")), "marks")
-    store.drop("anchors"), store.drop("shared")
-    # a text of several rows is the witness of itself: once is enough
-    whole_texts = firsts.select("t1", "t2", "text")
-    slices = store.put(whole_texts.join(marks, ["t1", "t2"]).mapInArrow(_slices(gram, least), SLICE).distinct(), "slices")
+    store.drop("anchors", "shared")
+    twice = store.put(long_.groupBy("t1", "t2").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+    # marks and asked grow with the corpus, so these joins always shuffle; a text of several rows gives its slices once
+    slices = store.put(long_.join(marks.hint("merge"), ["t1", "t2"]).mapInArrow(_slices(gram, least), SLICE).distinct(), "slices")
     store.drop("marks")
 
     def witness(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
@@ -203,12 +200,15 @@ def repeated_bytes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, bucket
         same = rows.join(classes.filter("n > 1").select("core", "whole"), ["core", "whole"], "left_semi").select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + least).alias("end"))
         cores = store.put(classes.groupBy("core").agg(F.count("*").alias("slices")).filter("slices > 1"), f"{name}-cores")
         open_ = classes.join(cores, "core").select("one.*", "core", "whole", "slices")
-        return store.put(same, f"{name}-same"), store.put(open_, f"{name}-open")
+        found = store.put(same, f"{name}-same"), store.put(open_, f"{name}-open")
+        store.drop(f"{name}-classes", f"{name}-cores")
+        return found
 
     same, open_ = witness(slices, "0")
     spans = [same]
     asked = store.put(open_.groupBy("t1", "t2").agg(F.collect_list(F.struct(*NAMES[2:])).alias("asked")), "asked")
-    rows = store.put(whole_texts.join(asked, ["t1", "t2"]).mapInArrow(_fetch(least), SLICE + ", bytes binary").distinct(), "rows-0")
+    rows = store.put(long_.join(asked.hint("merge"), ["t1", "t2"]).mapInArrow(_fetch(least), SLICE + ", bytes binary").distinct(), "rows-0")
+    store.drop("slices", "asked")
     sizes, level = open_.select("t1", "t2", "lo", "hi", "slices"), 0
     while True:
         sized = rows.join(sizes, ["t1", "t2", "lo", "hi"])
@@ -221,7 +221,9 @@ def repeated_bytes(docs: DataFrame, least: int = LEAST, gram: int = GRAM, bucket
         rows = store.put(hot.mapInArrow(_halve(least), SLICE + ", bytes binary"), f"rows-{level}")
         same, open_ = witness(rows.drop("bytes"), str(level))
         spans.append(same)
+        store.drop(f"rows-{level - 1}", f"{level - 1}-open")
         sizes = open_.select("t1", "t2", "lo", "hi", "slices")
+    store.drop(f"rows-{level}", f"{level}-open")
     out = twice.select("t1", "t2", F.lit(0).alias("start"), F.lit(-1).alias("end"))
     for part in spans:
         out = out.unionByName(part)
@@ -255,8 +257,8 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST, gram: int = GRAM, bucket:
 
     Returns one row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary)."""
     store = Store(docs.sparkSession, "bytes")
-    spans = repeated_bytes(docs, least, gram, bucket, text_col, id_col)
+    spans = repeated_bytes(docs, least, gram, bucket, text_col)
     cuts = store.put(spans.groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "end")).alias("cut")), "cuts")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = base.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).join(cuts, ["t1", "t2"], "left")
+    keyed = base.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")).join(cuts.hint("merge"), ["t1", "t2"], "left")
     return keyed.select("doc_id", "text", F.col("cut.start").alias("starts"), F.col("cut.end").alias("ends")).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
