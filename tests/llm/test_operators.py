@@ -305,6 +305,27 @@ def test_toxicity(spark, none):
     assert all(r.predicted == 0 for r in score_toxicity(d, l.limit(0)).collect())
 
 
+def test_toxicity_forms(spark):
+    """Terms between marks and misspelt in any letter are found; benign words next to them are not."""
+    rows, labels = [], []
+    for i in range(600):
+        t = sentence(5000 + i, 30).split()
+        if i % 4 == 0:
+            t[7] = ["moron", "scum", "trash", "loser", "loserdom", "losership"][i // 4 % 6]
+        elif i % 4 == 1:
+            t[7] = "slum"
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    hits = ["moron!!!!!!", "“moron”", "«moron»", "moron…", "moron/trash", "w,moron,w", "m0ron", "lozer", "lozerdom", "mosership", "noron", "oron", "scam", "MORON"]
+    clean = ["slum", "w17", "summer"]
+    rows += [(1000 + k, f"w1 {w} w2") for k, w in enumerate(hits + clean)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(d, l).collect()}
+    count = lambda k: sum(got[1000 + k][f"x_{f}"] for f in ("terms", "stems", "misspelt"))
+    assert [w for k, w in enumerate(hits + clean) if count(k) > 0] == hits
+    assert all(got[i].predicted == y for i, y in labels)
+
+
 def test_quality(spark, docs, none):
     rows, labels = [], []
     for i in range(400):

@@ -117,12 +117,13 @@ def steps(column: pa.Array, limit: int = STEP) -> Iterator[tuple[int, int, np.nd
 
 
 class Words:
-    """The words of some rows: row, start and end byte, in order; ``first[r]`` is row r's first word."""
+    """The words of some rows: row, start and end byte, in order; ``first[r]`` is row r's first word. ``flags`` are the
+    bytes that words consist of, if not all but spaces."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, flags: np.ndarray | None = None):
         n = len(data)
         solid = np.zeros(n + 2, bool)
-        solid[1:-1] = ~SPACE[data]
+        solid[1:-1] = ~SPACE[data] if flags is None else flags
         begins, ends = solid[1:-1] & ~solid[:-2], solid[1:-1] & ~solid[2:]
         inner = offsets[1:-1]
         inner = inner[(inner > 0) & (inner < n)]

@@ -3,11 +3,16 @@
 Lexicon. From a bounded sample of labelled rows (``sample``, by hash of the id), every word and every prefix of three to
 eight letters of a word is counted once per document, in toxic and in other documents. Those with enough toxic documents
 and hardly any others are terms: whole words as they are, prefixes as stems (shortest first, none inside a kept one).
+Words are runs of letters of any script, in learning and in scanning; what stands between two spaces and holds several
+runs ("id1ot") is read once more as one word.
 
 Automaton. The terms form a trie. Its states are intersected with the Levenshtein automaton of distance one (insertion,
-deletion, substitution; only terms of at least ``fuzzy`` letters) and made deterministic, so one table of byte
-transitions reads a word and tells whether it is a term, begins with a stem, or is a misspelt term. All words of a block
-of texts step through the table together, and words leave at the first byte that leads nowhere.
+deletion, substitution) and made deterministic, so one table of byte transitions reads a word and tells whether it is a
+term, begins with a stem, or is a misspelt term or begins with a misspelt stem. Terms of at least ``fuzzy`` letters are
+found with an edit after the first letter. Other edits (in the first letter, of short terms, of stems) are allowed term
+by term, if the sample's benign documents hold few such words that stand in one of them only; benign words next to a
+term are no hits. All words of a block of texts step through the table together, and words leave at the first byte that
+leads nowhere.
 
 Context. Each hit is weighed by its window of bytes on both sides: inside quotation marks, or after a reporting word, it
 counts less. Repeated and neighbouring hits count more.
@@ -20,11 +25,13 @@ without hits. Documents without a label are scored all the same. Without labels
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,72 +48,106 @@ REPORTING = ("said", "says", "called", "quote", "quoted", "wrote", "dit", "sagte
 # Quotation marks in UTF-8.
 QUOTES = ('"', "“", "”", "«", "»", "„")
 
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
-#: The second byte of upper-case letters U+00C0-U+00DE after 0xC3 differs from the lower-case one by 0x20.
-LETTER = np.zeros(256, bool)
-LETTER[97:123] = True
-LETTER[128:] = True
+#: Kinds of edits, as bits: after the first letter, and of it.
+INNER, FIRST = 1, 2
+RUN = re.compile(r"[^\W\d_]+")
 
 
-def fold(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters in UTF-8."""
-    out = FOLD[data]
-    upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E)) + 1
-    out[upper] += 0x20
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """By code point, whether RUN takes it for a letter."""
+    out = np.zeros(0x110000, bool)
+    for m in RUN.finditer("".join(map(chr, range(0xD800)))):
+        out[m.start() : m.end()] = True
+    for m in RUN.finditer("".join(map(chr, range(0xE000, 0x110000)))):
+        out[0xE000 + m.start() : 0xE000 + m.end()] = True
+    return out
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to letters."""
+    table = _letters()
+    out = table[data] & (data < 0x80)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        wide = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        c0, c1, c2, c3 = (wide[lead + k] for k in range(4))
+        size = np.where(c0 < 0xE0, 2, np.where(c0 < 0xF0, 3, 4))
+        two, three = (c0 & 31) << 6 | c1 & 63, (c0 & 15) << 12 | (c1 & 63) << 6 | c2 & 63
+        code = np.where(size == 2, two, np.where(size == 3, three, (c0 & 7) << 18 | (c1 & 63) << 12 | (c2 & 63) << 6 | c3 & 63))
+        found = table[np.minimum(code, len(table) - 1)]
+        for k in range(4):
+            out[lead[found & (k < size)] + k] = True
     return out
 
 
 class Automaton:
-    """Deterministic table of the lexicon trie with and without one edit. Verdicts: 0 none, 1 misspelt, 2 stem, 3 term."""
+    """Deterministic table of the lexicon trie with and without one edit. Verdicts: 0 none, 1 misspelt, 2 stem, 3 term.
+
+    ``edits`` has the kinds of edits that each term, and each stem with a star behind it, is found with; without it terms
+    of ``fuzzy`` letters are found with inner ones. Words in ``benign`` are not misspelt."""
 
-    def __init__(self, terms: list[bytes], stems: list[bytes], fuzzy: int = FUZZY):
+    def __init__(self, terms: list[bytes], stems: list[bytes], fuzzy: int = FUZZY, edits: dict[bytes, int] | None = None, benign: list[bytes] = ()):
+        if edits is None:
+            edits = {w: INNER for w in terms if len(w) >= fuzzy}
         trie: list[dict[int, int]] = [{}]
         kind: dict[int, int] = {}
-        longest: dict[int, bool] = {}
+        below: dict[int, int] = {0: 0}  # kinds of edits of the terms and stems at a node or below
+        ends: dict[int, int] = {}
+        heads: dict[int, int] = {}
+        safe = set()
 
-        def add(word: bytes, what: int) -> None:
+        def add(word: bytes, allowed: int) -> int:
             at = 0
+            below[0] |= allowed
             for c in word:
                 if c not in trie[at]:
                     trie.append({})
                     trie[at][c] = len(trie) - 1
                 at = trie[at][c]
-                longest[at] = longest.get(at, False) or (what == 3 and len(word) >= fuzzy)
-            kind[at] = max(kind.get(at, 0), what)
+                below[at] = below.get(at, 0) | allowed
+            return at
 
         for w in terms:
-            add(w, 3)
+            at = add(w, edits.get(w, 0))
+            kind[at], ends[at] = 3, edits.get(w, 0)
         for w in stems:
-            add(w, 2)
-        fuzzy_ends = set()
-        for w in terms:
-            if len(w) >= fuzzy:
-                at = 0
-                for c in w:
-                    at = trie[at][c]
-                fuzzy_ends.add(at)
-        letters = sorted({c for w in [*terms, *stems] for c in w})
+            at = add(w, edits.get(w + b"*", 0))
+            kind[at], heads[at] = max(kind.get(at, 0), 2), edits.get(w + b"*", 0)
+        stem_nodes = set(heads)
+        for w in benign:
+            safe.add(add(w, 0))
+        known = sorted({c for w in [*terms, *stems, *benign] for c in w})
         other = 0  # a byte that no term holds
-        alphabet = [other, *letters]
+        alphabet = [other, *known]
+        passed = (-1, INNER)  # a misspelt stem is behind
 
-        # a state of the product: a set of (trie node, edits used); the first letter is never edited
+        # a state of the product: a set of (trie node, kind of the edit used or 0)
         def close(states: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
             out = set(states)
             for node, e in states:
-                if e == 0 and node != 0:
-                    out |= {(to, 1) for to in trie[node].values() if longest.get(to)}  # a letter left out
-            return frozenset((n, e) for n, e in out if e == 0 or (n, 0) not in out)
+                if e == 0:
+                    bit = INNER if node else FIRST
+                    out |= {(to, bit) for to in trie[node].values() if below[to] & bit}  # a letter left out
+            out = {(n, e) for n, e in out if e == 0 or (n, 0) not in out}
+            if any(e and heads.get(n, 0) & e for n, e in out):
+                out.add(passed)
+            return frozenset(out)
 
         def step(states: frozenset[tuple[int, int]], c: int) -> frozenset[tuple[int, int]]:
             out = set()
             for node, e in states:
-                if c in trie[node]:
-                    out.add((trie[node][c], e))
-                if e == 0 and node != 0:
-                    out |= {(to, 1) for to in trie[node].values() if longest.get(to)}  # another letter
-                    if longest.get(node):
-                        out.add((node, 1))  # a letter too many
+                if node < 0:
+                    out.add(passed)
+                    continue
+                to = trie[node].get(c)
+                if to is not None and (e == 0 or below[to] & e):
+                    out.add((to, e))
+                if e == 0:
+                    bit = INNER if node else FIRST
+                    out |= {(to, bit) for to in trie[node].values() if below[to] & bit}  # another letter
+                    if below[node] & bit:
+                        out.add((node, bit))  # a letter too many
             return close(out)
 
         start, names, todo = close({(0, 0)}), {}, []
@@ -114,7 +155,7 @@ class Automaton:
         names[start] = 1
         todo.append(start)
         rows: list[list[int]] = [[0] * 256, [0] * 256]
-        verdict, sticky = [0, 0], [False, False]
+        verdict, sticky = [0, 0], [0, 0]
         while todo:
             states = todo.pop()
             row = rows[names[states]]
@@ -123,18 +164,19 @@ class Automaton:
                 if to not in names:
                     names[to] = len(rows)
                     rows.append([0] * 256)
-                    stem = any(e == 0 and kind.get(n) == 2 for n, e in to)
+                    stem = any(e == 0 and n in stem_nodes for n, e in to)
                     exact = any(e == 0 and kind.get(n) == 3 for n, e in to)
-                    near = any(e == 1 and n in fuzzy_ends for n, e in to) or any(e == 0 and (set(trie[n].values()) & fuzzy_ends) for n, e in to)
+                    near = passed in to or any(e and ends.get(n, 0) & e for n, e in to)
+                    near = near and not any(e == 0 and n in safe for n, e in to)
                     verdict.append(3 if exact else 2 if stem else 1 if near else 0)
-                    sticky.append(stem)
+                    sticky.append(2 if stem else 1 if to == {passed} else 0)
                     todo.append(to)
                 row[c] = names[to]
             for c in range(256):
                 if c not in alphabet:
                     row[c] = row[other]
         self.table = np.array(rows, np.int32)
-        self.verdict, self.sticky = np.array(verdict, np.int8), np.array(sticky)
+        self.verdict, self.sticky = np.array(verdict, np.int8), np.array(sticky, np.int8)
 
     def read(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Verdict of each word data[start:end] (folded bytes)."""
@@ -148,21 +190,30 @@ class Automaton:
                 if not len(live):
                     break
             state = self.table[state, data[at]]
-            found = self.sticky[state]
+            found = self.sticky[state] > 0
             if found.any():
-                out[live[found]] = 2
+                out[live[found]] = self.sticky[state[found]]
             on = (state != 0) & ~found
             live, at, state = live[on], at[on] + 1, state[on]
         return out
 
 
-def trimmed(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds of the words without bytes at either end that are no letters (at most four at each end)."""
-    start, end = words.start.copy(), words.end.copy()
-    for _ in range(4):
-        start += (start < end) & ~LETTER[data[np.minimum(start, len(data) - 1)]]
-        end -= (start < end) & ~LETTER[data[np.maximum(end - 1, 0)]]
-    return start, end
+def scan(automaton: Automaton, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, list[tuple[int, int, int]]]:
+    """Runs of letters of lower-case texts, the verdict of each, and the hits as (run, start, end). What stands between
+    spaces and holds several runs without a hit is read as one word too, whose verdict its first run gets."""
+    runs = Words(data, offsets, letters(data))
+    hit = automaton.read(data, runs.start, runs.end)
+    spots = [(k, int(runs.start[k]), int(runs.end[k])) for k in np.flatnonzero(hit).tolist()]
+    whole = Words(data, offsets)
+    a, b = np.searchsorted(runs.start, whole.start), np.searchsorted(runs.start, whole.end)
+    total = np.concatenate([[0], np.cumsum(hit > 0)])
+    mixed = (b - a > 1) & (total[b] == total[a])
+    a, b = a[mixed], b[mixed]
+    joined = automaton.read(data, runs.start[a], runs.end[b - 1])
+    for k in np.flatnonzero(joined).tolist():
+        hit[a[k]] = joined[k]
+        spots.append((int(a[k]), int(runs.start[a[k]]), int(runs.end[b[k] - 1])))
+    return runs, hit, spots
 
 
 FEATURES = ["terms", "stems", "misspelt", "quoted", "clustered", "density"]
@@ -174,11 +225,8 @@ def _features(automaton: Automaton, window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, data, offsets in steps(batch.column(1)):
-                words = Words(data, offsets)
-                low = fold(data) if len(data) else data
-                start, end = trimmed(low, words) if len(words) else (words.start, words.end)
-                hit = automaton.read(low, start, end)
+            for a, b, data, offsets in steps(pc.utf8_lower(batch.column(1))):
+                words, hit, _ = scan(automaton, data, offsets)
                 at = np.flatnonzero(hit)
                 rows = b - a
                 row = words.row[at]
@@ -190,7 +238,7 @@ def _features(automaton: Automaton, window: int):
                         left, right = raw[max(s, words.start[w] - window) : words.end[w]], raw[words.start[w] : min(e, words.end[w] + window)]
                         quoted = any(bytes(q) in left for q in marks) and any(bytes(q) in right for q in marks)
                         lo = max(int(words.first[row[k]]), w - 4)
-                        told = bool(reporting.read(low, start[lo:w], end[lo:w]).any()) if quoted and w > lo else False
+                        told = bool(reporting.read(data, words.start[lo:w], words.end[lo:w]).any()) if quoted and w > lo else False
                         weight[k] = 0.25 if told else 0.6 if quoted else 1.0
                 near = np.zeros(len(at), bool)
                 if len(at) > 1:
@@ -232,8 +280,8 @@ def logistic(weights: np.ndarray, column: str) -> F.Column:
 
 
 def _heads(text: str | None) -> set[str]:
-    """The text's words (marked by =) and their prefixes of three to eight letters."""
-    words = set(re.findall(r"[^\W\d_]{3,}", (text or "").lower()))
+    """The words of a lower-case text (marked by =) and their prefixes of three to eight letters."""
+    words = {w for w in RUN.findall(text or "") if len(w) > 2}
     return {"=" + w for w in words} | {w[:n] for w in words for n in range(3, min(8, len(w)) + 1)}
 
 
@@ -243,7 +291,7 @@ def _count_terms(wanted: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0):
+            for text in pc.utf8_lower(batch.column(0)):
                 heads = _heads(text.as_py())
                 found.update(heads if wanted is None else heads & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["term", "n"])
@@ -251,14 +299,15 @@ def _count_terms(wanted: frozenset[str] | None):
     return run
 
 
-def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, precision: float = PRECISION, most: int = TERMS) -> tuple[list[bytes], list[bytes]]:
-    """labelled: text, label (a bounded sample). Terms of ``support`` toxic documents are counted first, then how many
-    other documents hold them; their number is bounded by the sample."""
+def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, precision: float = PRECISION, most: int = TERMS) -> tuple[dict[bytes, int], dict[bytes, int], dict[bytes, int]]:
+    """labelled: text, label (a bounded sample) -> terms, stems and the words that begin with a stem, with their toxic
+    documents. Terms of ``support`` toxic documents are counted first, then how many other documents hold them; their
+    number is bounded by the sample."""
     count = lambda label, wanted: labelled.filter(F.col("label") == label).select("text").mapInArrow(_count_terms(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     bad = {r.term: r.n for r in count(1, None).filter(F.col("n") >= support).collect()}
     good = {r.term: r.n for r in count(0, frozenset(bad)).collect()} if bad else {}
     bad = {t: n for t, n in bad.items() if n >= precision * (n + good.get(t, 0))}
-    terms = {t[1:]: n for t, n in bad.items() if t.startswith("=")}
+    words = {t[1:]: n for t, n in bad.items() if t.startswith("=")}
     heads = {t: n for t, n in bad.items() if not t.startswith("=")}
     stems: dict[str, int] = {}
     for t in sorted(heads, key=lambda t: (len(t), -heads[t], t)):
@@ -266,13 +315,76 @@ def learn_lexicon(labelled: DataFrame, support: int = SUPPORT, precision: float
             stems[t] = heads[t]
     # a stem whose documents all hold one whole word says no more than that word
     leading: dict[str, int] = {}
-    for w, n in terms.items():
+    for w, n in words.items():
         for k in range(3, min(8, len(w)) + 1):
             leading[w[:k]] = max(leading.get(w[:k], 0), n)
     stems = {s: n for s, n in stems.items() if leading.get(s, 0) < 0.9 * n}
-    terms = {w: n for w, n in terms.items() if not any(w[:k] in stems for k in range(3, min(8, len(w)) + 1))}
-    best = lambda d: [w.encode() for w in sorted(d, key=lambda w: (-d[w], w))[:most]]
-    return best(terms), best(stems)
+    covered = {w: n for w, n in words.items() if any(w[:k] in stems for k in range(3, min(8, len(w)) + 1))}
+    terms = {w: n for w, n in words.items() if w not in covered}
+    best = lambda d: {w.encode(): d[w] for w in sorted(d, key=lambda w: (-d[w], w))[:most]}
+    return best(terms), best(stems), best(covered)
+
+
+def edit_kinds(word: bytes, term: bytes) -> int:
+    """The kinds of one edit that make the term the word; 0 if none does."""
+    if word == term:
+        return 0
+    a, b = word[1:], term[1:]
+    first = FIRST if a == b or word == b or a == term else 0
+    if word[:1] != term[:1]:
+        return first
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return first | (INNER if a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:] else 0)
+
+
+def _near_words(automaton: Automaton):
+    """Misspelt words and how many toxic and other documents hold them, summed within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list[int]] = defaultdict(lambda: [0, 0])
+        for batch in batches:
+            labels = batch.column(1).to_pylist()
+            for a, _, data, offsets in steps(pc.utf8_lower(batch.column(0))):
+                words, hit, spots = scan(automaton, data, offsets)
+                raw = data.tobytes()
+                for row, word in {(int(words.row[k]), raw[s:e]) for k, s, e in spots if hit[k] == 1}:
+                    found[word][labels[a + row]] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], ["word", "good", "bad"])
+
+    return run
+
+
+def learn_edits(labelled: DataFrame, terms: dict[bytes, int], stems: dict[bytes, int], covered: dict[bytes, int], support: int = SUPPORT, precision: float = PRECISION) -> tuple[dict[bytes, int], list[bytes]]:
+    """The kinds of edits that each term and stem may be found with, and the benign words next to them.
+
+    Words that one benign document of the sample holds tell how many unseen ones there are (Good and Turing): a kind of
+    edits is allowed if, counted against it, they leave the term its precision."""
+    count = {**terms, **covered, **{s + b"*": n for s, n in stems.items()}}
+    every = Automaton([*terms, *covered], list(stems), edits=dict.fromkeys(count, INNER | FIRST))
+    near = labelled.select("text", "label").mapInArrow(_near_words(every), "word binary, good long, bad long").groupBy("word").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect()
+    shorter = lambda w: {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}
+    index = defaultdict(set)
+    for key in count:
+        for w in shorter(key.rstrip(b"*")):
+            index[w, key.endswith(b"*")].add(key)
+    longest = max(map(len, stems), default=-1) + 1
+    single, kinds = Counter(), []
+    for r in near:
+        word, found = bytes(r.word), defaultdict(int)
+        for key in {k for w in shorter(word) for k in index.get((w, False), ())}:
+            found[key] |= edit_kinds(word, key)
+        for n in range(1, min(longest, len(word)) + 1):
+            for key in {k for w in shorter(word[:n]) for k in index.get((w, True), ())}:
+                found[key] |= edit_kinds(word[:n], key[:-1])
+        pairs = {(key, bit) for key, bits in found.items() for bit in (INNER, FIRST) if bits & bit}
+        kinds.append((word, r.good, r.bad, pairs))
+        if r.good == 1 and r.bad == 0:
+            single.update(pairs)
+    always = {(w, INNER) for w in (*terms, *covered) if len(w) >= FUZZY}
+    allowed = always | {(key, bit) for key, n in count.items() for bit in (INNER, FIRST) if n >= precision * (n + single[key, bit])}
+    edits = {key: sum(bit for bit in (INNER, FIRST) if (key, bit) in allowed) for key in count}
+    benign = [w for w, good, bad, pairs in kinds if pairs & allowed and bad < precision * (good + bad) and (good >= support or not pairs & always)]
+    return edits, benign
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, window: int = 60, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -285,8 +397,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, window: int = 60, sample: int =
     marks = marks.filter(~held).groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id")).limit(sample)
     labelled = store.put(base.join(F.broadcast(store.put(marks, "marks")), "doc_id").dropDuplicates(["doc_id"]), "labelled")
-    terms, stems = learn_lexicon(labelled)
-    run = _features(Automaton(terms, stems), window)
+    terms, stems, covered = learn_lexicon(labelled)
+    edits, benign = learn_edits(labelled, terms, stems, covered) if terms or stems else ({}, [])
+    run = _features(Automaton([*terms, *covered], list(stems), edits=edits, benign=benign), window)
     schema = "doc_id long, x array<double>"
     train = store.put(labelled.select("doc_id", "text").mapInArrow(run, schema).join(labelled.select("doc_id", "label"), "doc_id").select("label", "x"), "train").toPandas()
     if len(train) and train.label.nunique() == 2:
