@@ -2,12 +2,14 @@
 
 Two views of a document: its text (shares of symbols, capitals, marks, short, repeated and bar words, repeated lines and
 so on) and its page metadata (source, language, recorded length). Each view has a logistic classifier fitted on labelled
-rows. In each round both score a pool of unlabelled rows, and the rows of which one is most confident become labelled
-rows of the other, in the proportion of the classes. At the end both are calibrated on labelled rows that neither was
-fitted on, and a last logistic regression over the two calibrated views scores all documents.
+rows. In each round both score all unlabelled rows, and the rows of which one is most confident become labelled rows of
+the other, in the proportion of the classes. At the end both are calibrated on labelled rows that neither was fitted on,
+and a last logistic regression over the two calibrated views scores all documents.
 
-The driver fits on a bounded sample: at most ``sample`` labelled and ``pool`` unlabelled rows, by hash of the id.
-Everything else covers all rows. Without labels of both classes every document scores 0.5 and is kept. Null texts are
+The driver sees a bounded sample of labelled rows only: at most ``sample``, by hash of the id, each weighed by how many
+labelled rows it stands for. Unlabelled rows stay in the cluster: the cuts of confidence come from a grouped histogram,
+the Newton steps from grouped sums of gradients and Hessians, and what a row was given follows from the weights and cuts
+of the rounds before. Without labels of both classes every document scores 0.5 and is kept. Null texts are
 empty; null metadata is a value like others; rows are never dropped.
 """
 
@@ -22,13 +24,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.repetition import SYMBOL
 from tidemark.llm.store import Store
-from tidemark.llm.textscan import SPACE, Words, steps
+from tidemark.llm.textscan import SPACE, Words, steps, texts
 from tidemark.llm.toxicity import fit_logistic, logistic
 
-#: Bounds of what the driver sees.
-SAMPLE, POOL = 20_000, 20_000
+#: Labelled rows that the driver sees, at most.
+SAMPLE = 20_000
 ROUNDS, SHARE, CONFIDENT, CUT = 4, 0.05, 0.95, 0.5
 SOURCES, LANGS = 32, 8
+#: Bins of the log-odds from that of CONFIDENT to 30; parts that the labels are dealt to in the join with repeated ids.
+BINS, SALTS = 4096, 16
 TEXT = ["words", "word_bytes", "symbols", "capitals", "digits", "stops", "shouts", "bars", "wide", "symbol_ends", "short", "echo", "distinct", "lines", "dup_lines", "longest"]
 
 
@@ -72,49 +76,166 @@ def _metadata(docs: DataFrame) -> Column:
     return F.array(size, *hashed("source", SOURCES), *hashed("lang", LANGS))
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE, confident: float = CONFIDENT) -> list[np.ndarray]:
-    """Weights of both views after exchanging confident pseudo-labels over rounds."""
-    predict = lambda w, x: 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-    x, t = [v.copy() for v in views], [y.astype(float).copy() for _ in views]
-    free = np.ones(len(pool[0]), bool)
-    weights = [fit_logistic(x[k], t[k]) for k in (0, 1)]
-    for _ in range(rounds):
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Both views of a row as one string of doubles."""
+    for batch in batches:
+        if batch.num_rows:
+            x = np.column_stack([batch.column(k).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for k in (0, 1)])
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
+
+
+def _views(column: pa.Array) -> list[np.ndarray]:
+    data, offsets = texts(column)
+    x = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.float64).reshape(len(column), -1)
+    return [x[:, : len(TEXT)], x[:, len(TEXT) :]]
+
+
+def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.clip(x @ w[:-1] + w[-1], -30, 30)
+
+
+def _bins(odds: np.ndarray, confident: float) -> np.ndarray:
+    """Bin of the log-odds; negative below the least confidence."""
+    low = np.log(confident / (1 - confident))
+    return np.minimum(np.floor((odds - low) / (30 - low) * BINS), BINS - 1).astype(np.int64)
+
+
+def _given(x: list[np.ndarray], history: list, confident: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Which rows are still free after the rounds (weights and cuts of both views), and each view's labels (-1: none)."""
+    free, label = np.ones(len(x[0]), bool), [np.full(len(x[0]), -1) for _ in x]
+    for weights, cuts in history:
         given = []
         for k in (0, 1):
-            p = predict(weights[k], pool[k])
-            for label, p_label, rate in ((1.0, p, y.mean()), (0.0, 1 - p, 1 - y.mean())):
-                at = np.flatnonzero(free & (p_label >= confident))
-                at = at[np.argsort(-p_label[at], kind="stable")[: max(1, int(share * rate * len(free)))]]
-                given.append((1 - k, at, label))
-        for to, at, label in given:
-            x[to], t[to] = np.vstack([x[to], pool[to][at]]), np.concatenate([t[to], np.full(len(at), label)])
-            free[at] = False
-        weights = [fit_logistic(x[k], t[k]) for k in (0, 1)]
+            odds = _odds(weights[k], x[k])
+            given += [(1 - k, free & (_bins(s, confident) >= cuts[k, y]), y) for y, s in ((1, odds), (0, -odds))]
+        for to, at, y in given:
+            label[to][at] = y
+            free &= ~at
+    return free, label
+
+
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-likelihood, gradient and Hessian of logistic regression, in one array."""
+    z, odds = np.column_stack([x, np.ones(len(x))]), _odds(w, x)
+    p = 1 / (1 + np.exp(-odds))
+    return np.concatenate([[(y * odds - np.logaddexp(0, odds)).sum()], z.T @ (y - p), (z.T @ (z * (p * (1 - p))[:, None])).ravel()])
+
+
+def confident_cuts(pool: DataFrame, weights: list[np.ndarray], history: list, wanted: dict[int, int], confident: float) -> dict[tuple[int, int], int]:
+    """The bin from which each view gives rows of each class, by a histogram of all free rows: bins are taken whole, from
+    the top, until there are ``wanted`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2, BINS), np.int64)
+        for batch in batches:
+            x = _views(batch.column(0))
+            free, _ = _given(x, history, confident)
+            for k in (0, 1):
+                odds = _odds(weights[k], x[k][free])
+                for y, s in ((1, odds), (0, -odds)):
+                    at = _bins(s, confident)
+                    total[k, y] += np.bincount(at[at >= 0], minlength=BINS)
+        k, y, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (k, y, at, total[k, y, at])], ["k", "y", "bin", "n"])
+
+    found: dict[tuple[int, int], dict[int, int]] = {(k, y): {} for k in (0, 1) for y in (0, 1)}
+    for r in pool.mapInArrow(run, "k long, y long, bin long, n long").groupBy("k", "y", "bin").agg(F.sum("n").alias("n")).collect():
+        found[r.k, r.y][r.bin] = r.n
+    cuts = {}
+    for (k, y), counts in found.items():
+        taken, cuts[k, y] = 0, BINS
+        for at in sorted(counts, reverse=True):
+            if taken < wanted[y]:
+                taken, cuts[k, y] = taken + counts[at], at
+    return cuts
+
+
+def pool_sums(pool: DataFrame, weights: list[np.ndarray], history: list, confident: float) -> list[np.ndarray]:
+    """_sums of each view over all rows that it was given, added up in the cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 + len(w) + len(w) ** 2) for w in weights]
+        for batch in batches:
+            x = _views(batch.column(0))
+            _, label = _given(x, history, confident)
+            for k in (0, 1):
+                at = label[k] >= 0
+                total[k] += _sums(x[k][at], label[k][at], weights[k])
+        flat = np.concatenate(total)
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(flat[at])], ["at", "v"])
+
+    size = [1 + len(w) + len(w) ** 2 for w in weights]
+    out = np.zeros(sum(size))
+    for r in pool.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
+    return [out[: size[0]], out[size[0] :]]
+
+
+def fit_views(views: list[np.ndarray], y: np.ndarray, weight: float, start: list[np.ndarray], pool: DataFrame, history: list, confident: float, ridge: float = 1.0) -> list[np.ndarray]:
+    """Newton steps of both views at once, halved while they do not improve: labelled rows of the driver and all rows that
+    the rounds have given."""
+    penalty = [np.append(np.full(len(w) - 1, ridge), 1e-6) for w in start]
+
+    def at(ws: list[np.ndarray]) -> list[tuple[float, np.ndarray]]:
+        """The penalised likelihood and the step from there."""
+        out = []
+        for k, far in enumerate(pool_sums(pool, ws, history, confident)):
+            total, n = far + weight * _sums(views[k], y, ws[k]), len(ws[k])
+            value = total[0] - (penalty[k] * ws[k] ** 2).sum() / 2
+            out.append((value, np.linalg.solve(total[1 + n :].reshape(n, n) + np.diag(penalty[k]), total[1 : n + 1] - penalty[k] * ws[k])))
+        return out
+
+    w = [v.copy() for v in start]
+    best, scale = at(w), [1.0, 1.0]
+    for _ in range(40):
+        if all(np.abs(scale[k] * best[k][1]).max() < 1e-6 for k in (0, 1)):
+            break
+        trial = [w[k] + scale[k] * best[k][1] for k in (0, 1)]
+        new = at(trial)
+        for k in (0, 1):
+            if new[k][0] >= best[k][0] - 1e-9 * abs(best[k][0]):
+                w[k], best[k], scale[k] = trial[k], new[k], 1.0
+            else:
+                scale[k] /= 2
+    return w
+
+
+def co_train(views: list[np.ndarray], y: np.ndarray, weight: float, pool: DataFrame, rounds: int = ROUNDS, share: float = SHARE, confident: float = CONFIDENT) -> list[np.ndarray]:
+    """Weights of both views after exchanging confident pseudo-labels over rounds; pool: x, all unlabelled rows."""
+    rows, history = pool.count(), []
+    weights = [fit_logistic(v, y) for v in views]
+    for _ in range(rounds if rows else 0):
+        wanted = {label: max(1, int(share * rate * rows)) for label, rate in ((1, y.mean()), (0, 1 - y.mean()))}
+        history = [*history, (weights, confident_cuts(pool, weights, history, wanted, confident))]
+        weights = fit_views(views, y, weight, weights, pool, history, confident)
     return weights
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """All columns of docs and q_text, q_meta (calibrated views), q_score, q_kept."""
     store = Store(docs.sparkSession, "cotraining")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _metadata(docs).alias("meta_x"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(SALTS)).alias("salt"), _metadata(docs).alias("meta_x")).alias("row"), text.alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
-    chosen = store.put(marks.orderBy(F.xxhash64("doc_id")).limit(sample), "labelled").withColumn("known", F.lit(True))
-    free = base.select("doc_id").filter("doc_id is not null").join(marks, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id")).limit(pool)
-    wanted = store.put(chosen.unionByName(free.select("doc_id", F.lit(0).alias("label"), F.lit(False).alias("known"))), "wanted")
-    rows = base.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])  # at most sample + pool ids
-    seen = store.put(rows.select(F.struct("doc_id", "label", "known", "meta_x").alias("row"), "text").mapInArrow(_measure, "row struct<doc_id:long,label:int,known:boolean,meta_x:array<double>>, text_x array<double>"), "seen")
-    got = seen.select("row.*", "text_x", F.pmod(F.xxhash64(F.lit(7), "row.doc_id"), F.lit(4)).alias("fold")).toPandas()
+    marks = store.put(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "marks")
+    chosen = store.put(marks.orderBy(F.xxhash64("doc_id")).limit(sample), "labelled")
+    seen = store.put(base.mapInArrow(_measure, "row struct<doc_id:long,salt:long,meta_x:array<double>>, text_x array<double>").select("row.*", "text_x"), "seen")
+    found = seen.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most sample ids
+    known = found.select("label", "meta_x", "text_x", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("fold")).toPandas()
+    dealt = marks.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    free = seen.filter("doc_id is not null").join(dealt, ["doc_id", "salt"], "left_anti").select("text_x", "meta_x").unionByName(seen.filter("doc_id is null").select("text_x", "meta_x"))
     zero = [np.zeros(len(TEXT) + 1), np.zeros(1 + SOURCES + LANGS + 1)]
     last = np.zeros(3)
-    known = got[got.known]
     if len(known) and known.label.nunique() == 2:
         arrays = lambda f: [np.array(f[c].tolist()) for c in ("text_x", "meta_x")]
-        train, check, pool_rows = known[known.fold != 0], known[known.fold == 0], got[~got.known]
+        train, check = known[known.fold != 0], known[known.fold == 0]
         if train.label.nunique() < 2 or check.label.nunique() < 2:
             train = check = known
-        empty = [np.zeros((0, len(w) - 1)) for w in zero]
-        zero = co_train(arrays(train), train.label.to_numpy(float), arrays(pool_rows) if len(pool_rows) else empty)
+        pool = store.put(free.mapInArrow(_pack, "x binary"), "pool")
+        store.drop("seen")
+        zero = co_train(arrays(train), train.label.to_numpy(float), marks.count() / chosen.count(), pool)
+        store.drop("pool")
         y = check.label.to_numpy(float)
         views = arrays(check)
         for k in (0, 1):  # calibration: a line through the view's log-odds
