@@ -169,3 +169,14 @@ def test_contract_raises(spark):
     with pytest.raises(ValueError):
         C.require(C.unique_key(df, "k"))
     C.require(C.row_count(df, 2))
+
+
+def test_nearest_at_any_distance(spark):
+    points = spark.createDataFrame([(1, 0.0, 5.0), (2, 9000.0, 0.0), (3, -50.0, 0.0), (4, 100.0, -70000.0)], "stop_id int, x double, y double")
+    segments = spark.createDataFrame([(7, 0.0, 0.0, 100.0, 0.0), (8, 0.0, 100.0, 100.0, 100.0)], "id int, ax double, ay double, bx double, by double")
+    got = {r.stop_id: (r.id, r.distance) for r in S.nearest_segment(points, segments, "stop_id", ["id"], 100.0).collect()}
+    assert got == {1: (7, 5.0), 2: (7, 8900.0), 3: (7, 50.0), 4: (7, 70000.0)}
+    nodes = spark.createDataFrame([(5, 0.0, 0.0), (6, 100.0, 0.0)], "node int, x2 double, y2 double")
+    got = {r.stop_id: (r.node, r.distance) for r in S.nearest_point(points, nodes, "stop_id", ["node"], 20.0).collect()}
+    assert got == {1: (5, 5.0), 2: (6, 8900.0), 3: (5, 50.0), 4: (6, 70000.0)}
+    assert S.nearest_segment(points, segments.limit(0), "stop_id", ["id"], 100.0).count() == 0

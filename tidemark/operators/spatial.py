@@ -7,11 +7,14 @@ at most once per bucket of the point side, never in a cross join.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.graph import written
+
 
 def bucket(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("long")
@@ -116,16 +119,33 @@ def points_near_segments(points: DataFrame, segments: DataFrame, d: float) -> Da
     return pairs.withColumn("distance", distance).withColumn("t", t).filter(F.col("distance") <= d).drop("gx", "gy")
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str, order: list[str], first: float, most: float) -> DataFrame:
-    """The nearest segment of each point: the halo doubles for points that have found none, up to ``most``."""
+def _nearest(points: DataFrame, ends: DataFrame, near, key: str, order: list[str], first: float) -> DataFrame:
+    """The nearest of what near(points, d) pairs with each point: the halo doubles for points that have found none, until
+    none is left or it covers the extent of the points and of ``ends`` (x, y)."""
+    xy = lambda df: df.select(F.col("x").cast("double"), F.col("y").cast("double"))
+    e = xy(points).unionByName(xy(ends)).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    extent = math.hypot(e[0] or 0.0, e[1] or 0.0)
     best = Window.partitionBy(key).orderBy("distance", *order)
     out, todo, d = None, points, first
     while True:
-        found = points_near_segments(todo, segments, d).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n")
+        found = written(near(todo, d).withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n"), "nearest")
         out = found if out is None else out.unionByName(found)
-        if d >= most:
+        if d >= extent:
+            return out
+        todo, d = written(todo.join(found.select(key), key, "left_anti"), "unsettled"), d * 2
+        if not todo.take(1):
             return out
-        todo, d = todo.join(found.select(key), key, "left_anti"), min(most, d * 2)
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, order: list[str], first: float) -> DataFrame:
+    """The nearest segment of each point, at any distance."""
+    ends = segments.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(segments.select("bx", "by"))
+    return _nearest(points, ends, lambda todo, d: points_near_segments(todo, segments, d), key, order, first)
+
+
+def nearest_point(points: DataFrame, others: DataFrame, key: str, order: list[str], first: float) -> DataFrame:
+    """The nearest of the others (x2, y2, ...) of each point, at any distance."""
+    return _nearest(points, others.select(F.col("x2").alias("x"), F.col("y2").alias("y")), lambda todo, d: within(todo, others, d), key, order, first)
 
 
 def nearest_points(points: DataFrame, k: int, size: float, rings: int = 2) -> DataFrame:

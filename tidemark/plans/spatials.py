@@ -62,16 +62,14 @@ _D = "sqrt(power(greatest(greatest(least(ux,vx)-x,x-greatest(ux,vx)),0),2)+power
 
 @query(f"select stop_id, u, v, distance from (select stop_id, u, v, round({_D}+1e-9,6) as distance, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n where {_D} <= 3200) q where r = 1")
 def jn18_nearest_edge(i: Inputs) -> DataFrame:
-    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0, 3200.0)
+    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0)
     return best.select("stop_id", "u", "v", X.steady(F.col("distance")).alias("distance"))
 
 
 @query("select stop_id, case when d <= 60 then node end as node, round(d+1e-9,6) as distance from (select stop_id, u as node, sqrt(power(x-ux,2)+power(y-uy,2)) as d, row_number() over (partition by stop_id order by sqrt(power(x-ux,2)+power(y-uy,2)), u) as r from v_stops, (select distinct u, ux, uy from v_network) n where sqrt(power(x-ux,2)+power(y-uy,2)) <= 200) q where r = 1")
 def jn19_nearest_node(i: Inputs) -> DataFrame:
-    from tidemark.operators.windows import first_of
-
     nodes = i.network.select(F.col("u").alias("node"), F.col("ux").alias("x2"), F.col("uy").alias("y2")).distinct()
-    best = first_of(S.within(i.stops, nodes, 200.0), ["stop_id"], F.col("distance"), F.col("node"))
+    best = S.nearest_point(i.stops, nodes, "stop_id", ["node"], 200.0)
     return best.select("stop_id", F.when(F.col("distance") <= 60, F.col("node")).alias("node"), X.steady(F.col("distance")).alias("distance"))
 
 
@@ -218,7 +216,7 @@ def jn21_stops_near_edges(i: Inputs) -> DataFrame:
 @query()
 def grf2_insert_origins(i: Inputs) -> DataFrame:
     """Stops as routing origins: two new edges each, to both ends of the nearest street."""
-    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0, 400.0)
+    best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0)
     node, t = -F.col("stop_id") - 1, F.col("t")
     one = best.select(node.alias("u"), F.col("u").alias("v"), (t * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))
     two = best.select(node.alias("u"), F.col("v"), ((1 - t) * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))
