@@ -180,3 +180,15 @@ def test_nearest_at_any_distance(spark):
     got = {r.stop_id: (r.node, r.distance) for r in S.nearest_point(points, nodes, "stop_id", ["node"], 20.0).collect()}
     assert got == {1: (5, 5.0), 2: (6, 8900.0), 3: (5, 50.0), 4: (6, 70000.0)}
     assert S.nearest_segment(points, segments.limit(0), "stop_id", ["id"], 100.0).count() == 0
+
+
+def test_k_means_settles(spark):
+    rng = np.random.default_rng(11)
+    xy = [rng.uniform(size=(n, 2)) * 1000 for n in (500, 60, 2)]
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, p in enumerate(xy) for x, y in p], "park_num int, x double, y double")
+    got = SE.k_means(points, "park_num", 3).toPandas()
+    assert len(got) == 562 and (got.groupby("park_num").chosen.sum() == [3, 3, 2]).all()
+    for _, g in got.groupby("park_num"):
+        centre = g.groupby("cluster")[["x", "y"]].mean()
+        d = np.hypot(g.x.to_numpy()[:, None] - centre.x.to_numpy(), g.y.to_numpy()[:, None] - centre.y.to_numpy())
+        assert (centre.index.to_numpy()[d.argmin(axis=1)] == g.cluster).all()
