@@ -192,3 +192,13 @@ def test_k_means_settles(spark):
         centre = g.groupby("cluster")[["x", "y"]].mean()
         d = np.hypot(g.x.to_numpy()[:, None] - centre.x.to_numpy(), g.y.to_numpy()[:, None] - centre.y.to_numpy())
         assert (centre.index.to_numpy()[d.argmin(axis=1)] == g.cluster).all()
+
+
+def test_connecting_k(spark):
+    """Two far towns of 14 points need the fourteenth neighbour; one town needs six at most."""
+    from tidemark.plans.models import connecting_k
+
+    towns = [(t * 100 + k, t * 30000.0 + k % 4 * 10.0, k // 4 * 10.0) for t in (0, 1) for k in range(14)]
+    points = spark.createDataFrame(towns, "id int, x double, y double")
+    assert connecting_k(points) == 14
+    assert connecting_k(points.filter("id < 100")) == 6

@@ -152,7 +152,7 @@ def nearest_points(points: DataFrame, k: int, size: float, rings: int = 2) -> Da
     """k nearest others of each point (id, x, y), ties by id: i, j, distance, rank.
 
     Neighbours are sought in the buckets within ``rings``; the k-th is final if it is no farther than what those buckets
-    surely cover. Points for which it is not are sought again in twice as many rings."""
+    surely cover. Points for which it is not are sought again in buckets of twice the size."""
     total = points.count()
     k = min(k, max(total - 1, 0))
     out, todo = None, points
@@ -170,7 +170,7 @@ def nearest_points(points: DataFrame, k: int, size: float, rings: int = 2) -> Da
         left = todo.count()
         if left == 0 or k == 0:
             return out
-        rings *= 2
+        size *= 2
 
 
 def crossings(lines: DataFrame, borders: DataFrame, size: float) -> DataFrame:

@@ -106,14 +106,29 @@ def sta15_sta16_filtered_model(i: Inputs) -> DataFrame:
     return _terms(i, [("fixed", t, b) for t, b in zip(m["term"], m["beta"])] + [("model", k, m[k]) for k in ("sigma2", "loglik", "vectors")])
 
 
-@query()
-def grf8_smallest_connecting_k(i: Inputs) -> DataFrame:
-    """The least number of neighbours, from six on, that connects all sites: neighbours once, then components by k."""
-    near = G.written(site_neighbours(i, 12), "near")
-    found = 12
-    for k in range(6, 13):
+def connecting_k(points: DataFrame, least: int = 6, most: int = 12) -> int:
+    """The least number of neighbours, from ``least`` on, that connects all points (id, x, y). As more neighbours keep
+    what fewer connect, the number fetched doubles until it connects, then halving finds the least."""
+    total = points.count()
+
+    def connects(near: DataFrame, k: int) -> bool:
         pairs = near.filter(F.col("rank") <= k).select(F.col("i").alias("u"), F.col("j").alias("v"), F.lit(1.0).alias("len"))
-        if G.connected(pairs).select("component").distinct().count() <= 1:
-            found = k
+        return k >= total - 1 or G.connected(pairs).select("component").distinct().count() <= 1
+
+    low = least - 1  # does not connect, or is not asked for
+    while True:
+        near = G.written(S.nearest_points(points, most, 1000.0), "near")
+        if connects(near, most):
             break
+        low, most = most, most * 2
+    while most - low > 1:
+        k = (low + most) // 2
+        low, most = (low, k) if connects(near, k) else (k, most)
+    return most
+
+
+@query()
+def grf8_smallest_connecting_k(i: Inputs) -> DataFrame:
+    """The least number of neighbours, from six on, that connects all sites."""
+    found = connecting_k(i.sites.select(F.col("park_num").alias("id"), "x", "y"))
     return i.sites.agg(F.count("*").alias("sites")).withColumn("k", F.lit(found))
