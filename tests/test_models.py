@@ -202,3 +202,12 @@ def test_connecting_k(spark):
     points = spark.createDataFrame(towns, "id int, x double, y double")
     assert connecting_k(points) == 14
     assert connecting_k(points.filter("id < 100")) == 6
+
+
+def test_filtered_model_takes_all_vectors(spark):
+    rng = np.random.default_rng(5)
+    sites = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(size=(300, 2)) * 1000)]
+    points = spark.createDataFrame(sites, "id int, x double, y double")
+    rows = spark.createDataFrame([(k, float(a), float(a + rng.normal())) for k, _, _ in sites for a in rng.normal(size=2)], "site int, a double, b double")
+    vectors = len(M.moran_basis(points)[1])
+    assert 50 < vectors <= 200 and M.filtered_mixed_model(rows, points, "b", ["a"], "site")["vectors"] == vectors

@@ -331,7 +331,7 @@ def moran_basis(points: DataFrame, most: int = 200) -> tuple[list, np.ndarray, n
     return [p.id for p in rows], values[order], vectors[:, order]
 
 
-def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str], site: str, most: int = 50) -> dict:
+def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str], site: str, most: int = 200) -> dict:
     """Random effects eigenvector filtering: y = X b + E g + site intercept + e, var(g_k) ~ value_k ** alpha, by REML.
 
     Since E is constant within a site, moments of (X, y) and per-site sums give every product; three variance
