@@ -341,14 +341,15 @@ def test_quality(spark, docs, none):
 
 
 def test_quality_all_rows(spark):
-    """A source that only the unlabelled rows last by hash of the id have, all of them junk, reaches the metadata view."""
-    last = {r.id for r in spark.range(24000).filter("id >= 300").orderBy(F.xxhash64("id").desc()).limit(100).collect()}
+    """Two sources that only the unlabelled rows last by hash of the id have, one of them junk, differ in the metadata view."""
+    ids = [r.id for r in spark.range(24000).filter("id >= 300").orderBy(F.xxhash64("id").desc()).limit(200).collect()]
+    last, fresh = set(ids[:100]), set(ids[100:])
     rows = []
     for i in range(24000):
         junk = i in last or (i < 300 and i % 5 == 0)
-        rows.append((i, " ".join(w + "###" for w in sentence(i, 12).split()) if junk else sentence(i, 12), "rare" if i in last else "poor" if junk and i % 3 else f"s{i % 4}", 70))
+        rows.append((i, " ".join(w + "###" for w in sentence(i, 12).split()) if junk else sentence(i, 12), "rare" if i in last else "fresh" if i in fresh else "poor" if junk and i % 3 else f"s{i % 4}", 70))
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     l = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(300)], "doc_id long, quality int")
-    got = quality_scores(d, l).groupBy((F.col("source") == "rare").alias("rare")).agg(F.avg("q_meta").alias("q"), F.avg(F.col("q_kept").cast("int")).alias("kept"))
+    got = quality_scores(d, l).filter("source in ('rare', 'fresh')").groupBy((F.col("source") == "rare").alias("rare")).agg(F.avg("q_meta").alias("q"), F.avg(F.col("q_kept").cast("int")).alias("kept"))
     got = {r.rare: r for r in got.collect()}
     assert got[True].q < got[False].q - 0.02 and got[True].kept == 0 and got[False].kept > 0.99
