@@ -215,6 +215,42 @@ def test_private(spark, docs, none):
     assert private_spans(none).count() == 0 and private_spans(docs).count() == docs.count()
 
 
+def test_private_addresses(spark):
+    """Base spans against plain patterns over runs of digits and marks, zero parts included."""
+    rng = np.random.default_rng(17)
+    fixed = ["0.0.0.0", "10.0.0.1 and 192.168.0.254 or 8.8.8.8", "255.255.255.255 256.1.1.1", "01.002.3.4 00.1.2.3 1.2.3.000", "1.2.3.4.5 1.2.3.4.5.6.7.8", "0000000.0.0.1x1.2.3.0256"]
+    drawn = ["".join(rng.choice(list("0012559.. -+@a"), size=60)) for _ in range(400)]
+    drawn += [" ".join(".".join(str(k) for k in rng.integers(0, 300, rng.integers(3, 7))) for _ in range(4)) for _ in range(200)]
+    texts = fixed + drawn
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii_spans if s.base] for r in private_spans(df).collect()}
+    assert [got[i] for i in range(len(texts))] == [base_spans(t) for t in texts]
+    assert len(got[0]) == 1 and len(got[1]) == 3
+
+
+def test_private_whole_table(spark):
+    """Base spans of all rows of a generated table against plain patterns."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for r in private_spans(docs).collect():
+        assert [(s.kind, s.start, s.end) for s in r.pii_spans if s.base] == base_spans(r.text or "")
+
+
+def test_private_thresholds(spark):
+    """Accounts that follow a keyword hold the checksum and the others do not; keyword is a feature, the checksum is not."""
+    rng = np.random.default_rng(23)
+
+    def account(sound):
+        body = "".join(rng.choice(list("0123456789"), size=18))
+        rest = 98 - int(body + "131400") % 97  # 13, 14: the letters D and E
+        return f"DE{rest if sound else (rest + 5) % 97:02d}{body}"
+
+    texts = [f"my iban {account(True)} ok" if i % 2 else f"part {account(False)} ok" for i in range(200)]
+    texts += ["my iban DE00 0000", "", None]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, pii_spans string, __pii int")
+    got = {r.doc_id: [s.kind for s in r.pii_spans] for r in private_spans(df).collect()}
+    assert all(("account" in got[i]) == (i % 2 == 1) for i in range(200)) and got[200] == got[201] == got[202] == []
+
+
 def test_boosting_separates():
     x = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1, 2)])
     y = ((x[:, 0] == 1) & (x[:, 2] > 0)).astype(float)

@@ -4,13 +4,16 @@ Base spans follow four fixed formats with their checks and always stay. High-rec
 freely: values after secret-like keywords, local telephone numbers, grouped identity numbers, account codes, long
 hexadecimal and digit strings. Format and context features of all candidates are small whole numbers, so Spark groups
 all candidates of the corpus to a short table of feature patterns with counts; the driver fits boosted trees of depth
-two on that table (its size is bounded by the product of the features' values, not by the corpus). Weak labels: a
-candidate that a checksum, range or keyword confirms is positive, one of the same shapes that fails it is negative. The
-trees become one column expression. Per kind, the threshold is the lowest score at which the confirmed share of the
-candidates above reaches ``precision``. Of overlapping candidates the best score stays, and none that a base span
-touches.
-
-Positions count code points. Null texts are empty. Ids are carried as they are.
+two on that table (its size is bounded by the product of the features' values, not by the corpus). Labels come from
+checks of the value alone that no feature sees: Luhn, ranges of addresses and of telephone, area and identity numbers,
+the account checksum modulo 97, the number of different characters of secrets and codes. So the trees learn which
+format and context go with sound values. The score of each pattern becomes a map column. Thresholds are calibrated by
+cross-fitting: texts fall into two folds by hash, each fold is scored by the trees of the other, and a kind's threshold
+is the lowest held-out score at which the sound share of its candidates above reaches ``precision``. Of overlapping
+candidates the best score stays, and none that a base span touches.
+
+Positions count code points. Null texts are empty. Ids are carried as they are, nulls and repeats included. Columns of
+docs named ``pii_spans`` or ``__pii`` are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Only whole runs of 13 to 19 digits with single separators; a run is maximal, so others fail whole.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SMALL = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+SMALL = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 IP_VALID = rf"^{SMALL}\.{SMALL}\.{SMALL}\.{SMALL}$"
 BASE = ("email", "ip", "card", "phone")
 #: The further generators: kind, a cheap test of the whole text, pattern.
@@ -33,11 +36,13 @@ MORE = (
     ("secret", "[=:]", r"(?i)(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key|key)[\x20]{0,2}[=:][\x20]{0,2}[\"']?[A-Za-z0-9_./+-]{6,64}[\"']?"),
     ("local_phone", "[0-9]", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
     ("identity", "[0-9]-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    ("account", "[A-Z][0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
+    ("account", "[A-Z][0-9]", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("code", "[0-9]", r"(?<![A-Za-z0-9])(?=[a-f0-9]*[0-9])[a-f0-9]{12,64}(?![A-Za-z0-9])"),
 )
 KEYWORD = r"(?i)(?:pass|pwd|token|secret|key|card|phone|tel|call|mail|account|iban|ssn|id)[^\p{L}]{0,4}$"
 ROUNDS, RATE, PRECISION = 40, 0.3, 0.9
+#: Different characters of a sound secret or code, at least.
+VARIED = 10
 FEATURES = ("keyword", "separated", "length", "digits", "mixed", "before", "after")
 NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
 
@@ -74,9 +79,30 @@ def _sound(kind: str, value: Column) -> Column:
         return luhn(value)
     if kind == "phone":
         return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
+    if kind == "local_phone":
+        return F.regexp_replace(value, "[^0-9]", "").rlike("^[2-9][0-8][0-9][2-9][0-9]{2}")
+    if kind == "identity":
+        return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
+    if kind == "account":
+        return _mod97(value) == 1
+    if kind in ("secret", "code"):
+        different = F.size(F.array_distinct(F.split(F.regexp_replace(value, "^.*[=:][\\x20]*|[\"']", ""), "")))
+        return different >= VARIED
     return F.lit(True)
 
 
+def _mod97(value: Column) -> Column:
+    """Remainder of an account code, its first four characters moved to the end and letters read as 10 to 35."""
+    plain = F.regexp_replace(value, "[^A-Z0-9]", "")
+    turned = F.split(F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4)), "")
+
+    def add(acc: Column, c: Column) -> Column:
+        n = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (acc * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), add)
+
+
 def _candidate(text: Column, kind: str, x: Column, sound: Column) -> Column:
     left = F.substring(text, F.greatest(F.lit(1), x["start"] - 23), F.least(F.lit(24), x["start"]))
     sides = lambda c: F.when((c == "") | c.rlike(r"\s"), 0).when(c.rlike("[=:\"'(#]"), 1).when(c.rlike(r"[\p{L}0-9]"), 2).otherwise(3)
@@ -98,8 +124,7 @@ def _candidate(text: Column, kind: str, x: Column, sound: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Base matches, sound or not, and all further proposals, with features. What confirms a further proposal: a
-    keyword before it, a checksum of its digits, or letters mixed with digits behind a keyword."""
+    """Base matches and all further proposals, sound or not, with features."""
     digits = text.rlike("[0-9]")
     found = {
         "email": matches(text, EMAIL, F.contains(text, F.lit("@"))),
@@ -108,18 +133,12 @@ def candidates(text: Column) -> Column:
         "phone": matches(text, PHONE, F.contains(text, F.lit("+"))),
     }
 
-    def base(kind: str) -> Column:
-        return F.transform(found[kind], lambda x: _candidate(text, kind, x, _sound(kind, x["value"])))
-
-    def more(kind: str, test: str, pattern: str) -> Column:
-        def confirmed(x: Column) -> Column:
-            if kind == "secret":
-                return x["value"].rlike("[0-9]") & (F.length(x["value"]) >= 14)
-            return F.substring(text, F.greatest(F.lit(1), x["start"] - 23), F.least(F.lit(24), x["start"])).rlike(KEYWORD)
+    found |= {kind: matches(text, pattern, text.rlike(test)) for kind, test, pattern in MORE}
 
-        return F.transform(matches(text, pattern, text.rlike(test)), lambda x: _candidate(text, kind, x, confirmed(x)))
+    def judged(kind: str) -> Column:
+        return F.transform(found[kind], lambda x: _candidate(text, kind, x, _sound(kind, x["value"])))
 
-    return F.concat(*[base(kind) for kind in BASE], *[more(*x) for x in MORE])
+    return F.concat(*[judged(kind) for kind in found])
 
 
 Tree = tuple[tuple[int, int], tuple[tuple[int, int], float, float], tuple[tuple[int, int], float, float]]
@@ -172,18 +191,23 @@ def tree_score(bias: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
 
 
 def learn(texts: DataFrame, precision: float = PRECISION) -> tuple[dict[tuple[int, ...], float], dict[str, float]]:
-    """texts: text. Score of each feature pattern and threshold of each further kind."""
-    seen = texts.select(F.explode(candidates(F.col("text"))).alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in ("kind", "sound", *FEATURES)]).count().collect()
+    """texts: text. Score of each feature pattern and threshold of each further kind (2: none is taken)."""
+    fold = F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")
+    patterns = texts.select(fold, F.explode(candidates(F.col("text"))).alias("c")).groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in ("kind", "sound", *FEATURES)])
+    seen = patterns.count().orderBy("kind", "fold", "sound", *FEATURES).collect()  # one order, so that reruns agree
     cuts = {kind: 2.0 for kind, _, _ in MORE}
     if not seen:
         return {}, cuts
     x, y, n = np.array([[r[f] for f in FEATURES] for r in seen]), np.array([float(r.sound) for r in seen]), np.array([float(r["count"]) for r in seen])
-    bias, trees = boost(x, y, np.log1p(n))
-    score = tree_score(bias, trees, x)
-    kinds = np.array([r.kind for r in seen])
+    kinds, folds = np.array([r.kind for r in seen]), np.array([r.fold for r in seen])
+    score = tree_score(*boost(x, y, np.log1p(n)), x)
+    held = score.copy()  # a fold without candidates leaves the other to its own trees
+    for k in (0, 1):
+        if (folds == k).any() and (folds != k).any():
+            held[folds == k] = tree_score(*boost(x[folds != k], y[folds != k], np.log1p(n[folds != k])), x[folds == k])
     for kind in cuts:
         own = kinds == kind
-        levels = [s for s in np.unique(score[own]) if (n * y)[own & (score >= s)].sum() >= precision * n[own & (score >= s)].sum()]
+        levels = [s for s in np.unique(held[own]) if (n * y)[own & (held >= s)].sum() >= precision * n[own & (held >= s)].sum()]
         if levels:
             cuts[kind] = float(min(levels))
     return {tuple(row): float(s) for row, s in zip(x.tolist(), score)}, cuts
@@ -191,6 +215,7 @@ def learn(texts: DataFrame, precision: float = PRECISION) -> tuple[dict[tuple[in
 
 def private_spans(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and pii_spans, array of kind, start, end, base (bool), ordered by kind as listed, then start."""
+    docs = docs.drop("pii_spans", "__pii")
     text = F.coalesce(F.col(text_col), F.lit(""))
     scores, cuts = learn(docs.select(text.alias("text")), precision)
     table = F.create_map(*[F.lit(v) for pattern, s in scores.items() for v in (",".join(map(str, pattern)), s)]) if scores else F.expr("cast(map() as map<string,double>)")

@@ -42,7 +42,7 @@ def op4_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = private_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     written = lambda base: F.array_join(F.transform(F.filter("pii_spans", lambda s: s["base"] | F.lit(not base)), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     counts = [F.size(F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
-    return out.select("doc_id", *counts, F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"))
+    return out.select("doc_id", *counts, F.sha2(written(True), 256).alias("base_sha256"), written(False).alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
