@@ -151,6 +151,31 @@ def test_lattice(spark):
     assert embedding_links(df.limit(0)).count() == 0
 
 
+def test_lattice_recall(spark):
+    """Pairs at cosine 0.95 to 0.97 in 64 dimensions, copies, and what the settings of larger tables miss."""
+    rng = np.random.default_rng(29)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    a = unit(rng.normal(size=(4000, 64)))
+    b = rng.normal(size=a.shape)
+    b = unit(b - (a * b).sum(axis=1)[:, None] * a)
+    c = rng.uniform(0.9501, 0.97, len(a))[:, None]
+    near = c * a + np.sqrt(1 - c * c) * b
+    for most, *given in lattice.SETTINGS:
+        x, y = (lattice.cells(v, *given, lattice.SEED) for v in (a, near))
+        met = ((y == x[:, :, :1]).any(axis=2) | (x == y[:, :, :1]).any(axis=2)).any(axis=1)
+        assert (~met).mean() <= 0.003, most
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([a[:1500], near[:1500]]))]
+    rows += [(5000 + k, a[0].tolist()) for k in range(700)] + [(7000, a[1].tolist()), (7000, a[2].tolist()), (7001, (-0.0 * a[3]).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(list)
+    for r in embedding_links(df).collect():
+        got[r.vec_id].append(r)
+    assert sum(got[1500 + i][0].component_id == got[i][0].component_id for i in range(3, 1500)) >= 1495
+    assert got[0][0].n_links == 701 and got[5000][0].n_links == 701 and got[5699][0].component_id == 0
+    assert [r.n_links for r in got[7000]] == [2, 2] and got[7000][0].component_id == 1 and got[2][0].component_id == 1
+    assert got[7001][0].n_links == 0 and got[7001][0].kept
+
+
 def test_lattice_points():
     assert len(lattice.neighbours()) == 240 and np.allclose((lattice.neighbours() ** 2).sum(axis=1), 2)
     x = np.random.default_rng(1).normal(size=(200, 8)) * 2

@@ -2,15 +2,19 @@
 
 Each of ``tables`` random projections takes the unit vector to eight dimensions, scaled by ``scale``, where the nearest
 point of the E8 lattice names its cell; the vector also probes the ``probes`` neighbouring cells nearest to it (of the
-lattice's 240). Two vectors meet in a cell where one lives and the other lives or probes. Inside a cell, blocks of
-vectors are compared by cosine in double precision, block against block, so a crowded cell becomes many tasks; a pair is
-counted in the first cell where the two meet and nowhere else. Pairs are never emitted: a block yields each vector's
-number of links and one link to the smallest vector of its group inside the block.
+lattice's 240). Two vectors meet in a cell where one lives and the other lives or probes. Equal vectors form one class
+with a weight, and only classes are hashed. Inside a cell, blocks of classes are compared by cosine in double precision,
+block against block, so a crowded cell becomes many tasks; a pair is counted in the first cell where the two meet and
+nowhere else. Pairs are never emitted: a block yields each class's number of linked rows and one link to the smallest
+vector of its group inside the block.
 
 Vectors that are null, empty, of another length than the most, zero, or hold null or non-finite components link with
-nothing and keep themselves. Rows that repeat a vec_id have links of their own, but are one node of the components.
-With these defaults a pair at the threshold is missed about once in 2 000 times, a closer one less. Cells hold more the
-more vectors there are: raise ``scale`` (cells grow as its eighth power) and with it ``tables`` for much larger tables.
+nothing and keep themselves. Rows that repeat a vec_id have links of their own, but are one node of the components; a
+null vec_id links with nothing. An empty table gives an empty one.
+
+The lattice's scale follows the number of classes (``settings``): cells grow finer as the scale's eighth power, and
+tables and probes grow with it, so that a pair at the threshold is missed about once in 1 000 times or less at every
+size and a cell of unrelated vectors stays small.
 """
 
 from __future__ import annotations
@@ -27,9 +31,16 @@ from tidemark.llm.components import components
 from tidemark.llm.store import Store
 
 COSINE = 0.95
-TABLES, PROBES, SCALE, SEED = 3, 4, 1.5, 20240229
-#: Vectors of a cell that form one block.
-BLOCK = 256
+SEED = 20240229
+#: Up to so many classes: tables, probes and scale.
+SETTINGS = ((200_000, 3, 4, 1.5), (2_000_000, 5, 8, 2.5), (50_000_000, 6, 16, 3.0), (1 << 62, 9, 32, 4.0))
+#: Classes of a cell that form one block, and compared at once.
+BLOCK, STRIP = 1024, 64
+
+
+def settings(classes: int) -> tuple[int, int, float]:
+    """Tables, probes and scale for a table of so many different vectors."""
+    return next(x for most, *x in SETTINGS if classes <= most)
 
 
 def neighbours() -> np.ndarray:
@@ -83,26 +94,26 @@ def cells(unit: np.ndarray, tables: int, probes: int, scale: float, seed: int) -
     return out
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1)[:, None]  # so that squares of very small or large components keep their digits
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def _hash(dim: int, kind: str, tables: int, probes: int, scale: float, seed: int):
-    """id, number, vector -> id, number, the vector's bytes, all its cells."""
+    """Class (two hashes), its least id, weight, vector -> the same with the vector's bytes and all its cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = np.asarray(batch.column(2).flatten(), dtype=kind).reshape(batch.num_rows, dim)
+            raw = np.asarray(batch.column(4).flatten(), dtype=kind).reshape(batch.num_rows, dim)
             names = cells(_unit(raw), tables, probes, scale, seed).reshape(len(raw), -1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(list(names), pa.list_(pa.int64()))], ["row", "k", "raw", "cells"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array([v.tobytes() for v in raw], pa.binary()), pa.array(list(names), pa.list_(pa.int64()))], ["h1", "h2", "row", "weight", "raw", "cells"])
 
     return run
 
 
-def _unit(raw: np.ndarray) -> np.ndarray:
-    x = raw.astype(np.float64)
-    x /= np.abs(x).max(axis=1)[:, None]  # so that squares of very small or large components keep their digits
-    return x / np.sqrt((x * x).sum(axis=1))[:, None]
-
-
 def _first_meeting(a: np.ndarray, b: np.ndarray, tables: int, width: int) -> np.ndarray:
     """The first cell where each pair meets; a, b: pairs x (tables * width) names."""
     out = np.zeros(len(a), np.int64)
@@ -133,65 +144,80 @@ def _roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _compare(cosine: float, kind: str, tables: int, width: int):
-    """One pair of blocks of a cell (key: cell, block, other): links counted by row and one link per linked row."""
+    """One pair of blocks of a cell (key: cell, block, other): linked rows counted by class and one link per linked class."""
 
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
         pair = (table.column("block")[0].as_py(), table.column("other")[0].as_py())
-        rows, number, owner, home = (table.column(c).to_numpy() for c in ("row", "k", "own", "home"))
-        unit = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).reshape(len(rows), -1))
-        names = np.asarray(table.column("cells").combine_chunks().flatten()).reshape(len(rows), -1)
+        rows, weight, owner, home = (table.column(c).to_numpy() for c in ("row", "weight", "own", "home"))
+        n = len(rows)
+        unit = _unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), kind).reshape(n, -1))
+        names = np.asarray(table.column("cells").combine_chunks().flatten()).reshape(n, -1)
         left, right = np.flatnonzero(owner == pair[0]), np.flatnonzero(owner == pair[1])
-        near = unit[left] @ unit[right].T >= cosine - 1e-9
-        near &= home[left][:, None] | home[right][None, :]
-        i, j = np.nonzero(near)
-        i, j = left[i], right[j]
-        keep = (i < j) if pair[0] == pair[1] else np.ones(len(i), bool)
-        i, j = i[keep], j[keep]
-        exact = (unit[i] * unit[j]).sum(axis=1) >= cosine
-        i, j = i[exact], j[exact]
-        first = _first_meeting(names[i], names[j], tables, width) == cell
-        i, j = i[first], j[first]
-        count = np.bincount(np.concatenate([i, j]), minlength=len(rows))
-        ranked = np.argsort(rows, kind="stable")
-        place = np.empty(len(rows), np.int64)
-        place[ranked] = np.arange(len(rows))
-        root = rows[ranked[_roots(place[i], place[j], len(rows))[place]]] if len(i) else rows
+        place = np.empty(n, np.int64)
+        place[np.argsort(rows, kind="stable")] = np.arange(n)
+        count, root = np.zeros(n, np.int64), np.arange(n)  # root: by place
+        for s in range(0, len(left), STRIP):
+            strip = left[s : s + STRIP]
+            near = unit[strip] @ unit[right].T >= cosine - 1e-9
+            near &= home[strip][:, None] | home[right][None, :]
+            if pair[0] == pair[1]:
+                near &= strip[:, None] < right[None, :]
+            i, j = np.nonzero(near)
+            i, j = strip[i], right[j]
+            exact = (unit[i] * unit[j]).sum(axis=1) >= cosine
+            i, j = i[exact], j[exact]
+            first = _first_meeting(names[i], names[j], tables, width) == cell
+            i, j = i[first], j[first]
+            np.add.at(count, i, weight[j])
+            np.add.at(count, j, weight[i])
+            root = _roots(root[place[i]], root[place[j]], n)[root] if len(i) else root
         at = np.flatnonzero(count)
-        return pa.table({"row": rows[at], "k": number[at], "links": count[at].astype(np.int64), "to": root[at]})
+        return pa.table({"h1": table.column("h1").take(at), "h2": table.column("h2").take(at), "row": rows[at], "links": count[at], "to": np.sort(rows)[root[place[at]]]})
 
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE, seed: int = SEED, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None, scale: float | None = None, seed: int = SEED, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """All vectors with their links: vec_id, n_links, component_id (smallest vec_id reachable), kept."""
     spark = vectors.sparkSession
     store = Store(spark, "lattice")
     kind = "<f4" if dict(vectors.dtypes)[vec_col] == "array<float>" else "<f8"
     as_ = "array<float>" if kind == "<f4" else "array<double>"
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(as_).alias("vec"))
-    base = store.put(base.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy("vec"))), "base")
+    base = base.withColumn("vec", F.transform("vec", lambda v: F.when(v == 0, F.lit(0.0)).otherwise(v)).cast(as_))  # -0.0 is 0.0
     sound = F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("vec", lambda v: v != 0)
     good = base.filter(sound & F.col("vec_id").isNotNull())
     size = good.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if size is None:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    hashed = good.filter(F.size("vec") == size.d).select(F.col("vec_id").alias("row"), "k", "vec")
-    hashed = store.put(hashed.mapInArrow(_hash(size.d, kind, tables, probes, scale, seed), "row long, k int, raw binary, cells array<long>"), "hashed")
+    hashes = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
+    classes = good.filter(F.size("vec") == size.d).groupBy("vec").agg(F.count("*").alias("weight"), F.min("vec_id").alias("row"))
+    classes = store.put(classes.select(*hashes, "row", "weight", "vec"), "classes")
+    given = settings(classes.count())
+    tables, probes, scale = tables or given[0], given[1] if probes is None else probes, scale or given[2]
+    hashed = store.put(classes.mapInArrow(_hash(size.d, kind, tables, probes, scale, seed), "h1 long, h2 long, row long, weight long, raw binary, cells array<long>"), "hashed")
     width = 1 + probes
-    visits = hashed.select("row", "k", F.posexplode("cells").alias("n", "cell")).select("row", "k", "cell", (F.col("n") % width == 0).alias("home"))
+    key = ["h1", "h2"]
+    visits = hashed.select(*key, F.posexplode("cells").alias("n", "cell")).select(*key, "cell", (F.col("n") % width == 0).alias("home"))
     load = store.put(visits.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).filter("n > 1 and homes > 0").select("cell", "n"), "load")
-    met = visits.join(load, "cell").select("row", "k", "cell", "home", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = met.withColumn("own", F.pmod(F.xxhash64("row", "k", "cell"), F.col("blocks")).cast("int"))
+    met = visits.join(load, "cell").select(*key, "cell", "home", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    met = met.withColumn("own", F.pmod(F.xxhash64(*key, "cell"), F.col("blocks")).cast("int"))
     # each block meets itself and every other one
     pairs = met.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    pairs = pairs.select("row", "k", "cell", "home", "own", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"))
-    full = pairs.join(hashed, ["row", "k"])
-    found = full.groupBy("cell", "block", "other").applyInArrow(_compare(cosine, kind, tables, width), "row long, k int, links long, to long")
-    found = store.put(found.groupBy("row", "k", "to").agg(F.sum("links").alias("links")), "found")
-    store.drop("hashed", "load")
-    groups = components(found.select(F.col("row").alias("a"), F.col("to").alias("b")), "lattice-components")
-    links = found.groupBy(F.col("row").alias("vec_id"), "k").agg(F.sum("links").alias("n"))
-    out = base.select("vec_id", "k").join(links, ["vec_id", "k"], "left").join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left")
+    pairs = pairs.select(*key, "cell", "home", "own", F.least("own", "with").alias("block"), F.greatest("own", "with").alias("other"))
+    full = pairs.join(hashed, key)
+    found = full.groupBy("cell", "block", "other").applyInArrow(_compare(cosine, kind, tables, width), "h1 long, h2 long, row long, links long, to long")
+    found = store.put(found.groupBy(*key, "row", "to").agg(F.sum("links").alias("links")), "found")
+    # a row's links: those of its class and the other rows of its class
+    linked = found.groupBy(*key).agg(F.sum("links").alias("links"))
+    info = classes.select(*key, "row", "weight").join(linked, key, "left").filter("weight > 1 or links is not null")
+    rows = base.filter("vec_id is not null").select("vec_id", *hashes)
+    rows = store.put(rows.join(store.put(info, "info"), key, "left").select("vec_id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).alias("n_links"), "row"), "rows")
+    store.drop("hashed", "load", "classes", "info")
+    ties = found.select(F.col("row").alias("a"), F.col("to").alias("b")).unionByName(rows.filter("vec_id <> row").select(F.col("vec_id").alias("a"), F.col("row").alias("b")))
+    groups = components(ties, "lattice-components")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    out = rows.join(groups.withColumnRenamed("id", "vec_id"), "vec_id", "left").select("vec_id", "n_links", component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    alone = base.filter("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
