@@ -1,14 +1,16 @@
 """Quality rules with suffix-array repetition.
 
-The words of each text (many texts at once) are put in suffix order by prefix doubling, with rank tables for runs of
-1, 2, 4, ... words. Neighbours in that order give longest common prefixes; the longer of its two is how far the string
-at a position repeats in its own text. Repeats that the position before does not contain are maximal; the spans of those
-of at least ``window`` words are united. A text fails if it has fewer than ``least_words`` words, if the united spans
+The words of each text (many texts at once) are put in suffix order by prefix doubling, with one rank table that each
+round renews. Neighbours in that order give longest common prefixes, found by halving steps over polynomial hashes with
+two random bases modulo two primes, so memory is a few arrays of the text's words however repetitive it is. The longer
+of its two is how far the string at a position repeats in its own text. Repeats that the position before does not
+contain are maximal; the spans of those of at least ``window`` words are united. A text fails if it has fewer than ``least_words`` words, if the united spans
 cover more than ``covered`` percent, or if its longest repeat has more than ``longest_words`` words and more than
 ``longest`` percent of the text.
 
 Counts, all over whole texts: words, code points in words, symbols, repeated lines with a word, words in repeated
-windows. A null text is empty and fails. Ids are carried as they are, nulls and repeats included.
+windows. A null text is empty and fails. Ids are carried as they are, nulls and repeats included; other columns are not
+read. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,12 +24,33 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.textscan import SPACE, Words, steps
 
+#: Fixed random bases of the hashes.
+BASES = (1103515245, 1664525013)
 WINDOW, LEAST_WORDS, COVERED, LONGEST_WORDS, LONGEST = 8, 20, 30, 64, 20
 SYMBOL = np.zeros(256, bool)
 SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long"
 
 
+#: Fixed primes below 2 ** 31; products of two residues fit in 63 bits.
+PRIMES = (2147483647, 2147483629)
+
+
+def _residues(ids: np.ndarray, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and prefix sums of ids * power, both modulo the prime."""
+    n = len(ids)
+    power = np.ones(n + 1, np.int64)
+    have = 1
+    while have <= n:
+        more = min(have, n + 1 - have)
+        power[have : have + more] = power[:more] * (int(power[have - 1]) * base % prime) % prime
+        have += more
+    sums = np.zeros(n + 1, np.int64)
+    # fewer than 2 ** 32 residues below 2 ** 31 are summed without overflow
+    np.cumsum((ids + 1) % prime * power[:n] % prime, out=sums[1:])
+    return power, sums % prime
+
+
 def repeats(word: np.ndarray, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """At each position, the length of the longest run of words from there that also starts elsewhere in its text.
 
@@ -41,7 +64,7 @@ def repeats(word: np.ndarray, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
     new = np.append(True, key[order][1:] != key[order][:-1])
     rank = np.empty(n + 1, np.int64)
     rank[order], rank[n] = np.maximum.accumulate(np.where(new, np.arange(n), 0)), -1
-    tables, h = [rank.copy()], 1
+    one, h = rank.astype(np.int32), 1
     # a position within h of its text's end has nothing more: it sorts first and ties with nothing
     while True:
         tied = np.flatnonzero(~(new & np.append(new[1:], True)))
@@ -56,18 +79,25 @@ def repeats(word: np.ndarray, row: np.ndarray, ends: np.ndarray) -> np.ndarray:
         fresh = np.append(True, key[1:] != key[:-1])
         new[tied] |= fresh
         rank[order[tied]] = np.maximum.accumulate(np.where(fresh, tied, 0))
-        tables.append(rank.copy())
         h *= 2
+    del rank
     a, b = order[:-1].copy(), order[1:].copy()
     common = np.zeros(n - 1, np.int64)
-    open_ = np.flatnonzero(tables[0][a] == tables[0][b])
+    open_ = np.flatnonzero(one[a] == one[b])
     a, b = a[open_], b[open_]
-    for k in range(len(tables) - 1, -1, -1):
-        length = common[open_]
-        i, j = a + length, b + length
-        ok = (i + (1 << k) <= ends[a]) & (j + (1 << k) <= ends[b])
-        same = ok & (tables[k][np.where(ok, i, n)] == tables[k][np.where(ok, j, n)])
-        common[open_] += np.where(same, 1 << k, 0)
+    first, gap = np.minimum(a, b), np.abs(a - b)
+    found = np.ones(len(open_), np.int64)
+    tables = [(prime, *_residues(ids, prime, base)) for prime, base in zip(PRIMES, BASES)]
+    step = h // 2
+    while step and len(open_):  # no two suffixes agree in h words
+        ok = np.flatnonzero((a + found + step <= ends[a]) & (b + found + step <= ends[b]))
+        for prime, power, sums in tables:  # [first, first + length) against the same, shifted by gap
+            x, y, length = first[ok], first[ok] + gap[ok], found[ok] + step
+            near, far = (sums[x + length] - sums[x]) % prime, (sums[y + length] - sums[y]) % prime
+            ok = ok[near * power[gap[ok]] % prime == far]
+        found[ok] += step
+        step //= 2
+    common[open_] = found
     out = np.zeros(n, np.int64)
     np.maximum.at(out, order[:-1], common)
     np.maximum.at(out, order[1:], common)
