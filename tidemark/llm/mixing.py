@@ -8,10 +8,13 @@ Sampling: every document of a source has target / source size expected copies. A
 size class, a hashed stripe, size and id, the prefix sum of expected copies is the rate times the rank. One offset drawn
 from the seed is added, and a document is taken once for each integer boundary that its step crosses. The order by size
 keeps the taken words near the target. Ranks need no window over a source: size classes and stripes split it into
-groups, whose counts (a bounded table per source) are summed, and ranks run inside a group.
+groups, whose counts (a bounded table per source) are summed, and ranks run inside a group. The number of stripes follows
+the number of rows (``ROWS`` to a stripe, powers of two), so that no group of a hot source outgrows a task; rows with a
+null id are dealt to stripes by their text.
 
 Null texts and texts without words have size 0 and are never taken; a null source is a source; null or repeated ids and
-repeated rows are documents like any other. Reruns take the same documents.
+repeated rows are documents like any other. Columns of docs named like the results (mix_size, mix_source_size,
+mix_target, mix_copies, mix_taken) are replaced. An empty table gives an empty one. Reruns take the same documents.
 """
 
 from __future__ import annotations
@@ -23,6 +26,9 @@ from tidemark.llm.store import Store
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST, STRIPES, SEED = 3, 64, "mix-1"
+#: Rows of a table for which it gets a stripe, and the most stripes.
+ROWS, MOST_STRIPES = 100_000, 1 << 16
+RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
 
 def _md5_number(text: Column, digits: int) -> Column:
@@ -48,6 +54,8 @@ def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
 def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs and mix_size, mix_source_size, mix_target (double), mix_copies, mix_taken (copies * size)."""
     store = Store(docs.sparkSession, "mixing")
+    docs = docs.drop(*RESULTS)
+    stripes = min(MOST_STRIPES, max(stripes, 1 << (docs.count() // ROWS).bit_length()))
     work = docs.select(F.struct(*docs.columns).alias("doc"))
     size = F.coalesce(F.regexp_count(F.col(f"doc.{text_col}"), F.lit(WORD)), F.lit(0)).cast("long")
     work = work.select("doc", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{source_col}").alias("source"), size.alias("size"))
@@ -56,7 +64,7 @@ def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed:
     bits = F.length(F.bin("size")).cast("long")
     middle = F.expr("shiftleft(1L, cast(2 * length(bin(size)) - 1 as int))")
     work = work.withColumn("band", F.when(F.col("size") == 0, -1).otherwise(2 * bits + F.when(F.col("size") * F.col("size") >= middle, 1).otherwise(0)).cast("int"))
-    work = work.withColumn("stripe", F.pmod(_md5_number(F.coalesce(F.col("id").cast("string"), F.lit("")), 4), F.lit(stripes)).cast("int"))
+    work = work.withColumn("stripe", F.pmod(_md5_number(F.coalesce(F.col("id").cast("string"), F.col(f"doc.{text_col}"), F.lit("")), 4), F.lit(stripes)).cast("int"))
     groups = store.put(work.groupBy("source_key", "band", "stripe").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("source").alias("source")), "groups")
     goals = targets(groups)
     along = Window.partitionBy("source_key").orderBy("band", "stripe")
