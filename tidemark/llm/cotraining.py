@@ -1,7 +1,7 @@
 """Quality classifier by co-training.
 
-Two views of a document: its text (shares of symbols, capitals, marks, short, repeated and bar words, repeated lines and
-so on) and its page metadata (source, language, recorded length). Each view has a logistic classifier fitted on labelled
+Two views of a document: its text (shares of its words in ``HASHED`` hashed classes, and of symbols, capitals, marks,
+short, repeated and bar words, repeated lines and so on) and its page metadata (source, language, recorded length). Each view has a logistic classifier fitted on labelled
 rows. In each round both score all unlabelled rows, and the rows of which one is most confident become labelled rows of
 the other, in the proportion of the classes. At the end both are calibrated on labelled rows that neither was fitted on,
 and a last logistic regression over the two calibrated views scores all documents.
@@ -10,7 +10,9 @@ The driver sees a bounded sample of labelled rows only: at most ``sample``, by h
 labelled rows it stands for. Unlabelled rows stay in the cluster: the cuts of confidence come from a grouped histogram,
 the Newton steps from grouped sums of gradients and Hessians, and what a row was given follows from the weights and cuts
 of the rounds before. Without labels of both classes every document scores 0.5 and is kept. Null texts are
-empty; null metadata is a value like others; rows are never dropped.
+empty; null metadata is a value like others, a missing metadata column a constant; rows with null or repeated ids are
+scored like others, and never dropped. Columns of docs named like the results (q_text, q_meta, q_score, q_kept) are
+replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.repetition import SYMBOL
 from tidemark.llm.store import Store
@@ -29,11 +32,15 @@ from tidemark.llm.toxicity import fit_logistic, logistic
 
 #: Labelled rows that the driver sees, at most.
 SAMPLE = 20_000
-ROUNDS, SHARE, CONFIDENT, CUT = 4, 0.05, 0.95, 0.5
+ROUNDS, SHARE, CONFIDENT, CUT = 4, 0.05, 0.8, 0.5
 SOURCES, LANGS = 32, 8
 #: Bins of the log-odds from that of CONFIDENT to 30; parts that the labels are dealt to in the join with repeated ids.
 BINS, SALTS = 4096, 16
 TEXT = ["words", "word_bytes", "symbols", "capitals", "digits", "stops", "shouts", "bars", "wide", "symbol_ends", "short", "echo", "distinct", "lines", "dup_lines", "longest"]
+#: Classes of hashed words, which follow the other text features.
+HASHED = 32
+WIDTH = len(TEXT) + HASHED
+RESULTS = ("q_text", "q_meta", "q_score", "q_kept")
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,7 +72,10 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count(data == 0x21) / per, by_word((length == 1) & (last == 0x7C)) / per, count(data >= 0x80) / solid, by_word(SYMBOL[last]) / per, by_word(length <= 3) / per,
                 by_word(echo) / per, distinct / per, np.log1p(lines) / np.log1p(per + 1), np.array(dups), np.log1p(longest),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), pa.array(list(np.stack(parts, axis=1).astype(np.float64)), pa.list_(pa.float64()))], ["row", "text_x"])
+            bag = (h >> np.uint64(40)).astype(np.int64) % HASHED
+            shares = np.bincount(words.row * HASHED + bag, minlength=rows * HASHED).reshape(rows, HASHED) / per[:, None]
+            x = np.column_stack([*parts, shares]).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, rows), pa.array(list(x), pa.list_(pa.float64()))], ["row", "text_x"])
 
 
 def _metadata(docs: DataFrame) -> Column:
@@ -87,7 +97,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _views(column: pa.Array) -> list[np.ndarray]:
     data, offsets = texts(column)
     x = np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), np.float64).reshape(len(column), -1)
-    return [x[:, : len(TEXT)], x[:, len(TEXT) :]]
+    return [x[:, :WIDTH], x[:, WIDTH:]]
 
 
 def _odds(w: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -123,7 +133,8 @@ def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def confident_cuts(pool: DataFrame, weights: list[np.ndarray], history: list, wanted: dict[int, int], confident: float) -> dict[tuple[int, int], int]:
     """The bin from which each view gives rows of each class, by a histogram of all free rows: bins are taken whole, from
-    the top, until there are ``wanted`` rows."""
+    the top, until there are ``wanted`` rows. A view that is sure of fewer rows of one class gives fewer of the other in
+    proportion, so that what it gives never shifts the balance of the classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 2, BINS), np.int64)
@@ -143,9 +154,10 @@ def confident_cuts(pool: DataFrame, weights: list[np.ndarray], history: list, wa
         found[r.k, r.y][r.bin] = r.n
     cuts = {}
     for (k, y), counts in found.items():
+        part = min(1.0, *(sum(found[k, c].values()) / n for c, n in wanted.items()))
         taken, cuts[k, y] = 0, BINS
         for at in sorted(counts, reverse=True):
-            if taken < wanted[y]:
+            if taken < part * wanted[y]:
                 taken, cuts[k, y] = taken + counts[at], at
     return cuts
 
@@ -212,9 +224,10 @@ def co_train(views: list[np.ndarray], y: np.ndarray, weight: float, pool: DataFr
     return weights
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """All columns of docs and q_text, q_meta (calibrated views), q_score, q_kept."""
     store = Store(docs.sparkSession, "cotraining")
+    docs = docs.drop(*RESULTS)
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.pmod(F.xxhash64(text), F.lit(SALTS)).alias("salt"), _metadata(docs).alias("meta_x")).alias("row"), text.alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
@@ -225,7 +238,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
     known = found.select("label", "meta_x", "text_x", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("fold")).toPandas()
     dealt = marks.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     free = seen.filter("doc_id is not null").join(dealt, ["doc_id", "salt"], "left_anti").select("text_x", "meta_x").unionByName(seen.filter("doc_id is null").select("text_x", "meta_x"))
-    zero = [np.zeros(len(TEXT) + 1), np.zeros(1 + SOURCES + LANGS + 1)]
+    zero = [np.zeros(WIDTH + 1), np.zeros(1 + SOURCES + LANGS + 1)]
     last = np.zeros(3)
     if len(known) and known.label.nunique() == 2:
         arrays = lambda f: [np.array(f[c].tolist()) for c in ("text_x", "meta_x")]
@@ -234,7 +247,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
             train = check = known
         pool = store.put(free.mapInArrow(_pack, "x binary"), "pool")
         store.drop("seen")
-        zero = co_train(arrays(train), train.label.to_numpy(float), marks.count() / chosen.count(), pool)
+        zero = co_train(arrays(train), train.label.to_numpy(float), marks.count() / chosen.count(), pool, rounds)
         store.drop("pool")
         y = check.label.to_numpy(float)
         views = arrays(check)
@@ -244,8 +257,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
         last = fit_logistic(np.column_stack([views[k] @ zero[k][:-1] + zero[k][-1] for k in (0, 1)]), y)
     work = docs.select(F.struct(*docs.columns).alias("doc"), _metadata(docs).alias("meta_x"))
     work = work.select(F.struct("doc", "meta_x").alias("row"), F.coalesce(F.col(f"doc.{text_col}"), F.lit("")).alias("text"))
-    kind = work.schema["row"].dataType.simpleString()
-    work = work.mapInArrow(_measure, f"row {kind}, text_x array<double>").select("row.doc", "row.meta_x", "text_x")
+    schema = T.StructType([work.schema["row"], T.StructField("text_x", T.ArrayType(T.DoubleType()))])
+    work = work.mapInArrow(_measure, schema).select("row.doc", "row.meta_x", "text_x")
     work = work.select("doc", logistic(zero[0], "text_x").alias("q_text"), logistic(zero[1], "meta_x").alias("q_meta"))
     odds = lambda c: F.log(F.col(c) / (1 - F.col(c)))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(float(last[0]) * odds("q_text") + float(last[1]) * odds("q_meta") + float(last[2]))))
