@@ -209,6 +209,45 @@ def test_rules(docs, texts, none):
     assert quality_rules(none).count() == 0
 
 
+def test_repeats_against_counting():
+    """Longest repeats at every position of short texts, and of texts of one repeated word, square and cube words."""
+    from tidemark.llm.repetition import repeats
+
+    rng = np.random.default_rng(31)
+    drawn = [rng.integers(0, rng.integers(1, 5), rng.integers(1, 40)) for _ in range(300)]
+    drawn += [np.zeros(257, int), np.array([0, 1] * 60), np.array([bin(k).count("1") & 1 for k in range(256)])]
+    drawn += [np.concatenate([t := rng.integers(0, 50, 70), t, rng.integers(0, 50, 30)])]
+    word = np.concatenate(drawn).astype(np.uint64) * np.uint64(977)
+    size = np.array([len(t) for t in drawn])
+    end = np.cumsum(size)
+    got = repeats(word, np.repeat(np.arange(len(drawn)), size), np.repeat(end, size))
+    for t, e in zip(drawn, end):
+        t, n = t.tolist(), len(t)
+        common = lambda i, j: next((k for k in range(n - max(i, j)) if t[i + k] != t[j + k]), n - max(i, j))
+        assert got[e - n : e].tolist() == [max((common(i, j) for j in range(n) if j != i), default=0) for i in range(n)]
+
+
+def test_rules_verdict(spark):
+    """kept against its rule by brute force, with texts on both sides of either limit."""
+    body = lambda seed, n: sentence(seed, n).split()
+    made = []
+    for k, (unique, long_) in enumerate([(200, 60), (200, 66), (400, 66), (300, 120), (250, 64), (250, 65), (30, 0), (19, 0), (20, 0)]):
+        twice = body(100 + k, long_)
+        made.append(" ".join([*twice, *body(200 + k, unique), *twice]))
+    df = spark.createDataFrame([(i, t, 1, "z") for i, t in enumerate(made)], "doc_id long, text string, n_words int, kept string")
+    for r in quality_rules(df).collect():
+        w = made[r.doc_id].split()
+        seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        hit = np.zeros(len(w), bool)
+        for k in range(len(w) - 7):
+            if seen[tuple(w[k : k + 8])] > 1:
+                hit[k : k + 8] = True
+        longest = next(n for n in range(len(w), -1, -1) if n == 0 or len({tuple(w[k : k + n]) for k in range(len(w) - n + 1)}) < len(w) - n + 1)
+        failed = len(w) < 20 or 100 * hit.sum() > 30 * len(w)
+        assert (r.longest_repeat, r.base_failed) == (longest, failed)
+        assert r.kept == (not failed and not (longest > 64 and 100 * longest > 20 * len(w)))
+
+
 def luhn(v):
     d = [int(c) for c in v if c.isdigit()][::-1]
     return sum(x if k % 2 == 0 else 2 * x % 10 + 2 * x // 10 for k, x in enumerate(d)) % 10 == 0
@@ -335,6 +374,63 @@ def test_best_fit_prefers_the_tightest_bin():
     assert bins.tolist() == [0, 1, 1, 0] and offsets.tolist() == [0, 0, 60, 90] and set(capacity.tolist()) == {100}
 
 
+def plain_best_fit(lengths, sizes, cost):
+    """The rule read literally: every open bin is looked at."""
+    bins, rest = [], sum(lengths)  # capacity, used
+    for n in lengths:
+        fits = [b for b in bins if b[0] - b[1] >= n]
+        if fits:
+            tight = min(b[0] - b[1] for b in fits)
+            b = next(b for b in reversed(fits) if b[0] - b[1] == tight)  # of equal ones that which changed last
+            bins.append(bins.pop(next(k for k, x in enumerate(bins) if x is b)))
+            b[1] += n
+        else:
+            c = min((c for c in sizes if c >= n), key=lambda c: (cost[c] / min(c, rest), -c))
+            bins.append([c, n])
+        rest -= n
+    return sorted(u for _, u in bins)
+
+
+def least_cost(lengths, sizes, cost):
+    """The least cost of all packings, by trying each piece in each bin."""
+    best = [float("inf")]
+
+    def go(k, used):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(cost[next(c for c in sizes if c >= u)] for u in used))
+            return
+        for b in range(len(used)):
+            if used[b] + lengths[k] <= sizes[-1]:
+                go(k + 1, [*used[:b], used[b] + lengths[k], *used[b + 1 :]])
+        go(k + 1, [*used, lengths[k]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_best_fit_against_all_packings():
+    rng, sizes = np.random.default_rng(37), (8, 16, 32)
+    cost = {c: c**1.05 + 2 for c in sizes}
+    ratio, single = [], []
+    for _ in range(150):
+        lengths = np.sort(rng.integers(1, 33, rng.integers(1, 8)))[::-1]
+        bins, offsets, final = packing.best_fit(lengths, sizes, 2.0, 1.05)
+        used = np.bincount(bins, weights=lengths).astype(int).tolist()
+        assert sorted(used) == plain_best_fit(lengths.tolist(), sizes, cost)
+        paid = sum(cost[next(c for c in sizes if c >= u)] for u in used)
+        ratio.append(paid / least_cost(lengths.tolist(), sizes, cost))
+        one, _, top = packing.best_fit(lengths, (32,), 2.0, 1.05)
+        single.append(paid / (cost[32] * (one.max() + 1)))
+    assert min(ratio) >= 1 - 1e-9 and max(ratio) <= 1.25 and np.mean(ratio) < 1.02
+    assert np.mean(single) < 0.95  # several capacities cost less than one
+
+
+def test_packing_deals_out_one_id(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 50 as int))").alias("text"), F.lit(1).alias("row"))
+    rows = pack(df, (128,), shard=100).select(F.shiftright("bin_id", 24).alias("s")).groupBy("s").count().collect()
+    assert len(rows) == 40 and max(r["count"] for r in rows) < 200
+
+
 def test_automaton():
     a = Automaton([b"stupid", b"scum"], [b"lowei"])
     from tidemark.llm.textscan import Words
@@ -401,6 +497,37 @@ def test_quality(spark, docs, none):
     assert all(r.q_kept and r.q_score == 0.5 for r in quality_scores(d, l.limit(0)).collect())
 
 
+def test_quality_held_out(spark):
+    """Accuracy on labelled rows whose crc32(doc_id) mod 4 is 2, with all other labels to learn from."""
+    where = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{where}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    got = quality_scores(docs, labels.filter(~held)).join(labels.filter(held & F.col("quality").isNotNull()).select("doc_id", "quality"), "doc_id")
+    got = {r.quality: (r.n, r.kept) for r in got.groupBy("quality").agg(F.count("*").alias("n"), F.sum(F.col("q_kept").cast("int")).alias("kept")).collect()}
+    assert got[1][1] >= 0.97 * got[1][0] and got[0][1] <= 0.25 * got[0][0], got
+
+
+def test_quality_exchange_helps(spark):
+    """Junk words that no labelled row holds are learnt from rows that the metadata view is sure of: in a source without
+    any label, where metadata says nothing, the text view tells junk after the rounds and not before."""
+    rows, labels = [], []
+    for i in range(3000):
+        junk, known, fresh = i % 3 == 0, i < 240, i >= 2400
+        marks = ("the", "of") if not junk else ("buy", "cheap") if known else ("casino", "jackpot")
+        rows.append((i, sentence(i, 24) + " " + " ".join(marks * 3), "new" if fresh else "farm" if junk else "press", 100, 1))
+        if known:
+            labels.append((i, int(not junk)))
+    d, l = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, q_kept int"), spark.createDataFrame(labels, "doc_id long, quality int")
+
+    def gap(rounds):
+        r = quality_scores(d, l, rounds=rounds).filter("source = 'new'").groupBy((F.col("doc_id") % 3 == 0).alias("junk")).agg(F.avg("q_text").alias("q")).collect()
+        by = {x.junk: x.q for x in r}
+        return by[False] - by[True]
+
+    before, after = gap(0), gap(4)
+    assert after > before + 0.1, (before, after)
+
+
 def test_quality_all_rows(spark):
     """Two sources that only the unlabelled rows last by hash of the id have, one of them junk, differ in the metadata view."""
     ids = [r.id for r in spark.range(24000).filter("id >= 300").orderBy(F.xxhash64("id").desc()).limit(200).collect()]

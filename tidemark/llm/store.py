@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests), one temporary folder per session."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, a temporary folder for local masters (tests) only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("spark.tidemark.shared", None)
         if not where:
+            if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             where = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
             spark.conf.set("spark.tidemark.shared", where)
     return where.rstrip("/")
