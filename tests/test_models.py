@@ -91,13 +91,43 @@ def test_spatial_models_find_their_parameter(spark, ring_weights):
     x = rng.normal(size=n)
     y = np.linalg.solve(np.eye(n) - rho * w, 1 + 2 * x + 0.3 * rng.normal(size=n))
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
-    fit = M.spatial_lag_model(df, ring_weights, "y", ["x"], 8)
+    spectrum = M.Spectrum(ring_weights)
+    for v in (-0.9, 0.3, 0.7, 0.97):
+        inverse = np.linalg.inv(np.eye(n) - v * w)
+        assert spectrum.log_det(v) == pytest.approx(np.linalg.slogdet(np.eye(n) - v * w)[1])
+        assert spectrum.direct(v) == pytest.approx(np.trace(inverse) / n)
+    fit = M.spatial_lag_model(df, ring_weights, "y", ["x"], spectrum)
     assert fit["rho"] == pytest.approx(rho, abs=0.08) and fit["beta"][1] == pytest.approx(2, abs=0.1)
     assert fit["impacts"]["x"]["total"] == pytest.approx(fit["beta"][1] / (1 - fit["rho"]))
-    err = M.spatial_error_model(df, ring_weights, "y", ["x"], 6)
+    err = M.spatial_error_model(df, ring_weights, "y", ["x"])
     assert -1 < err["lambda"] < 1
 
 
+def test_probed_spectrum(spark):
+    """Traces of neighbour weights by probes against the eigenvalues."""
+    xy = np.random.default_rng(3).uniform(size=(400, 2))
+    d = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) + 9 * np.eye(400)
+    w = spark.createDataFrame([(i, int(j), 1 / 6) for i in range(400) for j in d[i].argsort()[:6]], "i long, j long, w double")
+    exact, probed = M.Spectrum(w), M.Spectrum(w, dense=10)
+    for v in (-0.5, 0.4, 0.8):
+        assert probed.log_det(v) == pytest.approx(exact.log_det(v), rel=0.1)
+        assert probed.direct(v) == pytest.approx(exact.direct(v), rel=0.02)
+
+
+def test_correlation_p(spark):
+    df = spark.createDataFrame([(0.5, 12), (-0.2, 30), (1.0, 5), (0.3, 2)], "r double, n int")
+    got = [r.p for r in df.select(M.correlation_p(F.col("r"), F.col("n")).alias("p")).collect()]
+    assert got[0] == pytest.approx(M.t_tail(0.5 * math.sqrt(10 / 0.75), 10)) and got[1] == pytest.approx(0.2893, abs=1e-4)
+    assert got[2] == 0 and (got[3] is None or math.isnan(got[3]))
+
+
+def test_scaling_by_group(spark):
+    df = spark.createDataFrame([(1, 2.0), (1, 4.0), (1, None), (None, 5.0), (2, 7.0), (2, 7.0)], "g int, v double")
+    got = sorted((r.g or 0, r.v or 0.0, r.s, r.z) for r in W.z_score(W.min_max(df, {"s": "v"}, "g"), {"z": "v"}, "g").collect() if r.v is not None)
+    assert [x[2] for x in got] == [0.0, 0.0, 1.0, 0.0, 0.0] and got[0][3] is None and got[3][3] is None
+    assert got[1][3] == pytest.approx(-math.sqrt(0.5))
+
+
 def test_mixed_model_balanced_anova(panel):
     """A balanced one-way layout has closed-form REML estimates."""
     m = M.mixed_model(panel, "y", [], "site")

@@ -5,20 +5,41 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the cluster's shared folder (spark.checkpoint.dir), so that loops have no lineage to lose."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary folder for local masters (tests) only."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tidemark.loops", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-tidemark-", dir="/tmp")
         spark.conf.set("spark.tidemark.loops", where)
-    path = f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return where.rstrip("/")
+
+
+class Rounds:
+    """A table that each round of a loop writes anew; once a round is written, the one before is deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.stem, self.last = spark, f"{shared_dir(spark)}/{name}", None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self.stem}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if self.last:
+            old = self.spark._jvm.org.apache.hadoop.fs.Path(self.last)
+            old.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(old, True)
+        self.last = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, so that loops have no lineage to lose."""
+    return Rounds(df.sparkSession, name).put(df)
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -34,12 +55,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node): labels spread along edges and jump to their label's label."""
     links = written(both_ways(edges).select("u", "v"), "links")
-    labels = written(links.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")), "labels")
+    rounds = Rounds(edges.sparkSession, "labels")
+    labels = rounds.put(links.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node")))
     while True:
         near = links.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("low"))
         new = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("component"))
         up = new.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        new = written(new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")), "labels")
+        new = rounds.put(new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("root", "component")).alias("component")))
         labels = new.select("node", "component")
         if not new.filter("old <> component").take(1):
             return labels
@@ -50,13 +72,14 @@ def reach(sources: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
 
     All sources advance together; a round joins only what has improved and keeps what beats the known distance."""
     ways = written(both_ways(edges), "ways")
-    known = written(sources.groupBy("source", "node").agg(F.min("dist").alias("dist")), "known")
+    knowns, fronts = Rounds(edges.sparkSession, "known"), Rounds(edges.sparkSession, "front")
+    known = knowns.put(sources.groupBy("source", "node").agg(F.min("dist").alias("dist")))
     front = known
     while front.take(1):
         step = front.join(ways, F.col("node") == F.col("u")).select("source", F.col("v").alias("node"), (F.col("dist") + F.col("len")).alias("new")).filter(F.col("new") <= cutoff)
         step = step.groupBy("source", "node").agg(F.min("new").alias("new"))
-        front = written(step.join(known, ["source", "node"], "left").filter("dist is null or new < dist").select("source", "node", F.col("new").alias("dist")), "front")
-        known = written(known.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")), "known")
+        front = fronts.put(step.join(known, ["source", "node"], "left").filter("dist is null or new < dist").select("source", "node", F.col("new").alias("dist")))
+        known = knowns.put(known.unionByName(front).groupBy("source", "node").agg(F.min("dist").alias("dist")))
     return known
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def moments(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
@@ -50,6 +52,17 @@ def t_tail(t: float, df: float) -> float:
     return front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of a correlation, by Student's t with n - 2 degrees of freedom; for tables of one row per group."""
+
+    def tails(r: pd.Series, n: pd.Series) -> pd.Series:
+        t = lambda r, d: math.inf if abs(r) >= 1 else r * math.sqrt(d / (1 - r * r))
+        p = lambda r, n: None if pd.isna(r) or n < 3 else 0.0 if abs(r) >= 1 else t_tail(t(r, n - 2), n - 2)
+        return pd.Series([p(a, b) for a, b in zip(r, n)], dtype="float64")
+
+    return F.pandas_udf(tails, T.DoubleType())(r, n)
+
+
 def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -78,6 +91,26 @@ def fit_groups(df: DataFrame, y: str, x: list[str], *by: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, ", ".join([*kinds, "term string", "estimate double", "std_error double", "p_value double", "n long", "loglik double", "aic double"]))
 
 
+def fit_scenarios(df: DataFrame, scenarios: dict[str, tuple[Column, str, list[str]]], measures: list[str]) -> DataFrame:
+    """Least squares of every scenario (rows kept, outcome, controls) and measure: scenario, measure, n, estimate,
+    std_error, p_value. Each row goes to the scenarios that keep it, and one grouped pass sums the moments of all
+    columns of a scenario; the models of its measures are blocks of that matrix."""
+    outcomes = sorted({y for _, y, _ in scenarios.values()})
+    controls = sorted({c for _, _, cs in scenarios.values() for c in cs})
+    columns = ["intercept", *controls, *measures, *outcomes]
+    kept = F.filter(F.array(*[F.when(keep, F.lit(name)) for name, (keep, _, _) in scenarios.items()]), lambda s: s.isNotNull())
+    long = df.withColumn("intercept", F.lit(1.0)).select(F.explode(kept).alias("scenario"), *columns)
+    rows = []
+    for r in moments(long, columns, "scenario").collect():  # one row per scenario
+        full = matrix(r.moments, len(columns))
+        _, y, own = scenarios[r.scenario]
+        for measure in measures:
+            at = [columns.index(c) for c in ("intercept", *own, measure, y)]
+            fit = least_squares(r.n, full[np.ix_(at, at)])
+            rows.append((r.scenario, measure, r.n, float(fit["beta"][-1]), float(fit["se"][-1]), float(fit["p"][-1])))
+    return df.sparkSession.createDataFrame(rows, "scenario string, measure string, n long, estimate double, std_error double, p_value double")
+
+
 def linear(beta: np.ndarray, x: list[str]) -> Column:
     out = F.lit(float(beta[0]))
     for b, c in zip(beta[1:], x):
@@ -168,26 +201,59 @@ def residual_moran(df: DataFrame, w: DataFrame, y: str, x: list[str]) -> dict[st
     return {"i": i, "expected": float(e), "variance": float(var), "p": normal_tail((i - e) / math.sqrt(var))}
 
 
-def traces(w: DataFrame, order: int, n: int) -> list[float]:
-    """tr(W^k) for k = 1..order by repeated joins of edge tables, for site tables of a few hundred rows."""
-    out, power = [], w
-    for k in range(1, order + 1):
-        out.append(power.filter("i = j").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0])
-        if k < order:
-            from tidemark.operators.graph import written
+#: Sites up to which the eigenvalues of W are taken; probes and powers beyond.
+DENSE, PROBES, POWERS = 2000, 64, 40
 
-            right = w.select(F.col("i").alias("k"), F.col("j").alias("j2"), F.col("w").alias("w2"))
-            power = power.join(right, power.j == right.k).groupBy("i", F.col("j2").alias("j")).agg(F.sum(F.col("w") * F.col("w2")).alias("w"))
-            power = written(power, "power")
+
+def traces(w: DataFrame, order: int = POWERS, probes: int = PROBES) -> list[float]:
+    """tr(W^k) for k = 1..order by Hutchinson's estimate: W is joined with ``probes`` vectors of signs once a round, so
+    that a round costs edges x probes however dense the power is. Signs come from the ids' hashes."""
+    from tidemark.operators.graph import Rounds
+
+    sign = lambda k: (1 - 2 * F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2))).cast("double")
+    ids = w.select(F.col("i").alias("id")).union(w.select("j")).distinct()
+    rounds, out = Rounds(w.sparkSession, "probes"), []
+    now = rounds.put(ids.select("id", *[sign(k).alias(f"u{k}") for k in range(probes)]))
+    for _ in range(order):
+        step = w.join(now.withColumnRenamed("id", "j"), "j").groupBy(F.col("i").alias("id"))
+        now = rounds.put(step.agg(*[F.sum(F.col("w") * F.col(f"u{k}")).alias(f"u{k}") for k in range(probes)]))
+        total = F.lit(0.0)
+        for k in range(probes):
+            total = total + sign(k) * F.col(f"u{k}")
+        out.append((now.agg(F.sum(total)).first()[0] or 0.0) / probes)
     return out
 
 
-def log_det(rho: float, tr: list[float], n: int) -> float:
-    """ln det(I - rho W) from its power series; beyond the known traces they count as 1 each (a row-standardised W has one
-    unit eigenvalue), which the logarithm closes."""
-    k = len(tr)
-    known = -sum(rho**j * (t - 1) / j for j, t in enumerate(tr, 1))
-    return known + math.log1p(-rho)
+class Spectrum:
+    """ln det(I - rho W) and the mean diagonal of its inverse, for a row-standardised W.
+
+    Up to DENSE sites (checked) from the eigenvalues, exactly. Beyond, from estimated traces: later ones count as 1 each,
+    the part of the one unit eigenvalue, which the logarithm closes; what is left out is at most n |rho|^(POWERS + 1)
+    times the POWERS + 1st power of the second eigenvalue, over POWERS (1 - |rho|)."""
+
+    def __init__(self, w: DataFrame, dense: int = DENSE):
+        ids = w.select(F.col("i").alias("id")).union(w.select("j")).distinct()
+        self.n = ids.count()
+        self.values = self.traces = None
+        if self.n <= dense:
+            rows = w.select("i", "j", "w").toPandas()  # at most dense sites with their few neighbours
+            place = {v: k for k, v in enumerate(sorted({*rows.i, *rows.j}))}
+            full = np.zeros((self.n, self.n))
+            np.add.at(full, (rows.i.map(place).to_numpy(), rows.j.map(place).to_numpy()), rows.w.to_numpy())
+            self.values = np.linalg.eigvals(full)
+        else:
+            self.traces = traces(w)
+
+    def log_det(self, rho: float) -> float:
+        if self.values is not None:
+            return float(np.log(np.abs(1 - rho * self.values)).sum())
+        return -sum(rho**j * (t - 1) / j for j, t in enumerate(self.traces, 1)) + math.log1p(-rho)
+
+    def direct(self, rho: float) -> float:
+        if self.values is not None:
+            return float((1 / (1 - rho * self.values)).real.mean())
+        powers = sum(rho**j * (t - 1) for j, t in enumerate(self.traces, 1))
+        return 1 + (powers + rho / (1 - rho)) / self.n
 
 
 def golden(f, low: float, high: float, rounds: int = 80) -> float:
@@ -207,8 +273,8 @@ def golden(f, low: float, high: float, rounds: int = 80) -> float:
     return (a + b) / 2
 
 
-def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], order: int = 12) -> dict:
-    """y = rho W y + X b by concentrated likelihood: moments of (X, y, Wy) and traces are all that it needs."""
+def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
+    """y = rho W y + X b by concentrated likelihood: moments of (X, y, Wy) and the spectrum of W are all that it needs."""
     design = ["intercept", *x]
     full = df.withColumn("intercept", F.lit(1.0))
     both = full.join(lag(full.select("id", y), w, y), "id")
@@ -216,27 +282,27 @@ def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], order:
     p, n = len(design), r.n
     m = matrix(r.moments, p + 2)
     inv = np.linalg.inv(m[:p, :p])
-    tr = traces(w, order, n)
+    spectrum = spectrum or Spectrum(w)
 
     def at(rho: float) -> tuple[float, np.ndarray, float]:
         xy = m[:p, p] - rho * m[:p, p + 1]
         yy = m[p, p] - 2 * rho * m[p, p + 1] + rho * rho * m[p + 1, p + 1]
         beta = inv @ xy
         s2 = max(yy - xy @ beta, 1e-300) / n
-        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + log_det(rho, tr, n), beta, s2
+        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + spectrum.log_det(rho), beta, s2
 
     rho = golden(lambda v: at(v)[0], -0.99, 0.99)
     h = 1e-4
     info = -(at(rho + h)[0] - 2 * at(rho)[0] + at(rho - h)[0]) / h**2
     loglik, beta, s2 = at(rho)
-    direct = 1 + sum(rho**j * t for j, t in enumerate(tr, 1)) / n
+    direct = spectrum.direct(rho)
     total = 1 / (1 - rho)
     impacts = {c: {"direct": b * direct, "total": b * total, "indirect": b * (total - direct)} for c, b in zip(x, beta[1:].tolist())}
     se_rho = 1 / math.sqrt(info) if info > 0 else float("nan")
     return {"rho": rho, "se_rho": se_rho, "p_rho": normal_tail(rho / se_rho), "beta": beta, "se": np.sqrt(np.diag(inv) * s2), "loglik": loglik, "aic": 2 * (p + 2) - 2 * loglik, "impacts": impacts}
 
 
-def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], order: int = 12) -> dict:
+def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
     """y = X b + u, u = lambda W u + e: moments of (X, y, WX, Wy) are quadratic in lambda."""
     design = ["intercept", *x]
     full = df.withColumn("intercept", F.lit(1.0))
@@ -245,14 +311,14 @@ def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], order
     r = moments(both, [*names, *[f"lag_{c}" for c in names]]).first()
     q, n = len(names), r.n
     m = matrix(r.moments, 2 * q)
-    tr = traces(w, order, n)
+    spectrum = spectrum or Spectrum(w)
 
     def at(lam: float) -> tuple[float, np.ndarray, float, np.ndarray]:
         g = m[:q, :q] - lam * (m[:q, q:] + m[q:, :q]) + lam * lam * m[q:, q:]
         inv = np.linalg.inv(g[:-1, :-1])
         beta = inv @ g[:-1, -1]
         s2 = max(g[-1, -1] - g[:-1, -1] @ beta, 1e-300) / n
-        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + log_det(lam, tr, n), beta, s2, inv
+        return -n / 2 * (math.log(2 * math.pi * s2) + 1) + spectrum.log_det(lam), beta, s2, inv
 
     lam = golden(lambda v: at(v)[0], -0.99, 0.99)
     loglik, beta, s2, inv = at(lam)

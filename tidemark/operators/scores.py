@@ -12,7 +12,7 @@ from tidemark.operators.windows import min_max
 def access_scores(metrics: DataFrame, by: str = "walktime_min") -> DataFrame:
     """metrics: pedestrian, transit, visual, haptic by site and walk time -> scaled measures, physical and
     multidimensional scores (means of what is there), all within a walk time."""
-    scaled = metrics.select("*", *[min_max(F.col(c), by).alias(f"{c}_scaled") for c in ("pedestrian", "transit", "visual", "haptic")])
+    scaled = min_max(metrics, {f"{c}_scaled": c for c in ("pedestrian", "transit", "visual", "haptic")}, by)
     scored = scaled.withColumn("physical_access_score", row_mean([F.col("pedestrian_scaled"), F.col("transit_scaled")]))
     return scored.withColumn("multidimensional_access_score", row_mean([F.col("physical_access_score"), F.col("visual_scaled"), F.col("haptic_scaled")]))
 

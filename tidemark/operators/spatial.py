@@ -268,3 +268,11 @@ def inside_point(ring: Column) -> Column:
     hits = F.array_sort(F.filter(F.transform(edges(ring), lambda e: F.when((e["ay"] > cy) != (e["by"] > cy), e["ax"] + (cy - e["ay"]) * F.try_divide(e["bx"] - e["ax"], e["by"] - e["ay"]))), lambda v: v.isNotNull()))
     chords = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.size(hits) / 2).cast("int"))), lambda i: F.struct((F.get(hits, 2 * i - 1) - F.get(hits, 2 * i - 2)).alias("w"), ((F.get(hits, 2 * i - 1) + F.get(hits, 2 * i - 2)) / 2).alias("x")))
     return F.when(inside(cx, cy, ring), F.struct(cx.alias("x"), cy.alias("y"))).otherwise(F.struct(F.array_max(chords)["x"].alias("x"), cy.alias("y")))
+
+
+def tidy_rings(df: DataFrame, ring: str, kind: str, wanted: str = "Polygon") -> DataFrame:
+    """Rows whose geometry is there, of the wanted type and a ring of four vertices or more; open rings are closed."""
+    v = F.col(ring)
+    closed = F.when(F.element_at(v, 1) == F.element_at(v, -1), v).otherwise(F.concat(v, F.slice(v, 1, 1)))
+    full = df.filter((F.col(kind) == wanted) & (F.size(v) > 0)).withColumn(ring, closed)
+    return full.filter(F.size(ring) >= 4)

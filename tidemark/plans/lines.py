@@ -11,14 +11,14 @@ from tidemark.operators import models as M
 from tidemark.operators import spatial as S
 from tidemark.operators import windows as W
 from tidemark.plans.registry import query
-from tidemark.plans.spatials import _D, BOXES, boxes, streets
+from tidemark.plans.spatials import _ALONG, _D, BOXES, boxes, streets
 from tidemark.sources.fixtures import Inputs
 
 
-@query(f"select park_num, round(sum(len - greatest(0, least(vx,bx0+w)-greatest(ux,bx0)))+1e-9,6) as outside_m from v_network n join ({BOXES}) b on uy=vy and uy > by0 and uy < by0+w and least(vx,bx0+w) >= greatest(ux,bx0) and len - greatest(0, least(vx,bx0+w)-greatest(ux,bx0)) > 0.001 group by park_num")
+@query(f"select park_num, round(sum(len - case when across then greatest(0, inside) else 0 end)+1e-9,6) as outside_m from ({_ALONG.format(BOXES=BOXES)}) l where across and inside >= 0 and len - greatest(0, inside) > 0.001 group by park_num")
 def jn15_lines_outside(i: Inputs) -> DataFrame:
-    level = streets(i).filter("ay = by").select("id", "ax", "ay", "bx", "by")
-    return S.split_inside(level, boxes(i), "park_num", False).groupBy("park_num").agg(X.steady(F.sum("length")).alias("outside_m"))
+    lines = streets(i).select("id", "ax", "ay", "bx", "by")
+    return S.split_inside(lines, boxes(i), "park_num", False).groupBy("park_num").agg(X.steady(F.sum("length")).alias("outside_m"))
 
 
 @query(f"select distinct u*100000+v as id, stop_id, cast(stop_id % 3 as int) as kind from v_network n join v_stops s on {_D} <= 10")

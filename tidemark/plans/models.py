@@ -10,6 +10,7 @@ from tidemark.operators import graph as G
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
 from tidemark.operators import spatial as S
+from tidemark.plans.panels import CORR_P
 from tidemark.plans.registry import query
 from tidemark.plans.spatials import _KNN, site_neighbours
 from tidemark.sources.fixtures import Inputs
@@ -37,10 +38,23 @@ def sta2_spatial_lag(i: Inputs) -> DataFrame:
     return M.lag(values(i), site_weights(i), "y", "size").select("id", X.steady(F.col("lag_y")).alias("lag_y"), X.steady(F.col("lag_size")).alias("lag_size"))
 
 
-@query(f"with {_VALUES}, m as (select avg(y) as m, count(*) as n, sum(y*y) - count(*)*avg(y)*avg(y) as ss from v) select {R.format('sum((a.y-m.m)*(b.y-m.m)/6)/any_value(m.ss)')} as i, {R.format('-1.0e0/(any_value(m.n)-1)')} as expected from ({_KNN}) k join v a on a.id=k.i join v b on b.id=k.j, m")
+_MORAN = f"""with {_VALUES}, z as (select id, y - avg(y) over () as z from v), w as (select i, j, 1.0e0/6 as w from ({_KNN}) k),
+m as (select count(*) as n, sum(z*z) as z2, sum(power(z,4)) as z4 from z),
+x as (select sum(w*a.z*b.z) as cross_, sum(w) as s0 from w join z a on a.id = w.i join z b on b.id = w.j),
+p as (select sum(power(coalesce(a.w,0) + coalesce(b.w,0), 2))/2 as s1 from w a full join w b on a.i = b.j and a.j = b.i),
+q as (select sum(power(coalesce(r,0) + coalesce(c,0), 2)) as s2 from (select i as id, sum(w) as r from w group by i) a full join (select j as id, sum(w) as c from w group by j) b using (id)),
+t as (select n/s0*cross_/z2 as i, -1.0e0/(n-1) as expected, (n*((n*n-3*n+3)*s1 - n*s2 + 3*s0*s0) - n*z4/(z2*z2)*((n*n-n)*s1 - 2*n*s2 + 6*s0*s0))/((n-1.0e0)*(n-2)*(n-3)*s0*s0) - 1.0e0/power(n-1,2) as variance from m, x, p, q),
+u as (select *, abs(i - expected)/sqrt(2*variance) as e from t)
+select {R.format('i')} as i, {R.format('expected')} as expected, {R.format('variance')} as variance,
+ {R.format("case when e > 4.3 then 0 else 1 - 2/sqrt(pi())*list_sum(list_transform(range(0, 120), lambda k: (1 - 2*(k % 2))*power(e, 2*k + 1)/(exp(lgamma(k + 1.0e0))*(2*k + 1)))) end")} as p from u"""
+
+
+@query(_MORAN)
 def sta3_morans_i(i: Inputs) -> DataFrame:
     s = M.morans_i(values(i).select("id", "y"), site_weights(i), "y")
-    return i.sites.sparkSession.createDataFrame([(s["i"], s["expected"])], "i double, expected double").select(X.steady(F.col("i")).alias("i"), X.steady(F.col("expected")).alias("expected"))
+    names = ("i", "expected", "variance", "p")
+    row = i.sites.sparkSession.createDataFrame([tuple(float(s[k]) for k in names)], ", ".join(f"{k} double" for k in names))
+    return row.select(*[X.steady(F.col(k)).alias(k) for k in names])
 
 
 @query(f"with {_VALUES} select 'size' as term, round(regr_slope(y, size)+1e-9,4) as estimate, count(*) as n from v union all select 'intercept', round(regr_intercept(y, size)+1e-9,4), count(*) from v")
@@ -48,18 +62,39 @@ def sta5_least_squares(i: Inputs) -> DataFrame:
     return M.fit_groups(values(i), "y", ["size"]).select("term", X.steady(F.col("estimate"), 4).alias("estimate"), "n")
 
 
-@query(f"select walktime_min, 'pct_visible_minority' as term, round(regr_slope(pct_low_income, pct_visible_minority)+1e-9,4) as estimate, count(*) as n from v_census group by walktime_min union all select walktime_min, 'intercept', round(regr_intercept(pct_low_income, pct_visible_minority)+1e-9,4), count(*) from v_census group by walktime_min")
-def sta8_scenario_sweep(i: Inputs) -> DataFrame:
-    """Every walk time's model from one grouped pass of moments."""
-    return M.fit_groups(i.census, "pct_low_income", ["pct_visible_minority"], "walktime_min").select("walktime_min", "term", X.steady(F.col("estimate"), 4).alias("estimate"), "n")
+#: Measures of the sweep, and its scenarios: walk time, least coverage, whether site types are controls, outcome.
+MEASURES = ["pct_low_income", "pct_visible_minority", "pct_bachelors_and_above", "pct_indigenous_identity"]
+SWEEP = {"main": (10, 0, True, "log_activity"), "coverage90": (10, 90, True, "log_activity"), "population20": (20, 0, True, "log_activity"), "no_site_type": (10, 0, False, "log_activity"), "raw_outcome": (10, 0, True, "site_activity_index")}
 
+_SWEEP = f"""with c as (select park_num, 100.0e0*count(*)/360 as cover from v_hours group by park_num),
+g as ({" union all ".join(f"select '{k}' as scenario, {w} as w, {c} as least, {t} as types, '{y}' as outcome" for k, (w, c, t, y) in SWEEP.items())}),
+m as ({" union all ".join(f"select park_num, walktime_min, '{c}' as measure, {c} as x from v_census where hasdata = 1" for c in MEASURES)}),
+l as (select scenario, measure, case when types then site_type else 'all' end as k, case when outcome = 'log_activity' then ln(site_activity_index) else site_activity_index end as y, m.x
+ from v_hours h join c using (park_num) join v_sites s using (park_num) join m using (park_num) join g on g.w = m.walktime_min and cover >= least),
+d as (select scenario, measure, x - avg(x) over p as x, y - avg(y) over p as y from l window p as (partition by scenario, measure, k))
+select scenario, measure, count(*) as n, {R.format('sum(x*y)/sum(x*x)')} as estimate from d group by scenario, measure"""
 
-@query("with l as (select walktime_min, predictor, outcome, a, b from (select walktime_min, 'low_income' as predictor, pct_low_income as a, 'minority' as outcome, pct_visible_minority as b from v_census union all select walktime_min, 'education', pct_bachelors_and_above, 'minority', pct_visible_minority from v_census union all select walktime_min, 'low_income', pct_low_income, 'indigenous', pct_indigenous_identity from v_census union all select walktime_min, 'education', pct_bachelors_and_above, 'indigenous', pct_indigenous_identity from v_census) q) select predictor, outcome, count(*) as n, round(corr(a,b)+1e-9,6) as r from l group by predictor, outcome")
+
+@query(_SWEEP)
+def sta8_scenario_sweep(i: Inputs) -> DataFrame:
+    """Activity on each measure under each scenario, site types as controls; the twin takes the means of types off."""
+    types = ["lakefront", "riverfront", "coastal waterfront without beach"]
+    cover = P.count_by(i.hours, "park_num").select("park_num", (F.col("n") * 100.0 / P.POSSIBLE).alias("cover"))
+    dummies = {f"type_{k}": (F.col("site_type") == t).cast("double") for k, t in enumerate(types)}
+    site = cover.join(i.sites.select("park_num", "site_type"), "park_num").withColumns(dummies)
+    census = i.census.filter("hasdata = 1").select("park_num", "walktime_min", *MEASURES)
+    rows = i.hours.select("park_num", "site_activity_index", F.ln("site_activity_index").alias("log_activity")).join(site.join(census, "park_num"), "park_num")
+    keep = {k: ((F.col("walktime_min") == w) & (F.col("cover") >= c), y, list(dummies) if t else []) for k, (w, c, t, y) in SWEEP.items()}
+    return M.fit_scenarios(rows, keep, MEASURES).select("scenario", "measure", "n", X.steady(F.col("estimate")).alias("estimate"))
+
+
+@query("with l as (select walktime_min, predictor, outcome, a, b from (select walktime_min, 'low_income' as predictor, pct_low_income as a, 'minority' as outcome, pct_visible_minority as b from v_census union all select walktime_min, 'education', pct_bachelors_and_above, 'minority', pct_visible_minority from v_census union all select walktime_min, 'low_income', pct_low_income, 'indigenous', pct_indigenous_identity from v_census union all select walktime_min, 'education', pct_bachelors_and_above, 'indigenous', pct_indigenous_identity from v_census) q) select predictor, outcome, n, round(r+1e-9,6) as r, round(" + CORR_P + "+1e-9,6) as p from (select predictor, outcome, count(*) as n, corr(a,b) as r from l group by predictor, outcome) q")
 def sta17_correlation_grid(i: Inputs) -> DataFrame:
     c = i.census.select("park_num", "walktime_min", F.col("pct_low_income").alias("low_income"), F.col("pct_bachelors_and_above").alias("education"), F.col("pct_visible_minority").alias("minority"), F.col("pct_indigenous_identity").alias("indigenous"))
     left = c.unpivot(["minority", "indigenous"], ["low_income", "education"], "predictor", "a")
     long = left.unpivot(["predictor", "a"], ["minority", "indigenous"], "outcome", "b")
-    return long.groupBy("predictor", "outcome").agg(F.count("*").alias("n"), X.steady(F.corr("a", "b")).alias("r"))
+    found = long.groupBy("predictor", "outcome").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return found.select("predictor", "outcome", "n", X.steady(F.col("r")).alias("r"), X.steady(M.correlation_p(F.col("r"), F.col("n"))).alias("p"))
 
 
 @query("select outcome, family, aic from (select *, row_number() over (partition by outcome order by k, family) as r from (select *, (case when family = 'ols' and moran_p >= 0.05 then 0 when family <> 'ols' and moran_p >= 0.05 then 1 else 2 end)*1e9 + aic as k from (select park_num as outcome, f.family, 100.0e0 + (park_num * f.n) % 13 as aic, ((park_num * f.n) % 20)/100.0e0 as moran_p from v_sites, (select 'ols' as family, 3 as n union all select 'lag', 5 union all select 'error', 7) f) c) q) z where r = 1")
@@ -85,7 +120,8 @@ def sta4_sta6_sta7_residual_tests(i: Inputs) -> DataFrame:
 @query()
 def sta9_to_sta11_spatial_models(i: Inputs) -> DataFrame:
     v, w = values(i), site_weights(i)
-    lag, err = M.spatial_lag_model(v, w, "y", ["size"], 6), M.spatial_error_model(v, w, "y", ["size"], 6)
+    spectrum = M.Spectrum(w)
+    lag, err = M.spatial_lag_model(v, w, "y", ["size"], spectrum), M.spatial_error_model(v, w, "y", ["size"], spectrum)
     rows = [("lag", k, lag[k]) for k in ("rho", "se_rho", "aic")] + [("lag impact", k, x) for k, x in lag["impacts"]["size"].items()]
     return _terms(i, rows + [("error", k, err[k]) for k in ("lambda", "aic")])
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
+from tidemark.operators import models as M
 from tidemark.operators import panel as P
 from tidemark.operators import windows as W
 from tidemark.plans.registry import query
@@ -13,6 +14,11 @@ from tidemark.sources.fixtures import Inputs
 
 R = "round({} + 1.0e-9, 6)"
 
+#: Two-sided p of a correlation r of n pairs: Student's distribution as a finite sum of powers of cos t = sqrt(1 - r * r).
+CORR_P = """case when abs(r) >= 1 then 0.0e0 when (n - 2) % 2 = 0 then
+ 1 - abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: exp(lgamma(k + 0.5e0) - lgamma(k + 1.0e0)) / sqrt(pi()) * power(1 - r * r, k)))
+ else 1 - 2 / pi() * (asin(abs(r)) + abs(r) * coalesce(list_sum(list_transform(range(1, (n - 1) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k * 1.0e0) - lgamma(k + 0.5e0)) * power(1 - r * r, k - 0.5e0))), 0)) end"""
+
 
 @query("select *, lpad(cast(agg_time_period as varchar),2,'0') || ':00-' || lpad(cast(agg_time_period+1 as varchar),2,'0') || ':00' as hour_label, case agg_day_period when 0 then 'Weekday' else 'Weekend' end as day_type from v_hours")
 def site_hour_activity(i: Inputs) -> DataFrame:
@@ -104,15 +110,21 @@ def agg12_median_by_hour(i: Inputs) -> DataFrame:
     return i.hours.groupBy("agg_time_period").agg(X.steady(F.median("site_activity_index")).alias("median_activity"))
 
 
-@query(f"select agg_time_period, count(*) as n, {R.format('corr(site_activity_index, cast(unique_cells_used as double))')} as r from v_hours group by agg_time_period")
+@query(f"select agg_time_period, n, {R.format('r')} as r, {R.format(CORR_P)} as p from (select agg_time_period, count(*) as n, corr(site_activity_index, cast(unique_cells_used as double)) as r from v_hours group by agg_time_period) q")
 def agg13_pearson(i: Inputs) -> DataFrame:
-    return i.hours.groupBy("agg_time_period").agg(F.count("*").alias("n"), X.steady(F.corr("site_activity_index", F.col("unique_cells_used").cast("double"))).alias("r"))
+    found = i.hours.groupBy("agg_time_period").agg(F.count("*").alias("n"), F.corr("site_activity_index", F.col("unique_cells_used").cast("double")).alias("r"))
+    return found.select("agg_time_period", "n", X.steady(F.col("r")).alias("r"), X.steady(M.correlation_p(F.col("r"), F.col("n"))).alias("p"))
 
 
-@query("with r as (select walktime_min, rank() over (partition by walktime_min order by pct_low_income) + (count(*) over (partition by walktime_min, pct_low_income) - 1)/2.0e0 as a, rank() over (partition by walktime_min order by pct_visible_minority) + (count(*) over (partition by walktime_min, pct_visible_minority) - 1)/2.0e0 as b from v_census) select walktime_min, round(corr(a,b)+1e-9,6) as rho from r group by walktime_min")
+@query(
+    "with k as (select walktime_min, rank() over (partition by walktime_min order by pct_low_income) + (count(*) over (partition by walktime_min, pct_low_income) - 1)/2.0e0 as a, rank() over (partition by walktime_min order by pct_visible_minority) + (count(*) over (partition by walktime_min, pct_visible_minority) - 1)/2.0e0 as b from v_census)"
+    f" select walktime_min, n, {R.format('r')} as rho, {R.format(CORR_P)} as p from (select walktime_min, count(*) as n, corr(a,b) as r from k group by walktime_min) q"
+)
 def agg14_win10_spearman(i: Inputs) -> DataFrame:
     rank = lambda c: P.average_rank(F.col(c), "walktime_min")
-    return i.census.select("walktime_min", rank("pct_low_income").alias("a"), rank("pct_visible_minority").alias("b")).groupBy("walktime_min").agg(X.steady(F.corr("a", "b")).alias("rho"))
+    ranked = i.census.select("walktime_min", rank("pct_low_income").alias("a"), rank("pct_visible_minority").alias("b"))
+    found = ranked.groupBy("walktime_min").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    return found.select("walktime_min", "n", X.steady(F.col("r")).alias("rho"), X.steady(M.correlation_p(F.col("r"), F.col("n"))).alias("p"))
 
 
 @query("with m as (select agg_time_period, avg(site_activity_index) as m, stddev_samp(site_activity_index) as s from v_hours group by agg_time_period) select agg_time_period, round(avg(power(site_activity_index-m,3))/power(any_value(s),3)+1e-9,4) as skewness from v_hours join m using (agg_time_period) group by agg_time_period")
@@ -197,13 +209,15 @@ def agg28_pooled_summary(i: Inputs) -> DataFrame:
 @query("select park_num, walktime_min, round(case when max(v) over w = min(v) over w then case when v is not null then 0 end else (v - min(v) over w)/(max(v) over w - min(v) over w) end + 1e-9, 6) as scaled from (select park_num, walktime_min, case when hasdata=1 then pct_low_income end as v from v_census) c window w as (partition by walktime_min)")
 def win1_min_max(i: Inputs) -> DataFrame:
     v = F.when(F.col("hasdata") == 1, F.col("pct_low_income"))
-    return i.census.withColumn("v", v).select("park_num", "walktime_min", X.steady(W.min_max(F.col("v"), "walktime_min")).alias("scaled"))
+    out = W.min_max(i.census.select("park_num", "walktime_min", v.alias("v")), {"scaled": "v"}, "walktime_min")
+    return out.select("park_num", "walktime_min", X.steady(F.col("scaled")).alias("scaled"))
 
 
 @query("select park_num, walktime_min, round((v - avg(v) over w)/nullif(stddev_samp(v) over w,0)+1e-9,6) as z from (select park_num, walktime_min, case when hasdata=1 then pct_low_income end as v from v_census) c window w as (partition by walktime_min)")
 def win2_z_score(i: Inputs) -> DataFrame:
     v = F.when(F.col("hasdata") == 1, F.col("pct_low_income"))
-    return i.census.withColumn("v", v).select("park_num", "walktime_min", X.steady(W.z_score(F.col("v"), "walktime_min")).alias("z"))
+    out = W.z_score(i.census.select("park_num", "walktime_min", v.alias("v")), {"z": "v"}, "walktime_min")
+    return out.select("park_num", "walktime_min", X.steady(F.col("z")).alias("z"))
 
 
 @query("select h.park_num, h.start_date, h.agg_day_period, h.agg_time_period, round((s.h - m)/sd+1e-9,6) as z_h from v_hours h join v_sites s using (park_num), (select avg(h) as m, stddev_samp(h) as sd from v_sites where park_num in (select park_num from v_hours)) p")

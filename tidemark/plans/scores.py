@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import contracts as C
+from tidemark.operators import models as M
 from tidemark.operators import panel as P
 from tidemark.operators import scores as SC
 from tidemark.operators import spatial as S
 from tidemark.operators import windows as W
-from tidemark.plans.panels import R, segments
+from tidemark.plans.panels import CORR_P, R, segments
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Inputs
 
@@ -78,11 +79,21 @@ def cmp5_cmp6_proxy_ratios(i: Inputs) -> DataFrame:
     return segments(i).groupBy("park_num").agg(X.steady(part((gentle | F.col("beach")) & ~F.col("barrier"))).alias("unobstructed_ratio"), X.steady(part(F.col("barrier"))).alias("barrier_ratio"))
 
 
-@query("select park_num, walktime_min, case when a is null and b is null then null else coalesce(a,0)+coalesce(b,0) end as low_income, case when c is null and d is null then null else coalesce(c,0)+coalesce(d,0) end as education from (select park_num, walktime_min, case when hasdata=1 then pct_low_income end as a, case when hasdata=1 and park_num%2=0 then pct_visible_minority end as b, case when park_num%3=0 then pct_bachelors_and_above end as c, case when park_num%5=0 then pct_indigenous_identity end as d from v_census) q")
+#: Income brackets of the fixture: whole numbers, some missing.
+BRACKETS = range(1, 9)
+_BRACKET = "case when hasdata = 1 and (park_num + walktime_min + {k}) % 5 <> 0 then cast((park_num*({k} + 2) + walktime_min) % 40 as double) end"
+
+
+@query(
+    f"select park_num, walktime_min, {' + '.join(f'coalesce(b{k}, 0)' for k in BRACKETS)} + case when {' and '.join(f'b{k} is null' for k in BRACKETS)} then null else 0 end as low_income, case when c is null and d is null then null else coalesce(c,0)+coalesce(d,0) end as education, household_median_income"
+    f" from (select park_num, walktime_min, household_median_income, {', '.join(_BRACKET.format(k=k) + f' as b{k}' for k in BRACKETS)}, case when park_num%3=0 then pct_bachelors_and_above end as c, case when park_num%5=0 then pct_indigenous_identity end as d from v_census) q"
+)
 def cmp7_census_clean(i: Inputs) -> DataFrame:
-    p, on = F.col("park_num"), F.col("hasdata") == 1
-    raw = i.census.select("park_num", "walktime_min", F.when(on, F.col("pct_low_income")).alias("a"), F.when(on & (p % 2 == 0), F.col("pct_visible_minority")).alias("b"), F.when(p % 3 == 0, F.col("pct_bachelors_and_above")).alias("c"), F.when(p % 5 == 0, F.col("pct_indigenous_identity")).alias("d"))
-    return SC.census_clean(raw, ["a", "b"], ["c", "d"]).select("park_num", "walktime_min", "low_income", "education")
+    """Direct copies, low income from eight brackets, education from its levels."""
+    p, w = F.col("park_num"), F.col("walktime_min")
+    bracket = lambda k: F.when((F.col("hasdata") == 1) & ((p + w + k) % 5 != 0), ((p * (k + 2) + w) % 40).cast("double"))
+    raw = i.census.select("park_num", "walktime_min", "household_median_income", *[bracket(k).alias(f"b{k}") for k in BRACKETS], F.when(p % 3 == 0, F.col("pct_bachelors_and_above")).alias("c"), F.when(p % 5 == 0, F.col("pct_indigenous_identity")).alias("d"))
+    return SC.census_clean(raw, [f"b{k}" for k in BRACKETS], ["c", "d"]).select("park_num", "walktime_min", "low_income", "education", "household_median_income")
 
 
 @query("select s.park_num, cast(coalesce(n,0) as int) as reach_cells, cast(coalesce(k,0) as int) as shared_cells from v_sites s left join (select park_num, count(*) as n from v_lookup group by park_num) a on a.park_num = s.park_num left join (select l.park_num, count(*) as k from v_lookup l where geography in (select geography from v_lookup group by geography having count(*) > 1) group by l.park_num) b on b.park_num = s.park_num")
@@ -125,11 +136,34 @@ def cnd5_quadrants(i: Inputs) -> DataFrame:
     return i.census.select("park_num", "walktime_min", X.quadrant(a, b, F.percentile(a, F.lit(0.5)).over(w), F.percentile(b, F.lit(0.5)).over(w)).alias("quadrant"))
 
 
-@query(f"with {_Q}, k as (select walktime_min, (case when a >= ma then 'H' else 'L' end) || (case when b >= mb then 'H' else 'L' end) as quadrant, a, b from q) select walktime_min, quadrant, count(*) as sites, {R.format('100.0e0*count(*)/sum(count(*)) over (partition by walktime_min)')} as percent, {R.format('avg(a-b)')} as mean_gap from k group by walktime_min, quadrant")
+#: Dimensions that are compared two by two.
+DIMENSIONS = ("pct_low_income", "pct_visible_minority", "pct_bachelors_and_above", "pct_indigenous_identity")
+_PAIRS = [(a, b) for k, a in enumerate(DIMENSIONS) for b in DIMENSIONS[k + 1 :]]
+
+_PAIRWISE = f"""with l as ({" union all ".join(f"select park_num, walktime_min, '{a}' as first, '{b}' as second, {a} as a, {b} as b from v_census" for a, b in _PAIRS)}),
+m as (select *, quantile_cont(a,0.5) over p as ma, quantile_cont(b,0.5) over p as mb from l window p as (partition by walktime_min, first, second)),
+k as (select *, (case when a >= ma then 'H' else 'L' end) || (case when b >= mb then 'H' else 'L' end) as quadrant from m),
+c as (select walktime_min, first, second, count(*) as n, corr(a,b) as r from l group by walktime_min, first, second)
+select walktime_min, first, second, quadrant, sites, percent, mean_gap, most_divergent, n, {R.format('r')} as r, {R.format(CORR_P)} as p from c join
+ (select walktime_min, first, second, quadrant, count(*) as sites, {R.format('100.0e0*count(*)/sum(count(*)) over (partition by walktime_min, first, second)')} as percent, {R.format('avg(a-b)')} as mean_gap, arg_max(park_num, abs(a-b) - park_num/1.0e6) as most_divergent from k group by walktime_min, first, second, quadrant) q using (walktime_min, first, second)"""
+
+
+@query(_PAIRWISE)
 def cmp12_pairwise_dimensions(i: Inputs) -> DataFrame:
-    q = cnd5_quadrants(i).join(i.census.select("park_num", "walktime_min", (F.col("pct_low_income") - F.col("pct_visible_minority")).alias("gap")), ["park_num", "walktime_min"])
-    g = q.groupBy("walktime_min", "quadrant").agg(F.count("*").alias("sites"), X.steady(F.avg("gap")).alias("mean_gap"))
-    return g.withColumn("percent", X.steady(F.col("sites") * 100.0 / F.sum("sites").over(Window.partitionBy("walktime_min"))))
+    """All pairs of dimensions: correlation with n and p, and by quadrant the sites, their share, mean gap and most
+    divergent site. Medians are one row per walk time and dimension, joined back."""
+    long = i.census.unpivot(["walktime_min"], list(DIMENSIONS), "dimension", "value")
+    medians = long.groupBy("walktime_min", "dimension").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in _PAIRS]))
+    rows = i.census.select("park_num", "walktime_min", pairs.alias("p")).select("park_num", "walktime_min", "p.*")
+    for side, m in (("first", "ma"), ("second", "mb")):
+        rows = rows.join(medians.select("walktime_min", F.col("dimension").alias(side), F.col("median").alias(m)), ["walktime_min", side])
+    key, gap = ["walktime_min", "first", "second"], F.col("a") - F.col("b")
+    q = rows.withColumn("quadrant", X.quadrant(F.col("a"), F.col("b"), F.col("ma"), F.col("mb"))).groupBy(*key, "quadrant")
+    q = q.agg(F.count("*").alias("sites"), X.steady(F.avg(gap)).alias("mean_gap"), F.max_by("park_num", F.abs(gap) - F.col("park_num") / 1.0e6).alias("most_divergent"))
+    found = rows.groupBy(*key).agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    found = found.select(*key, "n", X.steady(F.col("r")).alias("r"), X.steady(M.correlation_p(F.col("r"), F.col("n"))).alias("p"))
+    return q.join(found, key).withColumn("percent", X.steady(F.col("sites") * 100.0 / F.col("n")))
 
 
 @query(f"select park_num, walktime_min, {R.format('a/t')} as share_a, {R.format('b/t')} as share_b, {R.format('(b + c/2)/t')} as ternary_x, {R.format('c/t*sqrt(3)/2')} as ternary_y from (select park_num, walktime_min, pct_low_income as a, pct_visible_minority as b, pct_bachelors_and_above as c, case when pct_low_income+pct_visible_minority+pct_bachelors_and_above > 0 then pct_low_income+pct_visible_minority+pct_bachelors_and_above end as t from v_census) q")
@@ -174,8 +208,11 @@ def val5_allowed_values(i: Inputs) -> DataFrame:
 
 @query("select 'value' as column_name, 0.0e0 as max_difference, cast(0 as bigint) as null_mismatches, true as ok")
 def val6_recompute(i: Inputs) -> DataFrame:
-    """The window form of scaling against its recomputation by a grouped join."""
-    a = i.census.select("park_num", "walktime_min", W.min_max(F.col("pct_low_income"), "walktime_min").alias("value"))
-    lim = i.census.groupBy("walktime_min").agg(F.min("pct_low_income").alias("lo"), F.max("pct_low_income").alias("hi"))
-    b = i.census.join(lim, "walktime_min").select("park_num", "walktime_min", ((F.col("pct_low_income") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("value"))
+    """Scaling by joined limits against its recomputation with each group's limits collected (four groups)."""
+    a = W.min_max(i.census.select("park_num", "walktime_min", "pct_low_income"), {"value": "pct_low_income"}, "walktime_min")
+    limits = {r.walktime_min: (r.lo, r.hi) for r in i.census.groupBy("walktime_min").agg(F.min("pct_low_income").alias("lo"), F.max("pct_low_income").alias("hi")).collect()}
+    value = F.lit(None).cast("double")
+    for minutes, (lo, hi) in limits.items():
+        value = F.when(F.col("walktime_min") == minutes, (F.col("pct_low_income") - lo) / (hi - lo)).otherwise(value)
+    b = i.census.select("park_num", "walktime_min", value.alias("value"))
     return C.same(a, b, ["park_num", "walktime_min"], ["value"])

@@ -45,10 +45,14 @@ def jn13_line_border_crossings(i: Inputs) -> DataFrame:
     return S.crossings(streets(i).select("id", "ax", "ay", "bx", "by"), border, 250.0).select("park_num", "id", "px", "py").distinct()
 
 
-@query(f"select park_num, round(sum(greatest(0, least(vx,bx0+w)-greatest(ux,bx0)))+1e-9,6) as inside_m from v_network n join ({BOXES}) b on uy=vy and uy > by0 and uy < by0+w and least(vx,bx0+w)-greatest(ux,bx0) > 0.001 group by park_num")
+#: Streets run along one axis: (piece inside a box, condition that the other axis is inside), by direction.
+_ALONG = "select id, park_num, len, uy > by0 and uy < by0+w as across, least(vx,bx0+w) - greatest(ux,bx0) as inside from (select u*100000+v as id, * from v_network where uy = vy) n, ({BOXES}) b union all select id, park_num, len, ux > bx0 and ux < bx0+w, least(vy,by0+w) - greatest(uy,by0) from (select u*100000+v as id, * from v_network where ux = vx) n, ({BOXES}) b"
+
+
+@query(f"select park_num, round(sum(inside)+1e-9,6) as inside_m from ({_ALONG.format(BOXES=BOXES)}) l where across and inside > 0.001 group by park_num")
 def jn14_clip_lines(i: Inputs) -> DataFrame:
-    level = streets(i).filter("ay = by").select("id", "ax", "ay", "bx", "by")
-    return S.split_inside(level, boxes(i), "park_num", True).groupBy("park_num").agg(X.steady(F.sum("length")).alias("inside_m"))
+    lines = streets(i).select("id", "ax", "ay", "bx", "by")
+    return S.split_inside(lines, boxes(i), "park_num", True).groupBy("park_num").agg(X.steady(F.sum("length")).alias("inside_m"))
 
 
 @query("select stop_id, park_num, round(sqrt(power(c.x-s.x,2)+power(c.y-s.y,2))+1e-9,6) as distance from v_stops c join v_sites s on power(c.x-s.x,2)+power(c.y-s.y,2) <= 160000")
@@ -60,13 +64,13 @@ def jn16_distance_window(i: Inputs) -> DataFrame:
 _D = "sqrt(power(greatest(greatest(least(ux,vx)-x,x-greatest(ux,vx)),0),2)+power(greatest(greatest(least(uy,vy)-y,y-greatest(uy,vy)),0),2))"
 
 
-@query(f"select stop_id, u, v, distance from (select stop_id, u, v, round({_D}+1e-9,6) as distance, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n where {_D} <= 3200) q where r = 1")
+@query(f"select stop_id, u, v, distance from (select stop_id, u, v, round({_D}+1e-9,6) as distance, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n) q where r = 1")
 def jn18_nearest_edge(i: Inputs) -> DataFrame:
     best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0)
     return best.select("stop_id", "u", "v", X.steady(F.col("distance")).alias("distance"))
 
 
-@query("select stop_id, case when d <= 60 then node end as node, round(d+1e-9,6) as distance from (select stop_id, u as node, sqrt(power(x-ux,2)+power(y-uy,2)) as d, row_number() over (partition by stop_id order by sqrt(power(x-ux,2)+power(y-uy,2)), u) as r from v_stops, (select distinct u, ux, uy from v_network) n where sqrt(power(x-ux,2)+power(y-uy,2)) <= 200) q where r = 1")
+@query("select stop_id, case when d <= 60 then node end as node, round(d+1e-9,6) as distance from (select stop_id, u as node, sqrt(power(x-ux,2)+power(y-uy,2)) as d, row_number() over (partition by stop_id order by sqrt(power(x-ux,2)+power(y-uy,2)), u) as r from v_stops, (select distinct u, ux, uy from v_network) n) q where r = 1")
 def jn19_nearest_node(i: Inputs) -> DataFrame:
     nodes = i.network.select(F.col("u").alias("node"), F.col("ux").alias("x2"), F.col("uy").alias("y2")).distinct()
     best = S.nearest_point(i.stops, nodes, "stop_id", ["node"], 200.0)
@@ -256,7 +260,16 @@ def geo1_round_trip(i: Inputs) -> DataFrame:
     return there.select("park_num", "lon", "lat", F.hypot(x - F.col("x"), y - F.col("y")).alias("moved"))
 
 
-@query("select park_num, x as stop_x, case when geometry is null or len(geometry) < 4 then 'drop' else 'keep' end as decision from (select park_num, x, case when park_num % 5 = 0 then [1] when park_num % 7 = 0 then null else [1,2,3,4] end as geometry from v_sites) s")
+_SHAPES = "select park_num, case park_num % 6 when 0 then null when 1 then 'Point' else 'Polygon' end as kind, case park_num % 5 when 0 then 2 when 1 then 4 when 2 then null else 5 end as vertices, case park_num % 3 when 0 then 'Keep' when 1 then 'KEEP' else 'remove' end as decision from v_sites"
+
+
+@query(f"select park_num, cast(case when vertices = 5 then 5 else vertices + 1 end as int) as vertices, decision from ({_SHAPES}) s where kind = 'Polygon' and vertices >= 3 and lower(decision) = 'keep'")
 def flt5_flt7_geometry_hygiene(i: Inputs) -> DataFrame:
-    g = F.when(F.col("park_num") % 5 == 0, F.array(F.lit(1))).when(F.col("park_num") % 7 != 0, F.array(*map(F.lit, (1, 2, 3, 4))))
-    return i.sites.select("park_num", F.col("x").alias("stop_x"), F.when(F.coalesce(F.size(g) >= 4, F.lit(False)), "keep").otherwise("drop").alias("decision"))
+    """Rings of the right type, closed where they are open, with four vertices or more, that the review keeps in any
+    case. Some of the fixture's rings are missing, cut short or left open."""
+    p = F.col("park_num")
+    kind = F.when(p % 6 == 0, F.lit(None)).when(p % 6 == 1, "Point").otherwise("Polygon")
+    ring = F.when(p % 5 == 0, F.slice("ring", 1, 2)).when(p % 5 == 1, F.slice("ring", 1, 4)).when(p % 5 != 2, F.col("ring"))
+    decision = F.when(p % 3 == 0, "Keep").when(p % 3 == 1, "KEEP").otherwise("remove")
+    shapes = S.site_rings(i.sites).select("park_num", kind.alias("kind"), ring.alias("ring"), decision.alias("decision"))
+    return S.tidy_rings(shapes, "ring", "kind").filter(F.lower("decision") == "keep").select("park_num", F.size("ring").alias("vertices"), "decision")
