@@ -443,6 +443,64 @@ def test_automaton():
     assert read(b"stupid", b"stupd", b"stuppid", b"stipid", b"scum", b"scuum", b"loweixyz", b"lowe", b"stupidly", b"stoopid") == [3, 1, 1, 1, 3, 0, 2, 0, 0, 0]
 
 
+def within_one(a, b):
+    """Whether one letter left out, added or exchanged makes a of b (or none)."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    table = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, table[0] = table[0], i
+        for j, y in enumerate(b, 1):
+            last, table[j] = table[j], min(table[j] + 1, table[j - 1] + 1, last + (x != y))
+    return table[-1] <= 1
+
+
+def test_automaton_against_edit_distance():
+    """Verdicts for random words over a small alphabet; edits of first letters allowed for some terms only."""
+    from tidemark.llm.textscan import Words
+
+    rng = np.random.default_rng(43)
+    draw = lambda n: bytes(rng.choice(list(b"abc"), size=n).tolist())
+    for _ in range(8):
+        terms = sorted({draw(int(rng.integers(3, 7))) for _ in range(5)})
+        edits = {w: toxicity.INNER | (toxicity.FIRST if k % 2 else 0) for k, w in enumerate(terms)}
+        a = Automaton(terms, [], edits=edits)
+        tried = [draw(int(rng.integers(2, 8))) for _ in range(400)]
+        data = np.frombuffer(b" ".join(tried), np.uint8)
+        w = Words(data, np.array([0, len(data)]))
+        for word, verdict in zip(tried, a.read(data, w.start, w.end).tolist()):
+            want = 3 if word in terms else 0
+            for t in terms if not want else ():
+                if within_one(word, t) and (edits[t] & toxicity.FIRST or toxicity.edit_kinds(word, t) & toxicity.INNER):
+                    want = 1
+            assert verdict == want, (terms, edits, word)
+
+
+def test_toxicity_quotation(spark):
+    """A quoted and reported term weighs less than a quoted one, and that less than a plain one."""
+    rows, labels = [], []
+    for i in range(400):
+        t = sentence(9000 + i, 30).split()
+        if i % 4 == 0:
+            t[7] = ["moron", "idiot"][i // 4 % 2]
+        rows.append((i, " ".join(t)))
+        labels.append((i, int(i % 4 == 0)))
+    rows += [(1000, 'w1 w2 moron w3 w4'), (1001, 'w1 w2 "moron" w3 w4'), (1002, 'w1 said "moron" w3 w4'), (1003, 'w1 w2 w5 w3 w4')]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r for r in score_toxicity(d, l).collect()}
+    assert got[1000].x_terms > got[1001].x_terms > got[1002].x_terms > got[1003].x_terms == 0
+    assert got[1000].score > got[1002].score > got[1003].score
+
+
+def test_toxicity_awkward_rows(spark, docs, texts):
+    """Null, empty, repeated and very long rows, null and repeated ids and clashing names: one row each, same text same score."""
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), "x") for i in range(1, 21)] + [(None, 1, "x")], "doc_id long, toxic int, text string")
+    got = score_toxicity(docs, labels).collect()
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(i for i, _ in texts)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert len({r.score for r in got if r.doc_id == 4}) == 1
+
+
 def test_toxicity(spark, none):
     rng = np.random.default_rng(2)
     rows, labels = [], []

@@ -389,7 +389,9 @@ def learn_edits(labelled: DataFrame, terms: dict[bytes, int], stems: dict[bytes,
 
 def toxicity(docs: DataFrame, labels: DataFrame, window: int = 60, sample: int = SAMPLE, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, and the features. Labels are used only where
-    crc32(doc_id as text) mod 4 is not 2."""
+    crc32(doc_id as text) mod 4 is not 2. A null text is empty and scores like one; null and repeated ids are scored like
+    others (a null id is not held out, and never a labelled row); other columns are not read; an empty table gives an
+    empty one; without labels of both classes every score is near 0."""
     store = Store(docs.sparkSession, "toxicity")
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
