@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import row_mean, row_sum
-from tidemark.operators.windows import min_max
+from tidemark.functions.expr import ratio_or_zero, row_mean, row_sum, steady
+from tidemark.operators.windows import min_max, z_score
 
 
 def access_scores(metrics: DataFrame, by: str = "walktime_min") -> DataFrame:
@@ -33,3 +35,96 @@ def access_point_decision(manual: Column, node: Column, junctions: Column, share
 def census_clean(df: DataFrame, brackets: list[str], education: list[str]) -> DataFrame:
     """Low-income households from brackets and education from its levels, null only where every part is."""
     return df.withColumn("low_income", row_sum([F.col(c) for c in brackets])).withColumn("education", row_sum([F.col(c) for c in education]))
+
+
+def lookup_checks(lookup: DataFrame, sites: DataFrame, site: str, cell: str) -> DataFrame:
+    """Checks of a lookup (site, cell) as report, item, value: matches, cells per site with their least, most and median,
+    sites without cells, cells of several sites, repeated pairs."""
+    number = F.col("n").cast("double").alias("value")
+    pairs = lookup.groupBy(site, cell).agg(F.count("*").alias("n"))
+    per_site = lookup.groupBy(site).agg(F.count("*").alias("n"))
+    row = lambda df, report, item: df.select(F.lit(report).alias("report"), item.cast("string").alias("item"), number)
+    one = lookup.agg(F.count("*").alias("pairs"), F.count_distinct(cell).alias("cells"), F.count_distinct(site).alias("sites"))
+    spread = per_site.agg(F.min("n").cast("double").alias("minimum"), F.max("n").cast("double").alias("maximum"), F.percentile("n", F.lit(0.5)).alias("median"))
+    several = pairs.groupBy(cell).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = pairs.filter("n > 1")
+    reports = [
+        row(one.unpivot([], one.columns, "item", "n"), "matches", F.col("item")),
+        row(spread.unpivot([], spread.columns, "item", "n"), "cells per site", F.col("item")),
+        row(per_site, "cells per site", F.col(site)),
+        row(sites.join(per_site, site, "left_anti").withColumn("n", F.lit(0)), "sites without cells", F.col(site)),
+        row(several, "cells in several sites", F.col(cell)),
+        row(repeated, "repeated pairs", F.concat_ws(" ", F.col(site).cast("string"), F.col(cell).cast("string"))),
+    ]
+    return reduce(DataFrame.unionByName, reports)
+
+
+def dimension_pairs(df: DataFrame, dimensions: list[str], keep: list[str]) -> DataFrame:
+    """A row for every pair of dimensions: first, second, x, y."""
+    both = [(a, b) for k, a in enumerate(dimensions) for b in dimensions[k + 1 :]]
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("x"), F.col(b).alias("y")) for a, b in both]))
+    return df.select(*keep, rows.alias("p")).select(*keep, "p.*")
+
+
+def with_rank(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
+    """Average rank within groups: distinct values are counted first, and only the counts are summed in order."""
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*by).orderBy(value))
+    return df.join(counts.select(*by, value, (upto - (F.col("k") - 1) / 2).alias(name)), [*by, value])
+
+
+def pair_statistics(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Complete rows of each pair: n, Pearson's r, Spearman's rho, both medians."""
+    full = with_rank(with_rank(pairs.dropna(subset=["x", "y"]), "x", "a", by), "y", "b", by)
+    median = lambda c: F.percentile(c, F.lit(0.5)).alias(f"{c}_median")
+    return full.groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("a", "b").alias("spearman_rho"), median("x"), median("y"))
+
+
+def divergence(pairs: DataFrame, by: list[str]) -> DataFrame:
+    """With x_z and y_z, standardised within the pair, and their absolute difference; rows where one is missing go."""
+    z = z_score(pairs, {"x_z": "x", "y_z": "y"}, *by)
+    return z.withColumn("gap", F.abs(F.col("x_z") - F.col("y_z"))).filter(F.col("gap").isNotNull())
+
+
+def haptic_proxy(pieces: DataFrame, site: str, length: str) -> DataFrame:
+    """pieces: site, length, gentle, barrier, bridge, beach (booleans), n features -> a row per site with counts, twelve
+    ratios within 0 and 1 (by pieces and by length) and the score: the unobstructed approachable share of the length."""
+    gentle, barrier, bridge, beach = (F.col(c) for c in ("gentle", "barrier", "bridge", "beach"))
+    near = gentle | beach
+    kinds = {"barrier_affected": barrier, "bridge_affected": bridge, "beach_sand": beach, "approachable": near, "unobstructed_approachable": near & ~barrier, "barrier_on_approachable": near & barrier}
+    sums = [x for k, c in kinds.items() for x in (F.count_if(c).alias(f"{k}_count"), F.sum(F.when(c, F.col(length)).otherwise(0.0)).alias(f"{k}_length"))]
+    out = pieces.groupBy(site).agg(F.count("*").alias("segment_count"), F.sum(length).alias("shoreline_length_m"), F.sum("n").alias("feature_count"), *sums)
+    by_count = [steady(ratio_or_zero(F.col(f"{k}_count"), F.col("segment_count"))).alias(f"{k}_segment_ratio") for k in kinds]
+    share = {k: steady(ratio_or_zero(F.col(f"{k}_length"), F.col("shoreline_length_m"))) for k in kinds}
+    by_length = [c.alias(f"{k}_shoreline_ratio") for k, c in share.items()]
+    return out.select(site, "segment_count", "shoreline_length_m", "feature_count", *by_count, *by_length, share["unobstructed_approachable"].alias("haptic_access_proxy_score"))
+
+
+def eligibility(hours: DataFrame, census: DataFrame, possible: int) -> DataFrame:
+    """hours: park_num, hours -> with coverage and the three columns that admit a site to a model; a site without census
+    rows is null there."""
+    has = lambda minutes: F.bool_or(F.when(F.col("walktime_min") == minutes, F.col("hasdata") == 1))
+    flags = census.groupBy("park_num").agg(has(10).alias("main_model_eligible"), has(20).alias("population20_sensitivity_eligible"))
+    pct = F.col("hours") * 100.0 / possible
+    out = hours.join(flags, "park_num", "left")
+    return out.select("park_num", "hours", steady(pct).alias("coverage_pct"), "main_model_eligible", (F.col("main_model_eligible") & (pct >= 90)).alias("coverage90_model_eligible"), "population20_sensitivity_eligible")
+
+
+#: The first step that finds nothing, in the order of the steps.
+STEPS = {
+    "n_local": "no local network found",
+    "n_walk": "no walkable local network found",
+    "n_out": "no outside linework",
+    "n_graph": "outside graph could not be built",
+    "n_origin": "no routing origin points",
+}
+
+
+def site_statuses(sites: DataFrame, counts: DataFrame, site: str) -> DataFrame:
+    """sites: site, has_polygon; counts: site and a column for each of STEPS -> every site with its counts (0 where
+    there are none) and status."""
+    full = sites.join(counts, site, "left").select(site, "has_polygon", *[F.when(F.col("has_polygon"), F.coalesce(c, F.lit(0))).otherwise(0).alias(c) for c in STEPS])
+    status = F.when(~F.col("has_polygon"), "park polygon not found")
+    for c, text in STEPS.items():
+        status = status.when(F.col(c) == 0, text)
+    return full.select(site, *STEPS, status.otherwise("processed").alias("status"))
