@@ -23,7 +23,8 @@ def near_point_places(lines: DataFrame, points: DataFrame, tolerance: float) ->
 
 
 def split_at(lines: DataFrame, places: DataFrame, least: float = 0.001) -> DataFrame:
-    """Segments cut at their places; pieces shorter than ``least`` go, equal pieces of different segments stay once."""
+    """Segments cut at their places; pieces shorter than ``least`` go, equal pieces of different segments stay once,
+    under the smallest id."""
     breaks = places.groupBy("id").agg(F.collect_set("t").alias("t"))
     all_ = lines.join(breaks, "id", "left").withColumn("t", F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.coalesce("t", F.expr("cast(array() as array<double>)"))))))
     n = F.size("t") - 1
@@ -31,7 +32,7 @@ def split_at(lines: DataFrame, places: DataFrame, least: float = 0.001) -> DataF
     rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     at = lambda base, step, t: F.round(F.col(base) + F.col(t) * step, 3)
     out = cut.select("id", at("ax", rx, "p.a").alias("ax"), at("ay", ry, "p.a").alias("ay"), at("ax", rx, "p.b").alias("bx"), at("ay", ry, "p.b").alias("by"))
-    return out.filter(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > least).dropDuplicates(["ax", "ay", "bx", "by"])
+    return out.filter(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) > least).groupBy("ax", "ay", "bx", "by").agg(F.min("id").alias("id")).select("id", "ax", "ay", "bx", "by")
 
 
 def chains(edges: DataFrame) -> DataFrame:

@@ -104,6 +104,37 @@ def sta12_choose_family(i: Inputs) -> DataFrame:
     return M.choose_family(c)
 
 
+_FIT = """m as (select count(*) as n, avg(size) as mx, avg(y) as my, var_pop(size)*count(*) as sxx, covar_pop(size, y)*count(*) as sxy, var_pop(y)*count(*) as syy from v),
+f as (select *, sxy/sxx as b, my - sxy/sxx*mx as a, syy - sxy*sxy/sxx as rss from m),
+g as (select *, sqrt(rss/(n-2)/sxx) as se_b, sqrt(rss/(n-2)*(1.0e0/n + mx*mx/sxx)) as se_a, -n/2.0e0*(ln(2*pi()) + ln(rss/n) + 1) as loglik from f),
+h as (select 'size' as term, b as estimate, se_b as se, n, loglik from g union all select 'intercept', a, se_a, n, loglik from g),
+k as (select *, estimate/se/sqrt(power(estimate/se, 2) + n - 2) as r from h)"""
+
+
+@query(f"with {_VALUES}, {_FIT} select term, n, {R.format('estimate')} as estimate, {R.format('se')} as std_error, {R.format(CORR_P)} as p_value, round(loglik + 1e-9, 4) as loglik, round(6 - 2*loglik + 1e-9, 4) as aic from k")
+def sta5_fit_statistics(i: Inputs) -> DataFrame:
+    fit = M.fit_groups(values(i), "y", ["size"])
+    return fit.select("term", "n", *[X.steady(F.col(c)).alias(c) for c in ("estimate", "std_error", "p_value")], *[X.steady(F.col(c), 4).alias(c) for c in ("loglik", "aic")])
+
+
+_ROBUST = """m as (select count(*) as n, avg(size) as m1, avg(muni) as m2, avg(y) as my, var_pop(size)*count(*) as s11, var_pop(muni)*count(*) as s22, covar_pop(size,muni)*count(*) as s12, covar_pop(size,y)*count(*) as s1, covar_pop(muni,y)*count(*) as s2, corr(size,muni) as c from v),
+b as (select *, s11*s22 - s12*s12 as d, (s1*s22 - s2*s12)/(s11*s22 - s12*s12) as b1, (s2*s11 - s1*s12)/(s11*s22 - s12*s12) as b2 from m),
+e as (select b.*, (s22*(size-m1) - s12*(muni-m2))/d as a1, (s11*(muni-m2) - s12*(size-m1))/d as a2, y - my - b1*(size-m1) - b2*(muni-m2) as res, size - m1 as x1, muni - m2 as x2 from v, b),
+q as (select *, res/(1 - 1.0e0/n - a1*x1 - a2*x2) as u, 1.0e0/n - m1*a1 - m2*a2 as a0 from e)"""
+
+
+@query(
+    f"with {_VALUES}, {_ROBUST} select 'hc3' as model, 'intercept' as term, {R.format('sqrt(sum(power(a0*u, 2)))')} as value from q union all select 'hc3', 'size', {R.format('sqrt(sum(power(a1*u, 2)))')} from q union all select 'hc3', 'muni', {R.format('sqrt(sum(power(a2*u, 2)))')} from q"
+    f" union all select 'vif', 'size', {R.format('1/(1-c*c)')} from m union all select 'vif', 'muni', {R.format('1/(1-c*c)')} from m"
+)
+def sta6_sta7_robust_errors(i: Inputs) -> DataFrame:
+    """HC3 standard errors and variance inflation of two predictors."""
+    v = values(i)
+    _, cov = M.hc3(v, "y", ["size", "muni"])
+    rows = [("hc3", t, cov[k, k] ** 0.5) for k, t in enumerate(["intercept", "size", "muni"])] + [("vif", t, x) for t, x in M.vif(v, ["size", "muni"]).items()]
+    return _terms(i, rows).withColumn("value", X.steady(F.col("value")))
+
+
 def _terms(i: Inputs, rows: list[tuple]) -> DataFrame:
     return i.sites.sparkSession.createDataFrame([(a, b, float(c)) for a, b, c in rows], "model string, term string, value double")
 
@@ -163,7 +194,14 @@ def connecting_k(points: DataFrame, least: int = 6, most: int = 12) -> int:
     return most
 
 
-@query()
+_GRF8 = """with recursive k as (select a.park_num as i, b.park_num as j, row_number() over (partition by a.park_num order by sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)), b.park_num) as r from v_sites a join v_sites b on a.park_num <> b.park_num),
+e as (select i, j, r from k where r <= 40 union all select j, i, r from k where r <= 40),
+c as (select g.k, (select min(park_num) from v_sites) as node from (select unnest(range(6, 41)) as k) g union select c.k, e.j from c join e on e.i = c.node and e.r <= c.k),
+n as (select count(*) as sites from v_sites), f as (select k, count(*) as found from c group by k)
+select sites, cast(min(f.k) as int) as k from n, f where found = sites or f.k >= sites - 1 group by sites"""
+
+
+@query(_GRF8)
 def grf8_smallest_connecting_k(i: Inputs) -> DataFrame:
     """The least number of neighbours, from six on, that connects all sites."""
     found = connecting_k(i.sites.select(F.col("park_num").alias("id"), "x", "y"))

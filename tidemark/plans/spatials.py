@@ -217,24 +217,47 @@ def jn21_stops_near_edges(i: Inputs) -> DataFrame:
     return near.groupBy(F.floor(F.col("u") / 40).alias("row_no")).agg(F.count_distinct("stop_id").alias("stops"))
 
 
-@query()
+_NEAREST = f"select *, greatest(0, least(1, ((x-ux)*(vx-ux)+(y-uy)*(vy-uy))/((vx-ux)*(vx-ux)+(vy-uy)*(vy-uy)))) as t from (select *, {_D} as d, row_number() over (partition by stop_id order by {_D}, u, v) as r from v_stops s, v_network n) q where r = 1"
+
+
+@query(f"with o as ({_NEAREST}) select -stop_id-1 as u, u as v, round(t*len+1e-9,6) as len, round(d+1e-9,6) as distance, d > 50 as far from o union all select -stop_id-1, v, round((1-t)*len+1e-9,6), round(d+1e-9,6), d > 50 from o")
 def grf2_insert_origins(i: Inputs) -> DataFrame:
     """Stops as routing origins: two new edges each, to both ends of the nearest street."""
     best = S.nearest_segment(i.stops, streets(i), "stop_id", ["u", "v"], 100.0)
-    node, t = -F.col("stop_id") - 1, F.col("t")
-    one = best.select(node.alias("u"), F.col("u").alias("v"), (t * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))
-    two = best.select(node.alias("u"), F.col("v"), ((1 - t) * F.col("len")).alias("len"), "distance", (F.col("distance") > 50).alias("far"))
+    node, t, d = -F.col("stop_id") - 1, F.col("t"), F.col("distance")
+    rest = [X.steady(d).alias("distance"), (d > 50).alias("far")]
+    one = best.select(node.alias("u"), F.col("u").alias("v"), X.steady(t * F.col("len")).alias("len"), *rest)
+    two = best.select(node.alias("u"), F.col("v"), X.steady((1 - t) * F.col("len")).alias("len"), *rest)
     return one.unionByName(two)
 
 
-@query()
+_POINTS = "p as (select park_num, list_sort(list({'x': x, 'y': y})) as p from v_lookup join v_cells using (geography) group by park_num)"
+
+
+def _thin(points: str, apart: float, start: str = "[]", most: int | None = None) -> str:
+    """Greedy thinning as a fold in DuckDB: the first item is what is kept, each further one a list of one point."""
+    far = f"len(list_filter(acc, lambda q: sqrt(power(q.x - e[1].x, 2) + power(q.y - e[1].y, 2)) < {apart})) = 0"
+    full = f"{far} and len(acc) < {most}" if most else far
+    return f"list_reduce(list_transform({points}, lambda e: [e]), lambda acc, e: case when {full} then list_concat(acc, e) else acc end, {start})"
+
+
+@query(f"with {_POINTS}, t as (select park_num, unnest({_thin('p', 150.0)}) as q from p) select park_num, q.x as x, q.y as y from t")
 def sel1_thinned_cells(i: Inputs) -> DataFrame:
     """Cells of each site at least 150 apart, in order of x, y."""
     p = i.lookup.join(i.cells, "geography").groupBy("park_num").agg(F.collect_list(F.struct("x", "y")).alias("p"))
     return p.select("park_num", F.explode(SE.thin(F.col("p"), 150.0)).alias("p")).select("park_num", "p.x", "p.y")
 
 
-@query()
+_GAP = "list_transform(range(1, len(thin) + 1), lambda k: {'gap': list_min(list_transform(acc, lambda q: sqrt(power(q.x - thin[k].x, 2) + power(q.y - thin[k].y, 2)))), 'first': -k, 'p': thin[k]})"
+_FAR = f"case when len(thin) <= 5 then thin else list_reduce(list_transform(range(2, 6), lambda e: thin[1:1]), lambda acc, e: list_concat(acc, [list_reverse_sort({_GAP})[1].p]), thin[1:1]) end"
+
+
+@query(
+    f"with {_POINTS}, t as (select *, {_thin('p', 250.0)} as thin from p), f as (select *, {_FAR} as far from t), g as (select *, {_thin('p', 50.0, 'far', 3)} as points from f)"
+    " select s.park_num, cast(coalesce(len(p), 0) as int) as candidates, cast(coalesce(len(points), 0) as int) as selected, coalesce(len(thin) > 5, false) as capped, coalesce(len(points), 0) < 3 as below_minimum,"
+    " case when p is null then 'no candidates' when len(points) < 3 then 'below minimum' else 'ok' end as note, coalesce(list_sum(list_transform(points, lambda q: q.x)), 0) as sum_x, coalesce(list_sum(list_transform(points, lambda q: q.y)), 0) as sum_y"
+    " from v_sites s left join g on g.park_num = s.park_num"
+)
 def sel2_sel3_sel5_farthest(i: Inputs) -> DataFrame:
     """At most five spread points a site, filled up to three from all its cells, with a log of what was done."""
     p = i.lookup.join(i.cells, "geography").groupBy("park_num").agg(F.collect_list(F.struct("x", "y")).alias("p"))
@@ -242,7 +265,8 @@ def sel2_sel3_sel5_farthest(i: Inputs) -> DataFrame:
     filled = thinned.withColumn("points", SE.supplement(F.col("far"), F.col("p"), 50.0, 3))
     log = i.sites.select("park_num").join(filled, "park_num", "left")
     n = F.coalesce(F.size("points"), F.lit(0))
-    return log.select("park_num", F.coalesce(F.size("p"), F.lit(0)).alias("candidates"), n.alias("selected"), F.coalesce(F.size("thin") > 5, F.lit(False)).alias("capped"), (n < 3).alias("below_minimum"), F.when(F.col("p").isNull(), "no candidates").when(n < 3, "below minimum").otherwise("ok").alias("note"))
+    total = lambda c: F.coalesce(F.aggregate("points", F.lit(0.0), lambda a, q: a + q[c]), F.lit(0.0)).alias(f"sum_{c}")
+    return log.select("park_num", F.coalesce(F.size("p"), F.lit(0)).alias("candidates"), n.alias("selected"), F.coalesce(F.size("thin") > 5, F.lit(False)).alias("capped"), (n < 3).alias("below_minimum"), F.when(F.col("p").isNull(), "no candidates").when(n < 3, "below minimum").otherwise("ok").alias("note"), total("x"), total("y"))
 
 
 @query()
