@@ -12,13 +12,14 @@
    makes the cores longer and so tells more contexts apart. Halving ends at single windows, where core and slice
    are the window itself and grouping settles it; so no group is ever gathered whole.
 
-Everything depends on the text alone, so texts are known by two 64-bit hashes. A text that occurs in several rows, if
+Everything depends on the text alone, so texts are known by two 64-bit hashes; slices are equal by SHA-256. A text that occurs in several rows, if
 it is long enough, goes whole in each. Nulls in any column are fine; a null text is empty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ GRAM = 200
 BUCKET = 100
 #: Bytes of buckets that one transform takes.
 BLOCK = 1 << 19
-SLICE = "t1 long, t2 long, lo int, hi int, at int, near int, far int, core long, whole long"
+SLICE = "t1 long, t2 long, lo int, hi int, at int, near int, far int, core long, whole binary"
 NAMES = ["t1", "t2", "lo", "hi", "at", "near", "far", "core", "whole"]
 
 
@@ -66,8 +67,10 @@ def _anchors(gram: int, least: int):
 
 
 def _hashes(data: np.ndarray, core: tuple[np.ndarray, np.ndarray], whole: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
-    values = data.astype(np.uint64) + np.uint64(1)
-    return [pa.array(span_hash(prefix_sums(values, base), *ends, base).view(np.int64)) for base, ends in zip(BASES, (core, whole))]
+    """A hash of each core, which only chooses buckets, and the digest of each slice, by which slices are equal."""
+    sums, raw = prefix_sums(data.astype(np.uint64) + np.uint64(1), BASES[0]), data.tobytes()
+    digests = [sha256(raw[s:e]).digest() for s, e in zip(whole[0].tolist(), whole[1].tolist())]
+    return [pa.array(span_hash(sums, *core, BASES[0]).view(np.int64)), pa.array(digests, pa.binary())]
 
 
 def _ints(*columns: np.ndarray) -> list[pa.Array]:
