@@ -241,3 +241,69 @@ def test_filtered_model_takes_all_vectors(spark):
     rows = spark.createDataFrame([(k, float(a), float(a + rng.normal())) for k, _, _ in sites for a in rng.normal(size=2)], "site int, a double, b double")
     vectors = len(M.moran_basis(points)[1])
     assert 50 < vectors <= 200 and M.filtered_mixed_model(rows, points, "b", ["a"], "site")["vectors"] == vectors
+
+
+def test_site_intercepts_and_residuals(panel):
+    """A balanced layout shrinks site means by one factor; residuals take intercepts and fixed effects off."""
+    m = M.mixed_model(panel, "y", [], "site")
+    p = panel.toPandas()
+    shrink = 10 * m["site_variance"] / (10 * m["site_variance"] + m["sigma2"])
+    expected = shrink * (p.groupby("site").y.mean() - p.y.mean())
+    assert {r.site: r.blup for r in m["blup"].collect()} == pytest.approx(expected.to_dict())
+    got = m["residuals"].orderBy("id").toPandas().residual.to_numpy()
+    p = p.sort_values("id")
+    dense = (p.y - p.y.mean() - p.site.map(expected)).to_numpy()
+    assert got == pytest.approx(dense)
+    assert m["residual_skewness"] == pytest.approx(((dense - dense.mean()) ** 3).mean() / dense.std(ddof=1) ** 3)
+
+
+def test_mixed_model_uneven_sites_against_matrices(spark, panel):
+    p = panel.filter("id % 10 < site % 4 + 3").toPandas().sort_values("id")
+    m = M.mixed_model(panel.filter("id % 10 < site % 4 + 3"), "y", ["x"], "site")
+    x, y = np.column_stack([np.ones(len(p)), p.x]), p.y.to_numpy()
+    z = (p.site.to_numpy()[:, None] == np.arange(12)).astype(float)
+    assert (*m["beta"], m["loglik"]) == pytest.approx(_dense_reml(x, y, z @ z.T * m["site_variance"] / m["sigma2"]))
+
+
+def _dense_reml(x, y, spread):
+    """Coefficients and restricted log-likelihood for the covariance I + spread, sigma profiled."""
+    v = np.eye(len(y)) + spread
+    vx, n, k = np.linalg.solve(v, x), *x.shape
+    g = x.T @ vx
+    beta = np.linalg.solve(g, vx.T @ y)
+    s2 = (y - x @ beta) @ np.linalg.solve(v, y - x @ beta) / (n - k)
+    return (*beta, -0.5 * ((n - k) * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(g)[1]))
+
+
+def test_filtered_model_against_matrices(spark, panel):
+    """Uneven sites; coefficients, likelihood, site effects and residuals from the full covariance."""
+    rows = panel.filter("id % 10 < site % 4 + 3")
+    points = spark.createDataFrame([(s, float(s % 4) + s * 0.01, float(s // 4)) for s in range(12)], "id int, x double, y double")
+    m = M.filtered_mixed_model(rows, points, "y", ["x"], "site", 4)
+    basis, values = M.moran_basis(points, 4)
+    e = np.array([r.e for r in basis.orderBy("id").collect()])
+    spread = math.exp(m["theta"][0]) * (values / values.sum()) ** math.exp(m["theta"][1]) * len(values)
+    by_site = e * spread @ e.T + np.eye(12) * math.exp(m["theta"][2])
+    p = rows.toPandas().sort_values("id")
+    site, x, y = p.site.to_numpy(), np.column_stack([np.ones(len(p)), p.x]), p.y.to_numpy()
+    cover = by_site[np.ix_(site, site)]
+    assert (*m["beta"], m["loglik"]) == pytest.approx(_dense_reml(x, y, cover))
+    effect = by_site[:, site] @ np.linalg.solve(np.eye(len(y)) + cover, y - x @ m["beta"])
+    assert {r.site: r.effect for r in m["site_effect"].collect()} == pytest.approx(dict(enumerate(effect.tolist())))
+    assert m["residuals"].orderBy("id").toPandas().residual.to_numpy() == pytest.approx(y - x @ m["beta"] - effect[site])
+
+
+def test_moran_basis_exact_and_extended(spark):
+    """With all sites as knots the vectors are those of the kernel; with half of them they span nearly the same space."""
+    rng = np.random.default_rng(9)
+    xy = rng.uniform(size=(160, 2)) * 1000
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(xy)], "id long, x double, y double").repartition(3)
+    basis, values = M.moran_basis(points, 10)
+    e = np.array([r.e for r in basis.orderBy("id").collect()])
+    k = np.exp(-np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1)) / M.longest_tree_edge(xy))
+    np.fill_diagonal(k, 0)
+    centre = np.eye(160) - 1 / 160
+    assert centre @ k @ centre @ e == pytest.approx(e * values, abs=1e-8) and e.T @ e == pytest.approx(np.eye(10), abs=1e-8)
+    part = np.array([r.e for r in M.moran_basis(points, 10, 80)[0].orderBy("id").collect()])
+    leading = np.linalg.svd(np.linalg.qr(part)[0].T @ e[:, :4])[1]
+    assert part.shape == (160, 10) and leading.min() > 0.9

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -332,26 +333,46 @@ def choose_family(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("outcome").agg(F.min(F.struct(rank.alias("rank"), "aic", "family")).alias("b")).select("outcome", "b.family", "b.aic")
 
 
-def mixed_model(df: DataFrame, y: str, x: list[str], site: str, extra: tuple[np.ndarray, np.ndarray] | None = None) -> dict:
-    """Random intercept by site, REML. Per-site sums come from one grouped pass; the profile over the variance ratio needs
-    only those. V^-1 has a closed form per site: X'V^-1X = sum of X_j'X_j - theta / (1 + n_j theta) s_j s_j'."""
+#: Sites of which the kernel's eigenvectors are taken; those of more sites are extended from that many.
+KNOTS = 2000
+
+
+def _site_sums(full: DataFrame, site: str, columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """One row per site, as a table: its number of rows (size) and the sums of the columns."""
+    from tidemark.operators.graph import written
+
+    names = [f"s{k}" for k in range(len(columns))]
+    return written(full.groupBy(site).agg(F.count("*").alias("size"), *[F.sum(c).alias(s) for c, s in zip(columns, names)]), "sites"), names
+
+
+def _skewness(residuals: DataFrame) -> float:
+    """Third central moment over the cube of the sample sd."""
+    r = residuals.agg(F.count("residual").alias("n"), F.skewness("residual").alias("g")).first()
+    return float("nan") if r.n < 2 or r.g is None else r.g * ((r.n - 1) / r.n) ** 1.5
+
+
+def mixed_model(df: DataFrame, y: str, x: list[str], site: str) -> dict:
+    """Random intercept by site, REML. V^-1 has a closed form per site: X'V^-1X = sum of X_j'X_j - theta / (1 + n_j theta)
+    s_j s_j'. The factor depends on n_j alone, so the profile over the variance ratio needs the sums of s_j s_j' of all
+    sites of one size: one row per number of rows that a site has reaches the driver. ``blup`` (site, blup) and
+    ``residuals`` (the rows of df with residual) stay tables."""
     design = ["intercept", *x]
     full = df.withColumn("intercept", F.lit(1.0)).dropna(subset=[*x, y])
     p = len(design)
-    sums = full.groupBy(site).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate([*design, y])]).collect()  # one row per site
+    sites, names = _site_sums(full, site, [*design, y])
+    alike = moments(sites, names, "size").collect()  # one row per size
     r = moments(full, [*design, y]).first()
     m, n = matrix(r.moments, p + 1), r.n
-    s = np.array([[row[f"s{k}"] for k in range(p + 1)] for row in sums], float)
-    nj = np.array([row.n for row in sums], float)
+    cross = np.array([matrix(row.moments, p + 1) for row in alike])
+    size, count = np.array([row["size"] for row in alike], float), np.array([row.n for row in alike], float)
 
     def at(theta: float) -> tuple[float, np.ndarray, float, np.ndarray]:
-        c = theta / (1 + nj * theta)
-        g = m - (s * c[:, None]).T @ s
+        g = m - np.tensordot(theta / (1 + size * theta), cross, 1)
         inv = np.linalg.inv(g[:p, :p])
         beta = inv @ g[:p, p]
         rss = max(g[p, p] - beta @ g[:p, p], 1e-300)
         s2 = rss / (n - p)
-        loglik = -0.5 * ((n - p) * (math.log(2 * math.pi * s2) + 1) + np.log1p(nj * theta).sum() + np.linalg.slogdet(g[:p, :p])[1])
+        loglik = -0.5 * ((n - p) * (math.log(2 * math.pi * s2) + 1) + count @ np.log1p(size * theta) + np.linalg.slogdet(g[:p, :p])[1])
         return loglik, beta, s2, inv
 
     theta = math.exp(golden(lambda v: at(math.exp(v))[0], -12, 8))
@@ -359,18 +380,20 @@ def mixed_model(df: DataFrame, y: str, x: list[str], site: str, extra: tuple[np.
         theta = 0.0
     loglik, beta, s2, inv = at(theta)
     se = np.sqrt(np.diag(inv) * s2)
-    blup = theta / (1 + nj * theta) * (s[:, p] - s[:, :p] @ beta)
+    rest = F.col(names[p])
+    for b, c in zip(beta, names):
+        rest = rest - float(b) * F.col(c)
+    blup = sites.select(site, (theta / (1 + F.col("size") * theta) * rest).alias("blup"))
+    residuals = full.join(blup, site).withColumn("residual", F.col(y) - linear(beta, x) - F.col("blup")).select(*df.columns, "residual")
     k = p + 2
     return {
         "term": design, "beta": beta, "se": se, "p": np.array([normal_tail(b / e) if e > 0 else float("nan") for b, e in zip(beta, se)]), "sigma2": s2, "site_variance": theta * s2, "icc": theta / (1 + theta), "loglik": loglik,
-        "aic": 2 * k - 2 * loglik, "bic": k * math.log(n) - 2 * loglik, "n": n, "blup": dict(zip([row[site] for row in sums], blup.tolist())),
+        "aic": 2 * k - 2 * loglik, "bic": k * math.log(n) - 2 * loglik, "n": n, "blup": blup, "residuals": residuals, "residual_skewness": _skewness(residuals),
     }
 
 
-def longest_tree_edge(points: DataFrame) -> float:
-    """Longest edge of the sites' minimum spanning tree (Prim on the driver: the site table has a few hundred rows)."""
-    rows = points.select("x", "y").collect()
-    xy = np.array([(r.x, r.y) for r in rows])
+def longest_tree_edge(xy: np.ndarray) -> float:
+    """Longest edge of the minimum spanning tree of the knots (Prim: a few numbers per knot)."""
     near, longest = np.full(len(xy), np.inf), 0.0
     todo, at = np.ones(len(xy), bool), 0
     for _ in range(len(xy) - 1):
@@ -381,52 +404,95 @@ def longest_tree_edge(points: DataFrame) -> float:
     return longest
 
 
-def moran_basis(points: DataFrame, most: int = 200) -> tuple[list, np.ndarray, np.ndarray]:
-    """Eigenvectors of the double-centred kernel exp(-d / r) of the sites with positive values: ids, values, vectors.
+def moran_basis(points: DataFrame, most: int = 200, knots: int = KNOTS) -> tuple[DataFrame, np.ndarray]:
+    """Eigenvectors of the double-centred kernel exp(-d / r) of the sites with positive values: id, e (array); the values.
 
-    The site table is small (hundreds); its kernel is a matrix of the driver. Rows of the panel meet it by a join."""
-    rows = points.orderBy("id").collect()
-    xy = np.array([(p.x, p.y) for p in rows])
-    d = np.hypot(xy[:, None, 0] - xy[None, :, 0], xy[:, None, 1] - xy[None, :, 1])
-    k = np.exp(-d / max(longest_tree_edge(points), 1e-12))
-    np.fill_diagonal(k, 0)
-    c = k - k.mean(axis=0) - k.mean(axis=1)[:, None] + k.mean()
-    values, vectors = np.linalg.eigh(c)
-    order = np.argsort(-values)[: min(most, len(values))]
-    order = order[values[order] > 1e-8]
-    return [p.id for p in rows], values[order], vectors[:, order]
+    The driver solves the kernel of at most ``knots`` sites (a sample by the ids' hashes, if there are more); tasks extend
+    the vectors to all sites from their kernel towards the knots (Nystroem). For knots that formula gives back the vector
+    itself, so up to ``knots`` sites the result is exact; r is the longest tree edge of the knots."""
+    chosen = points.select("id", "x", "y").orderBy(F.xxhash64("id"), "id").limit(knots).collect()  # a bounded sample
+    ids, xy = np.array([c.id for c in chosen]), np.array([(c.x, c.y) for c in chosen], float).reshape(-1, 2)
+    reach = max(longest_tree_edge(xy), 1e-12)
 
+    def kernel(of: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        k = np.exp(-np.hypot(x[:, None] - xy[None, :, 0], y[:, None] - xy[None, :, 1]) / reach)
+        return np.where(of[:, None] == ids[None, :], 0.0, k)
 
-def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str], site: str, most: int = 200) -> dict:
+    k = kernel(ids, xy[:, 0], xy[:, 1])
+    by_knot, mean = k.mean(axis=0), k.mean()
+    values, vectors = np.linalg.eigh(k - by_knot - k.mean(axis=1)[:, None] + mean)
+    order = np.argsort(-values)[: min(most, len(values))]
+    order = order[values[order] > 1e-8]
+    values = values[order]
+    onto = vectors[:, order] / values * math.sqrt(len(ids) / max(points.count(), 1))
+
+    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 1000):
+                part = batch.iloc[a : a + 1000]
+                k = kernel(part.id.to_numpy(), part.x.to_numpy(float), part.y.to_numpy(float))
+                yield pd.DataFrame({"id": part.id, "e": list((k - by_knot - k.mean(axis=1)[:, None] + mean) @ onto)})
+
+    return points.select("id", "x", "y").mapInPandas(extend, f"id {dict(points.dtypes)['id']}, e array<double>"), values
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """size, u (array) -> size, count, sums: the sum of u u' of the sites of one size, upper triangle, of one partition."""
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for size, part in batch.groupby("size"):
+            u = np.stack(part.u.to_numpy())
+            n, old = found.get(size, (0, 0.0))
+            found[size] = n + len(u), old + u.T @ u
+    if found:
+        yield pd.DataFrame({"size": list(found), "count": [n for n, _ in found.values()], "sums": [m[np.triu_indices(len(m))] for _, m in found.values()]})
+
+
+def _added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Partial sums of ``_products`` added up, one row after the other."""
+    found: dict[int, tuple[int, np.ndarray]] = {}
+    for batch in batches:
+        for size, count, sums in zip(batch["size"], batch["count"], batch["sums"]):
+            n, old = found.get(size, (0, 0.0))
+            found[size] = n + count, old + np.asarray(sums)
+    if found:
+        yield pd.DataFrame({"size": list(found), "count": [n for n, _ in found.values()], "sums": [m for _, m in found.values()]})
+
+
+def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str], site: str, most: int = 200, knots: int = KNOTS) -> dict:
     """Random effects eigenvector filtering: y = X b + E g + site intercept + e, var(g_k) ~ value_k ** alpha, by REML.
 
-    Since E is constant within a site, moments of (X, y) and per-site sums give every product; three variance
-    parameters are searched on the driver by coordinate steps."""
-    ids, values, vectors = moran_basis(points, most)
+    E is constant within a site and the site intercept has the closed form of ``mixed_model``, so what the search over
+    three variance parameters needs of all sites of one size is the sum of u u', u = (E_j, sums of X and y): tasks sum it,
+    and one row per size of a site reaches the driver, where coordinate steps solve systems of as many columns as there
+    are eigenvectors. ``site_effect`` (site, effect) and ``residuals`` (the rows of df with residual) stay tables."""
+    from tidemark.operators.graph import written
+
+    basis, values = moran_basis(points, most, knots)
     design = ["intercept", *x]
-    full = df.withColumn("intercept", F.lit(1.0)).dropna(subset=[*x, y])
+    full = df.withColumn("intercept", F.lit(1.0)).dropna(subset=[*x, y]).join(points.select(F.col("id").alias(site)), site, "left_semi")
     p, q = len(design), len(values)
-    sums = {row[site]: row for row in full.groupBy(site).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{k}") for k, c in enumerate([*design, y])]).collect()}
-    keep = [k for k, i in enumerate(ids) if i in sums]
-    e = vectors[keep]
-    s = np.array([[sums[ids[k]][f"s{c}"] for c in range(p + 1)] for k in keep], float)
-    nj = np.array([sums[ids[k]].n for k in keep], float)
+    sums, names = _site_sums(full, site, [*design, y])
+    sites = written(sums.join(basis.withColumnRenamed("id", site), site).withColumn("u", F.concat("e", F.array(*names))), "filtered")
+    kinds = "size long, count long, sums array<double>"
+    alike = sites.select("size", "u").mapInPandas(_products, kinds).repartition("size").mapInPandas(_added, kinds).collect()  # one row per size
+    cross = np.array([matrix(row.sums, q + p + 1) for row in alike])
+    size, count = np.array([row["size"] for row in alike], float), np.array([row["count"] for row in alike], float)
     r = moments(full, [*design, y]).first()
     m, n = matrix(r.moments, p + 1), r.n
-    z = np.hstack([e, np.eye(len(keep))])  # eigenvectors, then site intercepts, by site
-    zz, zx, zy = (z * nj[:, None]).T @ z, z.T @ s[:, :p], z.T @ s[:, p]
 
     def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray]:
-        spread = np.concatenate([np.exp(theta[0]) * (values / values.sum()) ** math.exp(theta[1]) * q, np.full(len(keep), np.exp(theta[2]))])
-        h = zz + np.diag(1 / np.maximum(spread, 1e-12))
-        hi_x, hi_y = np.linalg.solve(h, zx), np.linalg.solve(h, zy)
-        g = m[:p, :p] - zx.T @ hi_x
-        inv = np.linalg.inv(g)
-        beta = inv @ (m[:p, p] - zx.T @ hi_y)
-        yy = m[p, p] - zy @ hi_y - beta @ (m[:p, p] - zx.T @ hi_y)
-        s2 = max(yy, 1e-300) / (n - p)
-        loglik = -0.5 * ((n - p) * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(h)[1] + np.log(np.maximum(spread, 1e-12)).sum() + np.linalg.slogdet(g)[1])
-        return loglik, beta, hi_y - hi_x @ beta, s2, inv
+        spread, own = np.maximum(np.exp(theta[0]) * (values / values.sum()) ** math.exp(theta[1]) * q, 1e-12), max(math.exp(theta[2]), 1e-12)
+        less = 1 / (1 + size * own)
+        h = np.tensordot(size * less, cross[:, :q, :q], 1) + np.diag(1 / spread)
+        zs = np.tensordot(less, cross[:, :q, q:], 1)
+        hi = np.linalg.solve(h, zs)
+        g = m - np.tensordot(own * less, cross[:, q:, q:], 1) - zs.T @ hi
+        inv = np.linalg.inv(g[:p, :p])
+        beta = inv @ g[:p, p]
+        s2 = max(g[p, p] - beta @ g[:p, p], 1e-300) / (n - p)
+        loglik = -0.5 * ((n - p) * (math.log(2 * math.pi * s2) + 1) + np.linalg.slogdet(h)[1] + np.log(spread).sum() - count @ np.log(less) + np.linalg.slogdet(g[:p, :p])[1])
+        return loglik, beta, hi[:, p] - hi[:, :p] @ beta, s2, inv
 
     theta = np.array([-1.0, 0.0, -1.0])
     for _ in range(6):
@@ -439,6 +505,12 @@ def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str],
 
             theta[k] = golden(along, low, high, 30)
     loglik, beta, g, s2, inv = at(theta)
-    effect = dict(zip([ids[k] for k in keep], (z @ g).tolist()))
+    own = max(math.exp(theta[2]), 1e-12)
+    smooth = F.aggregate(F.zip_with("e", F.lit(g.tolist()).cast("array<double>"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    rest = F.col(names[p])
+    for b, c in zip(beta, names):
+        rest = rest - float(b) * F.col(c)
+    effect = sites.withColumn("smooth", smooth).select(site, (F.col("smooth") + own / (1 + F.col("size") * own) * (rest - F.col("size") * F.col("smooth"))).alias("effect"))
+    residuals = full.join(effect, site).withColumn("residual", F.col(y) - linear(beta, x) - F.col("effect")).select(*df.columns, "residual")
     se = np.sqrt(np.diag(inv) * s2)
-    return {"term": design, "beta": beta, "se": se, "p": np.array([normal_tail(b / e_) for b, e_ in zip(beta, se)]), "sigma2": s2, "loglik": loglik, "vectors": q, "site_effect": effect, "n": n}
+    return {"term": design, "beta": beta, "se": se, "p": np.array([normal_tail(b / e_) for b, e_ in zip(beta, se)]), "sigma2": s2, "loglik": loglik, "vectors": q, "theta": theta, "site_effect": effect, "residuals": residuals, "n": n}

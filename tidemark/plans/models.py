@@ -157,22 +157,44 @@ def sta9_to_sta11_spatial_models(i: Inputs) -> DataFrame:
     return _terms(i, rows + [("error", k, err[k]) for k in ("lambda", "aic")])
 
 
+def _mixed(i: Inputs) -> dict:
+    """Site-hours with two predictors under random intercepts of sites."""
+    size = i.sites.select("park_num", (F.col("h") / 100).alias("size"))
+    rows = i.hours.withColumn("cells", F.col("unique_cells_used").cast("double")).join(size, "park_num")
+    return M.mixed_model(rows.select(*P.KEYS, "site_activity_index", "size", "cells"), "site_activity_index", ["size", "cells"], "park_num")
+
+
 @query()
 def sta13_sta14_mixed_model(i: Inputs) -> DataFrame:
-    rows = i.hours.join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num").select("park_num", "site_activity_index", "size", F.col("unique_cells_used").cast("double").alias("cells"))
-    m = M.mixed_model(rows, "site_activity_index", ["size", "cells"], "park_num")
+    m = _mixed(i)
     out = [("fixed", t, b) for t, b in zip(m["term"], m["beta"])] + [("se", t, b) for t, b in zip(m["term"], m["se"])]
-    return _terms(i, out + [("model", k, m[k]) for k in ("site_variance", "sigma2", "icc", "loglik", "aic", "bic")])
+    return _terms(i, out + [("model", k, m[k]) for k in ("site_variance", "sigma2", "icc", "loglik", "aic", "bic", "residual_skewness")])
+
+
+@query()
+def sta14_site_intercepts(i: Inputs) -> DataFrame:
+    """The predicted intercept of each site."""
+    return _mixed(i)["blup"].select("park_num", X.steady(F.col("blup")).alias("intercept"))
+
+
+def _filtered(i: Inputs) -> dict:
+    points = G.written(i.sites.join(i.hours.select("park_num").distinct(), "park_num").select(F.col("park_num").alias("id"), "x", "y"), "points")
+    rows = i.hours.join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num")
+    return M.filtered_mixed_model(rows.select(*P.KEYS, "site_activity_index", "size"), points, "site_activity_index", ["size"], "park_num")
 
 
 @query()
 def sta15_sta16_filtered_model(i: Inputs) -> DataFrame:
-    points = i.sites.join(i.hours.select("park_num").distinct(), "park_num").select(F.col("park_num").alias("id"), "x", "y")
-    rows = i.hours.join(points.select(F.col("id").alias("park_num")), "park_num").join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num")
-    m = M.filtered_mixed_model(rows, points, "site_activity_index", ["size"], "park_num")
+    m = _filtered(i)
     return _terms(i, [("fixed", t, b) for t, b in zip(m["term"], m["beta"])] + [("model", k, m[k]) for k in ("sigma2", "loglik", "vectors")])
 
 
+@query()
+def sta16_residuals(i: Inputs) -> DataFrame:
+    """The residual of every site-hour under the filtered model."""
+    return _filtered(i)["residuals"].select(*P.KEYS, X.steady(F.col("residual"), 4).alias("residual"))
+
+
 def connecting_k(points: DataFrame, least: int = 6, most: int = 12) -> int:
     """The least number of neighbours, from ``least`` on, that connects all points (id, x, y). As more neighbours keep
     what fewer connect, the number fetched doubles until it connects, then halving finds the least."""
