@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -476,18 +477,25 @@ def filtered_mixed_model(df: DataFrame, points: DataFrame, y: str, x: list[str],
     sites = written(sums.join(basis.withColumnRenamed("id", site), site).withColumn("u", F.concat("e", F.array(*names))), "filtered")
     kinds = "size long, count long, sums array<double>"
     alike = sites.select("size", "u").mapInPandas(_products, kinds).repartition("size").mapInPandas(_added, kinds).collect()  # one row per size
-    cross = np.array([matrix(row.sums, q + p + 1) for row in alike])
+    cross = np.array([matrix(row.sums, q + p + 1).ravel() for row in alike])
     size, count = np.array([row["size"] for row in alike], float), np.array([row["count"] for row in alike], float)
     r = moments(full, [*design, y]).first()
     m, n = matrix(r.moments, p + 1), r.n
 
-    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray]:
-        spread, own = np.maximum(np.exp(theta[0]) * (values / values.sum()) ** math.exp(theta[1]) * q, 1e-12), max(math.exp(theta[2]), 1e-12)
+    @lru_cache(maxsize=4)  # steps along the other two parameters leave these sums as they are
+    def weighted(log_own: float) -> tuple[np.ndarray, ...]:
+        own = max(math.exp(log_own), 1e-12)
         less = 1 / (1 + size * own)
-        h = np.tensordot(size * less, cross[:, :q, :q], 1) + np.diag(1 / spread)
-        zs = np.tensordot(less, cross[:, :q, q:], 1)
+        total = lambda w: (w @ cross).reshape(q + p + 1, q + p + 1)
+        by_size, once = total(size * less), total(less)
+        return by_size[:q, :q], once[:q, q:], own * once[q:, q:], less
+
+    def at(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float, np.ndarray]:
+        spread = np.maximum(np.exp(theta[0]) * (values / values.sum()) ** math.exp(theta[1]) * q, 1e-12)
+        ee, zs, ss, less = weighted(float(theta[2]))
+        h = ee + np.diag(1 / spread)
         hi = np.linalg.solve(h, zs)
-        g = m - np.tensordot(own * less, cross[:, q:, q:], 1) - zs.T @ hi
+        g = m - ss - zs.T @ hi
         inv = np.linalg.inv(g[:p, :p])
         beta = inv @ g[:p, p]
         s2 = max(g[p, p] - beta @ g[:p, p], 1e-300) / (n - p)

@@ -79,11 +79,11 @@ select scenario, measure, count(*) as n, {R.format('sum(x*y)/sum(x*x)')} as esti
 def sta8_scenario_sweep(i: Inputs) -> DataFrame:
     """Activity on each measure under each scenario, site types as controls; the twin takes the means of types off."""
     types = ["lakefront", "riverfront", "coastal waterfront without beach"]
-    cover = P.count_by(i.hours, "park_num").select("park_num", (F.col("n") * 100.0 / P.POSSIBLE).alias("cover"))
+    cover = P.count_by(i.stored_hours, "park_num").select("park_num", (F.col("n") * 100.0 / P.POSSIBLE).alias("cover"))
     dummies = {f"type_{k}": (F.col("site_type") == t).cast("double") for k, t in enumerate(types)}
     site = cover.join(i.sites.select("park_num", "site_type"), "park_num").withColumns(dummies)
     census = i.census.filter("hasdata = 1").select("park_num", "walktime_min", *MEASURES)
-    rows = i.hours.select("park_num", "site_activity_index", F.ln("site_activity_index").alias("log_activity")).join(site.join(census, "park_num"), "park_num")
+    rows = i.stored_hours.select("park_num", "site_activity_index", F.ln("site_activity_index").alias("log_activity")).join(site.join(census, "park_num"), "park_num")
     keep = {k: ((F.col("walktime_min") == w) & (F.col("cover") >= c), y, list(dummies) if t else []) for k, (w, c, t, y) in SWEEP.items()}
     return M.fit_scenarios(rows, keep, MEASURES).select("scenario", "measure", "n", X.steady(F.col("estimate")).alias("estimate"))
 
@@ -160,7 +160,7 @@ def sta9_to_sta11_spatial_models(i: Inputs) -> DataFrame:
 def _mixed(i: Inputs) -> dict:
     """Site-hours with two predictors under random intercepts of sites."""
     size = i.sites.select("park_num", (F.col("h") / 100).alias("size"))
-    rows = i.hours.withColumn("cells", F.col("unique_cells_used").cast("double")).join(size, "park_num")
+    rows = i.stored_hours.withColumn("cells", F.col("unique_cells_used").cast("double")).join(size, "park_num")
     return M.mixed_model(rows.select(*P.KEYS, "site_activity_index", "size", "cells"), "site_activity_index", ["size", "cells"], "park_num")
 
 
@@ -178,8 +178,8 @@ def sta14_site_intercepts(i: Inputs) -> DataFrame:
 
 
 def _filtered(i: Inputs) -> dict:
-    points = G.written(i.sites.join(i.hours.select("park_num").distinct(), "park_num").select(F.col("park_num").alias("id"), "x", "y"), "points")
-    rows = i.hours.join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num")
+    points = G.written(i.sites.join(i.stored_hours.select("park_num").distinct(), "park_num").select(F.col("park_num").alias("id"), "x", "y"), "points")
+    rows = i.stored_hours.join(i.sites.select("park_num", (F.col("h") / 100).alias("size")), "park_num")
     return M.filtered_mixed_model(rows.select(*P.KEYS, "site_activity_index", "size"), points, "site_activity_index", ["size"], "park_num")
 
 

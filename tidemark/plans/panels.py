@@ -130,9 +130,9 @@ def agg14_win10_spearman(i: Inputs) -> DataFrame:
 @query("with m as (select agg_time_period, avg(site_activity_index) as m, stddev_samp(site_activity_index) as s from v_hours group by agg_time_period) select agg_time_period, round(avg(power(site_activity_index-m,3))/power(any_value(s),3)+1e-9,4) as skewness from v_hours join m using (agg_time_period) group by agg_time_period")
 def agg15_skewness(i: Inputs) -> DataFrame:
     """Third central moment over the cube of the sample sd, from power sums of one pass about the overall mean."""
-    centre = i.hours.agg(F.avg("site_activity_index")).first()[0] or 0.0
+    centre = i.stored_hours.agg(F.avg("site_activity_index")).first()[0] or 0.0
     v = F.col("site_activity_index") - F.lit(centre)
-    s = i.hours.groupBy("agg_time_period").agg(F.avg(v).alias("m"), F.avg(v * v).alias("m2"), F.avg(v * v * v).alias("m3"), F.stddev_samp("site_activity_index").alias("sd"))
+    s = i.stored_hours.groupBy("agg_time_period").agg(F.avg(v).alias("m"), F.avg(v * v).alias("m2"), F.avg(v * v * v).alias("m3"), F.stddev_samp("site_activity_index").alias("sd"))
     third = F.col("m3") - 3 * F.col("m") * F.col("m2") + 2 * F.pow("m", F.lit(3))
     return s.select("agg_time_period", X.steady(third / F.pow("sd", F.lit(3)), 4).alias("skewness"))
 
@@ -196,9 +196,9 @@ def agg26_most_divergent(i: Inputs) -> DataFrame:
 @query("with m as (select regr_slope(site_activity_index, cast(unique_cells_used as double)) as b, regr_intercept(site_activity_index, cast(unique_cells_used as double)) as a from v_hours) select park_num, round(avg(site_activity_index - a - b*unique_cells_used)+1e-9,6) as mean_residual, count(*) as n from v_hours, m group by park_num")
 def agg27_mean_residual(i: Inputs) -> DataFrame:
     x = F.col("unique_cells_used").cast("double")
-    fit = i.hours.agg(F.regr_slope("site_activity_index", x).alias("b"), F.regr_intercept("site_activity_index", x).alias("a"))
+    fit = i.stored_hours.agg(F.regr_slope("site_activity_index", x).alias("b"), F.regr_intercept("site_activity_index", x).alias("a"))
     res = F.col("site_activity_index") - F.col("a") - F.col("b") * x
-    return i.hours.join(F.broadcast(fit)).groupBy("park_num").agg(X.steady(F.avg(res)).alias("mean_residual"), F.count("*").alias("n"))
+    return i.stored_hours.join(F.broadcast(fit)).groupBy("park_num").agg(X.steady(F.avg(res)).alias("mean_residual"), F.count("*").alias("n"))
 
 
 @query(f"select count(*) filter (where h > 300) as wide, {R.format('avg(h)')} as mean_h, max(h) as max_h from v_sites")

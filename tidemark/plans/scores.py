@@ -108,7 +108,7 @@ def cmp8_reach_table(i: Inputs) -> DataFrame:
 def cmp9_model_dataset(i: Inputs) -> DataFrame:
     """The panel with coverage, scores, metadata, density and eligibility: one site table, then one join onto the rows."""
     area = 4 * F.col("h") * F.col("h")
-    hours = i.hours
+    hours = i.stored_hours
     cover = P.count_by(hours, "park_num").select("park_num", (F.col("n") * 100.0 / P.POSSIBLE).alias("coverage"))
     score = SC.access_scores(metrics(i)).filter("walktime_min = 10").select("park_num", X.steady(F.col("multidimensional_access_score")).alias("score"))
     census = i.census.filter("walktime_min = 10").select("park_num", "hasdata", "household_median_income")

@@ -92,3 +92,10 @@ class Inputs:
         from tidemark.operators.panel import site_hours
 
         return site_hours(self.activity, self.lookup)
+
+    @cached_property
+    def stored_hours(self) -> DataFrame:
+        """The panel as a table of the shared folder, for queries that read it more than once."""
+        from tidemark.operators.graph import written
+
+        return written(self.hours, "hours")
