@@ -58,3 +58,40 @@ a as (select sk, total, least(cap, weight * f.share) as target from t, f),
 x as (select y.*, a.total, a.target, row_number() over (partition by y.sk order by case when size = 0 then 1 else 0 end, band, stripe, size, doc_id) as at_, coalesce(a.target / nullif(a.total, 0), 0) as rate, ('0x' || substr(md5('mix-1' || y.sk), 1, 8))::bigint / 4294967296.0e0 as off_ from y join a on a.sk = y.sk)
 select doc_id, size, total as source_size, target, cast(case when size > 0 then (floor(rate * at_ + off_) - floor(rate * (at_ - 1) + off_)) * size else 0 end as bigint) as taken from x
 """
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SPELLING = rf"""
+with recursive t as (select list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as t),
+r as (select doc_id, unnest(regexp_extract_all({_LOW}, '[a-zÀ-ÿ]+')) as run from documents),
+c as (select doc_id, run, count(*) as k, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as x from r where length(run) >= 7 group by doc_id, run),
+h as (select run, k, xor(list_reduce(list_concat([4294967295], list_transform(range(0, length(x), 2), lambda i: cast('0x' || substr(x, i + 1, 2) as bigint))), lambda s, y: xor(s >> 8, t.t[1 + (xor(s, y) & 255)])), 4294967295) as h from c, t),
+w as (select case when h % 31 = 0 then substr(run, 1, cast(h % length(run) as bigint)) || substr(run, cast(h % length(run) as bigint) + 2) else run end as word, k from h),
+v as (select word, cast(sum(k) as bigint) as n from w where length(word) >= 7 group by word having sum(k) >= 2),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word, b.word as other, b.n as m from d a join d b on a.i = b.i and a.cut = b.cut and a.word <> b.word union select d.word, v.word, v.n from d join v on v.word = d.cut union select v.word, d.word, d.n from d join v on v.word = d.cut),
+b as (select word, count(*) as near, max(m) as m, arg_min(other, (-m, other)) as other from p group by word),
+f as (select v.word, v.n, coalesce(near, 0) as n_near, case when m >= 10 * v.n then other end as form, case when m >= 10 * v.n then m end as form_n from v left join b on b.word = v.word),
+g as (select word, word as root from f where form is null union all select f.word, g.root from f join g on f.form = g.word)
+select f.word, f.form, g.root, f.n, f.n_near, f.form_n from f join g on g.word = f.word
+"""
+
+RANKED = rf"""
+with d as (select doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+a as (select count(*) as n_all, sum(len(terms))::bigint as l_all from d where len(terms) > 0),
+f as (select doc_id, len(terms) as n, unnest(terms) as term from d),
+t as (select doc_id, term, any_value(n) as n, count(*) as tf from f group by doc_id, term),
+i as (select distinct item_id, unnest(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+w as (select term, cast(floor(1000 * ln(cast(2 * any_value(n_all) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from t, a group by term),
+s as (select i.item_id, t.doc_id, cast(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 20 * (50 + ((50 * t.n * n_all) // l_all))))) as bigint) as score from i join t on t.term = i.term join w on w.term = t.term, a group by i.item_id, t.doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 50
+"""
+
+_CONTROL = r"\\|<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]"
+
+CHATS = rf"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, role = 'assistant' as learnt, length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) as size from c)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, cast(sum(case when learnt then length(text) else 0 end) as bigint) as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (learnt), '')) as loss_sha256, cast(3 + sum(size + 13 + case when learnt then 4 else 13 end) as bigint) as formatted_chars from e group by conv_id
+"""
