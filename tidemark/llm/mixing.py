@@ -9,8 +9,11 @@ size class, a hashed stripe, size and id, the prefix sum of expected copies is t
 from the seed is added, and a document is taken once for each integer boundary that its step crosses. The order by size
 keeps the taken words near the target. Ranks need no window over a source: size classes and stripes split it into
 groups, whose counts (a bounded table per source) are summed, and ranks run inside a group. The number of stripes follows
-the number of rows (``ROWS`` to a stripe, powers of two), so that no group of a hot source outgrows a task; rows with a
-null id are dealt to stripes by their text.
+the number of rows (``ROWS`` to a stripe, powers of two), so that no group of a hot source outgrows a task. An id that
+several rows hold, null among them, would be one stripe: its rows are dealt on by a hash of all their columns, and rows
+that are equal in all columns one by one, for which they are numbered within the parts of the stored table and by the
+counts of the parts before. The order inside a group ends with that hash, so only rows that are equal in all columns can
+change places, and a rerun over other files or another order takes the same rows.
 
 Null texts and texts without words have size 0 and are never taken; a null source is a source; null or repeated ids and
 repeated rows are documents like any other. Columns of docs named like the results (mix_size, mix_source_size,
@@ -28,6 +31,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST, STRIPES, SEED = 3, 64, "mix-1"
 #: Rows of a table for which it gets a stripe, and the most stripes.
 ROWS, MOST_STRIPES = 100_000, 1 << 16
+#: Parts in which equal rows are numbered.
+PARTS = 64
 RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
 
@@ -51,26 +56,42 @@ def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     return tried.select("source_key", "source_size", F.least("cap", F.col("weight") * share).alias("target"))
 
 
+def _shared(work: DataFrame, store: Store) -> DataFrame:
+    """row, step of the rows whose id others hold too: how many stripes further they are dealt."""
+    many = work.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("many"))
+    rows = work.select("row", "id", "whole", F.pmod(F.xxhash64("row"), F.lit(PARTS)).alias("part")).join(many, F.col("id").eqNullSafe(F.col("many")), "left_semi")
+    rows = store.put(rows.drop("id"), "shared")
+    sizes = rows.groupBy("whole", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("whole").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("whole", "part").orderBy("row")) - 1
+    numbered = rows.withColumn("here", here).join(sizes.select("whole", "part", before.alias("before")), ["whole", "part"])
+    return numbered.select("row", (F.pmod("whole", F.lit(MOST_STRIPES)) + F.col("before") + F.col("here")).alias("step"))
+
+
 def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """All columns of docs and mix_size, mix_source_size, mix_target (double), mix_copies, mix_taken (copies * size)."""
     store = Store(docs.sparkSession, "mixing")
     docs = docs.drop(*RESULTS)
     stripes = min(MOST_STRIPES, max(stripes, 1 << (docs.count() // ROWS).bit_length()))
-    work = docs.select(F.struct(*docs.columns).alias("doc"))
+    whole = F.xxhash64(*[F.to_json(F.struct(f"`{c}`")) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
+    work = docs.select(F.struct(*docs.columns).alias("doc"), whole.alias("whole"))
     size = F.coalesce(F.regexp_count(F.col(f"doc.{text_col}"), F.lit(WORD)), F.lit(0)).cast("long")
-    work = work.select("doc", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{source_col}").alias("source"), size.alias("size"))
+    work = work.select("doc", "whole", F.col(f"doc.{id_col}").alias("id"), F.col(f"doc.{source_col}").alias("source"), size.alias("size"))
     work = work.withColumn("source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
     # classes of half an octave, by whole numbers: bits of the size, and whether its square passes the octave's middle
     bits = F.length(F.bin("size")).cast("long")
     middle = F.expr("shiftleft(1L, cast(2 * length(bin(size)) - 1 as int))")
     work = work.withColumn("band", F.when(F.col("size") == 0, -1).otherwise(2 * bits + F.when(F.col("size") * F.col("size") >= middle, 1).otherwise(0)).cast("int"))
-    work = work.withColumn("stripe", F.pmod(_md5_number(F.coalesce(F.col("id").cast("string"), F.col(f"doc.{text_col}"), F.lit("")), 4), F.lit(stripes)).cast("int"))
+    work = store.put(work.withColumn("row", F.monotonically_increasing_id()), "work")
+    own = _md5_number(F.coalesce(F.col("id").cast("string"), F.lit("")), 4)
+    dealt = store.put(_shared(work, store), "dealt")
+    work = work.join(dealt, "row", "left").withColumn("stripe", F.pmod(own + F.coalesce("step", F.lit(0)), F.lit(stripes)).cast("int")).drop("row", "step")
     groups = store.put(work.groupBy("source_key", "band", "stripe").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("source").alias("source")), "groups")
     goals = targets(groups)
     along = Window.partitionBy("source_key").orderBy("band", "stripe")
     counted = groups.withColumn("before", F.coalesce(F.sum(F.when(F.col("band") >= 0, F.col("n")).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     plan = store.put(counted.select("source_key", "band", "stripe", "before").join(goals, "source_key"), "plan")
-    rank = F.row_number().over(Window.partitionBy("source_key", "band", "stripe").orderBy("size", "id")) + F.col("before")
+    rank = F.row_number().over(Window.partitionBy("source_key", "band", "stripe").orderBy("size", "id", "whole")) + F.col("before")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     offset = _md5_number(F.concat(F.lit(seed), "source_key"), 8) / float(1 << 32)
     placed = work.join(plan, ["source_key", "band", "stripe"]).withColumn("at", rank)

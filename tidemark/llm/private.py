@@ -12,8 +12,13 @@ cross-fitting: texts fall into two folds by hash, each fold is scored by the tre
 is the lowest held-out score at which the sound share of its candidates above reaches ``precision``. Of overlapping
 candidates the best score stays, and none that a base span touches.
 
-Positions count code points. Null texts are empty. Ids are carried as they are, nulls and repeats included. Columns of
-docs named ``pii_spans`` or ``__pii`` are replaced. An empty table gives an empty one.
+Long texts. Work grows with a text's length and its matches: starts are running sums of the lengths between and of the
+matches, context is taken from what stands between them, and overlaps are settled in one fold over the spans in order of
+their starts, in which at most one span of each kind is open. Arrays that a fold appends to are blocks of ``BLOCK``
+elements, so that appending does not copy the whole.
+
+Positions count code points. Null texts are empty. Ids are carried as they are, nulls and repeats included. A column of
+docs named ``pii_spans`` is replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -44,22 +49,24 @@ ROUNDS, RATE, PRECISION = 40, 0.3, 0.9
 #: Different characters of a sound secret or code, at least.
 VARIED = 10
 FEATURES = ("keyword", "separated", "length", "digits", "mixed", "before", "after")
-NONE = "cast(array() as array<struct<start:int,end:int,value:string>>)"
+BLOCK = 256
+CONTEXT = 24
+SPAN = "struct<start:int,end:int,kind:string,base:boolean,score:double,rank:int,alive:boolean>"
 
 
-def matches(text: Column, pattern: str, likely: Column) -> Column:
-    """All leftmost non-overlapping matches: array of start, end, value. Texts that cannot match are not searched."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.expr(NONE).alias("out"))
+def blocks(name: str, size: int = BLOCK) -> Column:
+    """The array in a column (not an expression, which lambdas would evaluate anew each time), cut into arrays of size."""
+    n = F.size(name)
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / size).cast("int")), lambda k: F.slice(F.col(name), k * size + 1, F.lit(size)))
+    return F.filter(cut, lambda b: F.size(b) > 0)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.when(likely & text.rlike(pattern), F.aggregate(pairs, first, add, lambda acc: acc["out"])).otherwise(F.expr(NONE))
+def running(df: DataFrame, name: str) -> DataFrame:
+    """df with the array of whole numbers in a column replaced by its sums up to each element."""
+    sums = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    local = df.withColumn(name, F.transform(blocks(name), sums))
+    before = sums(F.transform(name, lambda b: F.element_at(b, -1)))
+    return local.withColumn(name, F.flatten(F.zip_with(name, F.slice(before, F.lit(1), F.size(name)), lambda b, o: F.transform(F.slice(b, F.lit(2), F.size(b)), lambda x: x + o))))
 
 
 def luhn(value: Column) -> Column:
@@ -103,42 +110,54 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.filter(turned, lambda c: c != ""), F.lit(0), add)
 
 
-def _candidate(text: Column, kind: str, x: Column, sound: Column) -> Column:
-    left = F.substring(text, F.greatest(F.lit(1), x["start"] - 23), F.least(F.lit(24), x["start"]))
+def _candidate(kind: str, value: Column, start: Column, end: Column, left: Column, right: Column) -> Column:
+    """left: up to CONTEXT code points before the value; right: the one behind it."""
     sides = lambda c: F.when((c == "") | c.rlike(r"\s"), 0).when(c.rlike("[=:\"'(#]"), 1).when(c.rlike(r"[\p{L}0-9]"), 2).otherwise(3)
-    n = x["end"] - x["start"]
-    digit = F.length(F.regexp_replace(x["value"], "[^0-9]", ""))
+    n = end - start
+    digit = F.length(F.regexp_replace(value, "[^0-9]", ""))
     return F.struct(
         F.lit(kind).alias("kind"),
-        x["start"].alias("start"),
-        x["end"].alias("end"),
-        sound.alias("sound"),
+        start.alias("start"),
+        end.alias("end"),
+        _sound(kind, value).alias("sound"),
         (left.rlike(KEYWORD) | F.lit(kind == "secret")).cast("int").alias("keyword"),
-        x["value"].rlike(r"[\x20.()-]").cast("int").alias("separated"),
+        value.rlike(r"[\x20.()-]").cast("int").alias("separated"),
         F.when(n < 10, 0).when(n < 14, 1).when(n < 20, 2).when(n < 30, 3).otherwise(4).alias("length"),
         F.floor(4 * digit / (n + 1)).cast("int").alias("digits"),
-        (x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]")).cast("int").alias("mixed"),
-        sides(F.substring(text, x["start"], F.least(F.lit(1), x["start"]))).alias("before"),
-        sides(F.substring(text, x["end"] + 1, F.lit(1))).alias("after"),
+        (value.rlike("[0-9]") & value.rlike("[A-Za-z]")).cast("int").alias("mixed"),
+        sides(F.right(left, F.lit(1))).alias("before"),
+        sides(right).alias("after"),
     )
 
 
-def candidates(text: Column) -> Column:
-    """Base matches and all further proposals, sound or not, with features."""
-    digits = text.rlike("[0-9]")
-    found = {
-        "email": matches(text, EMAIL, F.contains(text, F.lit("@"))),
-        "ip": matches(text, IP, digits),
-        "card": matches(text, CARD, digits),
-        "phone": matches(text, PHONE, F.contains(text, F.lit("+"))),
-    }
-
-    found |= {kind: matches(text, pattern, text.rlike(test)) for kind, test, pattern in MORE}
+def candidates(df: DataFrame, text: str, name: str) -> DataFrame:
+    """df with the column ``name``: base matches and all further proposals, sound or not, with features. Texts that
+    cannot match a pattern are not searched."""
+    t = F.col("text")
+    digits = t.rlike("[0-9]")
+    found = {"email": (F.contains(t, F.lit("@")), EMAIL), "ip": (digits, IP), "card": (digits, CARD), "phone": (F.contains(t, F.lit("+")), PHONE)}
+    found |= {kind: (t.rlike(test), pattern) for kind, test, pattern in MORE}
+    none = F.expr("cast(array() as array<string>)")
+    value, gap, end = ({kind: f"{prefix}_{kind}" for kind in found} for prefix in ("value", "gap", "end"))
+    seen = df.select(F.struct(*[c for c in df.columns if c != name]).alias("row"), F.col(text).alias("text"))
+    seen = seen.withColumns({value[k]: F.when(likely & t.rlike(p), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, (likely, p) in found.items()})
+    seen = seen.withColumns({gap[k]: F.when(F.size(value[k]) > 0, F.split("text", p, -1)).otherwise(none) for k, (_, p) in found.items()})
+    seen = seen.withColumns({end[k]: F.zip_with(F.slice(F.col(gap[k]), F.lit(1), F.size(value[k])), value[k], lambda g, v: F.length(g) + F.length(v)) for k in found})
+    for k in found:
+        seen = running(seen, end[k])
 
     def judged(kind: str) -> Column:
-        return F.transform(found[kind], lambda x: _candidate(text, kind, x, _sound(kind, x["value"])))
+        at = lambda c, i: F.coalesce(F.get(F.col(c), i), F.lit(""))
+
+        def one(v: Column, i: Column) -> Column:
+            stop = F.get(F.col(end[kind]), i)
+            left = F.right(F.concat(F.right(at(gap[kind], i - 1), F.lit(CONTEXT)), at(value[kind], i - 1), at(gap[kind], i)), F.lit(CONTEXT))
+            right = F.left(F.concat(F.left(at(gap[kind], i + 1), F.lit(1)), at(value[kind], i + 1)), F.lit(1))
+            return _candidate(kind, v, F.get(F.col(end[kind]), i) - F.length(v), stop, left, right)
+
+        return F.transform(value[kind], one)
 
-    return F.concat(*[judged(kind) for kind in found])
+    return seen.select("row.*", F.concat(*[judged(k) for k in found]).alias(name))
 
 
 Tree = tuple[tuple[int, int], tuple[tuple[int, int], float, float], tuple[tuple[int, int], float, float]]
@@ -193,7 +212,8 @@ def tree_score(bias: float, trees: list[Tree], x: np.ndarray) -> np.ndarray:
 def learn(texts: DataFrame, precision: float = PRECISION) -> tuple[dict[tuple[int, ...], float], dict[str, float]]:
     """texts: text. Score of each feature pattern and threshold of each further kind (2: none is taken)."""
     fold = F.pmod(F.xxhash64("text"), F.lit(2)).alias("fold")
-    patterns = texts.select(fold, F.explode(candidates(F.col("text"))).alias("c")).groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in ("kind", "sound", *FEATURES)])
+    # outer: for a plain explode Spark infers a filter, which it writes out in all steps below
+    patterns = candidates(texts.select("text", fold), "text", "all").select("fold", F.explode_outer("all").alias("c")).filter("c is not null").groupBy("fold", *[F.col(f"c.{f}").alias(f) for f in ("kind", "sound", *FEATURES)])
     seen = patterns.count().orderBy("kind", "fold", "sound", *FEATURES).collect()  # one order, so that reruns agree
     cuts = {kind: 2.0 for kind, _, _ in MORE}
     if not seen:
@@ -215,7 +235,7 @@ def learn(texts: DataFrame, precision: float = PRECISION) -> tuple[dict[tuple[in
 
 def private_spans(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs and pii_spans, array of kind, start, end, base (bool), ordered by kind as listed, then start."""
-    docs = docs.drop("pii_spans", "__pii")
+    docs = docs.drop("pii_spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
     scores, cuts = learn(docs.select(text.alias("text")), precision)
     table = F.create_map(*[F.lit(v) for pattern, s in scores.items() for v in (",".join(map(str, pattern)), s)]) if scores else F.expr("cast(map() as map<string,double>)")
@@ -227,25 +247,51 @@ def private_spans(docs: DataFrame, precision: float = PRECISION, id_col: str = "
         is_base = c["kind"].isin(*BASE)
         score = F.coalesce(F.try_element_at(table, F.concat_ws(",", *[c[f].cast("string") for f in FEATURES])), F.lit(0.0))
         take = F.when(is_base, c["sound"]).otherwise(score >= F.element_at(cut, c["kind"]))
-        return F.struct(F.element_at(rank, c["kind"]).alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), is_base.alias("base"), score.alias("score"), take.alias("take"))
+        span = {"start": c["start"], "end": c["end"], "kind": c["kind"], "base": is_base, "score": score, "rank": F.element_at(rank, c["kind"]), "alive": F.lit(True)}
+        return F.struct(*[v.alias(k) for k, v in span.items()], take.alias("take"))
 
-    seen = docs.withColumn("__pii", candidates(text))
-    seen = seen.withColumn("__pii", F.filter(F.transform("__pii", judged), lambda c: c["take"]))
-    touches = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    better = lambda a, b: a["base"] | (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"]))))
-    kept = F.filter("__pii", lambda c: c["base"] | ~F.exists("__pii", lambda o: touches(o, c) & better(o, c)))
-    return seen.withColumn("pii_spans", F.transform(F.array_sort(kept), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))).drop("__pii")
+    def better(a: Column, b: Column) -> Column:
+        return a["base"] | (a["score"] > b["score"]) | ((a["score"] == b["score"]) & ((a["rank"] < b["rank"]) | ((a["rank"] == b["rank"]) & (a["start"] < b["start"]))))
+
+    fields = ("start", "end", "kind", "base", "score", "rank")
+    marked = lambda s, alive: F.struct(*[s[f].alias(f) for f in fields], alive.alias("alive"))
+
+    def step(acc: Column, s: Column) -> Column:
+        """Spans that ended go out; the others and the new one lose to what is better and touches them."""
+        ended = F.filter(acc["open"], lambda a: a["end"] <= s["start"])
+        touched = F.filter(acc["open"], lambda a: a["end"] > s["start"])
+        still = F.transform(touched, lambda a: marked(a, a["alive"] & ~better(s, a)))
+        return F.struct(F.concat(still, F.array(marked(s, ~F.exists(touched, lambda a: better(a, s))))).alias("open"), F.concat(acc["out"], ended).alias("out"))
+
+    empty = F.expr(f"cast(array() as array<{SPAN}>)")
+    block = lambda acc, b: F.aggregate(b, F.struct(acc["open"].alias("open"), empty.alias("out")), step, lambda r: F.struct(r["open"].alias("open"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+    start = F.struct(empty.alias("open"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("out"))
+    seen = candidates(docs.select(F.struct("*").alias("doc"), text.alias("text")), "text", "all")
+    spans = F.transform(F.filter(F.transform("all", judged), lambda c: c["take"]), lambda c: F.struct(*[c[f].alias(f) for f in (*fields, "alive")]))
+    seen = seen.select("doc", F.array_sort(spans).alias("spans"))
+    settled = seen.select("doc", F.aggregate(blocks("spans"), start, block, lambda r: F.concat(F.flatten(r["out"]), r["open"])).alias("spans"))
+    kept = F.transform(F.filter("spans", lambda c: c["base"] | c["alive"]), lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"), c["base"].alias("base")))
+    return settled.select("doc.*", F.transform(F.array_sort(kept), lambda c: F.struct(*[c[f].alias(f) for f in ("kind", "start", "end", "base")])).alias("pii_spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with pii_spans -> text with every span replaced by its kind in brackets; touching spans become one."""
+    columns = [c for c in docs.columns if c != "pii_spans"]
     by_start = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    text = F.col(text_col)
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("doc"), F.col(text_col).alias("text"), by_start.alias("spans"))
+    text = F.col("text")
 
+    # a block's spans are cut out of its own part of the text (here), which begins where the block before ended (base)
     def add(acc: Column, s: Column) -> Column:
-        new = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"))
-
-    done = F.aggregate(by_start, first, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return docs.withColumn(text_col, F.when(F.size("pii_spans") > 0, done).otherwise(text)).drop("pii_spans")
+        fresh = s["start"] >= acc["at"]
+        new = F.concat(acc["out"], F.substring(acc["here"], acc["at"] - acc["base"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"])), F.when(fresh, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), new.alias("out"), acc["here"].alias("here"), acc["base"].alias("base"))
+
+    def block(acc: Column, b: Column) -> Column:
+        here = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), F.element_at(b, -1)["start"] - acc["at"]))
+        first = F.struct(acc["at"].alias("at"), F.lit("").alias("out"), here.alias("here"), acc["at"].alias("base"))
+        return F.aggregate(b, first, add, lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    done = F.aggregate(blocks("spans"), start, block, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return rows.select("doc", F.when(F.size("spans") > 0, done).otherwise(text).alias("text")).select(*[F.col("text").alias(c) if c == text_col else F.col(f"doc.`{c}`") for c in columns])
