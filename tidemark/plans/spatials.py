@@ -113,30 +113,51 @@ def ras3_slope(i: Inputs) -> DataFrame:
     return RA.slope(i.raster, 25.0).select("r", "c", X.steady(F.col("slope")).alias("slope"))
 
 
-_MASK = f"select distinct park_num, r, c, water, elev from ({OBSERVERS}) o join v_raster k on sqrt(power((c+0.5e0)*25-o.x,2)+power((r+0.5e0)*25-o.y,2)) <= 200"
+#: Metres that an observer sees.
+RADIUS = 1000.0
+_MASK = f"select distinct park_num, r, c, water, elev from ({OBSERVERS}) o join v_raster k on sqrt(power((c+0.5e0)*25-o.x,2)+power((r+0.5e0)*25-o.y,2)) <= 1000"
 
 
 @query(f"select park_num, count(*) as cells from ({_MASK}) m group by park_num")
 def jn23_visible_area_mask(i: Inputs) -> DataFrame:
-    return RA.cells_within(observers(i), i.raster, 25.0, 200.0).select("park_num", "r", "c").distinct().groupBy("park_num").agg(F.count("*").alias("cells"))
+    return RA.cells_within(observers(i), i.raster, 25.0, RADIUS).select("park_num", "r", "c").distinct().groupBy("park_num").agg(F.count("*").alias("cells"))
 
 
 @query(f"select park_num, sum(water)*625.0e0 as water_m2, round(avg(elev)+1e-9,6) as mean_elev from ({_MASK}) m group by park_num")
 def agg20_agg21_zonal(i: Inputs) -> DataFrame:
-    m = RA.cells_within(observers(i), i.raster, 25.0, 200.0).select("park_num", "r", "c", "water", "elev").distinct()
+    m = RA.cells_within(observers(i), i.raster, 25.0, RADIUS).select("park_num", "r", "c", "water", "elev").distinct()
     return m.groupBy("park_num").agg((F.sum("water") * 625.0).alias("water_m2"), X.steady(F.avg("elev")).alias("mean_elev"))
 
 
 _EYE = f"select o.park_num, o.x, o.y, k.elev + 1.6e0 as eye from ({OBSERVERS}) o join v_raster k on k.r = cast(floor(o.y/25) as int) and k.c = cast(floor(o.x/25) as int)"
-_AIM = f"select park_num, x, y, eye, k.r, k.c, k.elev, sqrt(power((k.c+0.5e0)*25-x,2)+power((k.r+0.5e0)*25-y,2)) as d from ({_EYE}) e join v_raster k on k.water = 1 and sqrt(power((k.c+0.5e0)*25-x,2)+power((k.r+0.5e0)*25-y,2)) <= 200"
+_AIM = f"select park_num, x, y, eye, k.r, k.c, k.elev, sqrt(power((k.c+0.5e0)*25-x,2)+power((k.r+0.5e0)*25-y,2)) as d from ({_EYE}) e join v_raster k on k.water = 1 and sqrt(power((k.c+0.5e0)*25-x,2)+power((k.r+0.5e0)*25-y,2)) <= 1000"
 
 
 @query(f"with aim as ({_AIM}), ray as (select *, unnest(range(1, greatest(1, cast(ceil(d/25) as bigint)))) as k from aim), spot as (select park_num, r, c, eye, k, cast(floor((y + k*25/d*((r+0.5e0)*25-y))/25) as int) as pr, cast(floor((x + k*25/d*((c+0.5e0)*25-x))/25) as int) as pc from ray), worst as (select s.park_num, s.r, s.c, max((g.elev - s.eye)/(s.k*25)) as worst from spot s join v_raster g on g.r = s.pr and g.c = s.pc where not (s.pr = s.r and s.pc = s.c) group by s.park_num, s.r, s.c) select aim.park_num, count(*) as visible_cells, count(*)*625.0e0 as visible_water_m2 from aim left join worst using (park_num, r, c) where worst is null or d = 0 or worst <= (elev - eye)/d group by aim.park_num")
 def ras5_agg22_visible_water(i: Inputs) -> DataFrame:
-    seen = RA.line_of_sight(observers(i).withColumnRenamed("park_num", "id"), i.raster, 25.0, 200.0, 1.6, "water = 1")
+    seen = RA.line_of_sight(observers(i).withColumnRenamed("park_num", "id"), i.raster, 25.0, RADIUS, 1.6, "water = 1")
     return seen.distinct().groupBy(F.col("id").alias("park_num")).agg(F.count("*").alias("visible_cells"), (F.count("*") * 625.0).alias("visible_water_m2"))
 
 
+# a line of sight crosses the ring before at (r1, c1) and (r2, c2), part of the way to the second
+_RINGS = f"""with recursive o as (select park_num, cast(floor(y/25) as int) as r0, cast(floor(x/25) as int) as c0 from ({OBSERVERS}) q),
+e as (select o.*, elev + 1.6e0 as eye from o join v_raster k on k.r = r0 and k.c = c0),
+g as (select r, c, greatest(abs(r), abs(c)) as k, sqrt((r*25.0e0)**2 + (c*25.0e0)**2) as d from (select unnest(range(-42, 43)) as r) a, (select unnest(range(-42, 43)) as c) b),
+h as (select *, case when abs(r) = k then sign(r)*(k-1) else floor(r*(k-1)/k::double) end as r1, case when abs(c) = k then sign(c)*(k-1) else floor(c*(k-1)/k::double) end as c1, case when abs(r) = k then c*(k-1)/k::double else r*(k-1)/k::double end as at_ from g where k > 0),
+v as (select park_num, h.*, k.elev, k.water, coalesce((k.elev - (h.d*h.d)*0.87e0/(2*6371000.0e0) - eye)/h.d, -1.0e9) as view from e cross join h left join v_raster k on k.r = r0 + h.r and k.c = c0 + h.c),
+s as (select park_num, k, r, c, view as upto, -1.0e9 as before from v where k = 1
+ union all select v.park_num, v.k, v.r, v.c, greatest(v.view, (1 - (at_ - floor(at_)))*a.upto + (at_ - floor(at_))*b.upto), (1 - (at_ - floor(at_)))*a.upto + (at_ - floor(at_))*b.upto
+ from s a join v on v.park_num = a.park_num and v.k = a.k + 1 and v.r1 = a.r and v.c1 = a.c join s b on b.park_num = a.park_num and b.k = a.k and b.r = case when abs(v.r) = v.k then v.r1 else least(v.r1 + 1, v.k - 1) end and b.c = case when abs(v.r) = v.k then least(v.c1 + 1, v.k - 1) else v.c1 end)
+select park_num, count(*) as visible_cells from (select park_num from s join v using (park_num, k, r, c) where water = 1 and d <= 1000 and view >= before union all select park_num from e join v_raster w on w.r = r0 and w.c = c0 and w.water = 1) q group by park_num"""
+
+
+@query(_RINGS)
+def ras5_horizon_sweep(i: Inputs) -> DataFrame:
+    """Water cells that each observer sees over a curved earth with refraction, by horizons from ring to ring."""
+    seen = RA.viewshed(observers(i).withColumnRenamed("park_num", "id"), i.raster, 25.0, RADIUS, 1.6, "water = 1", sweep=True, earth=RA.EARTH)
+    return seen.groupBy(F.col("id").alias("park_num")).agg(F.count("*").alias("visible_cells"))
+
+
 @query("select park_num, 8*h as perimeter, 4*h*h as area from v_sites")
 def geo2_perimeter_area(i: Inputs) -> DataFrame:
     return S.site_rings(i.sites).select("park_num", S.perimeter(F.col("ring")).alias("perimeter"), S.area(F.col("ring")).alias("area"))
