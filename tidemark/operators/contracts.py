@@ -43,3 +43,10 @@ def require(report: DataFrame, ok: Column | None = None) -> None:
     bad = report.filter(~(F.col("ok") if ok is None else ok)).limit(5).collect()
     if bad:
         raise ValueError(f"contract broken: {bad}")
+
+
+def sample_sizes(df: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """eligible, sites, expected, ok: the rows that each boolean column admits (null: no), against fixed sizes; one pass."""
+    counts = df.agg(*[F.count_if(F.coalesce(k, F.lit(False))).alias(k) for k in expected])
+    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("eligible"), F.col(k).alias("sites"), F.lit(n).cast("long").alias("expected")) for k, n in expected.items()]))
+    return counts.select(rows.alias("r")).select("r.*").withColumn("ok", F.col("sites") == F.col("expected"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
+from tidemark.operators import contracts as C
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
 from tidemark.operators import scores as SC
@@ -133,9 +134,9 @@ def cnd6_model_eligibility(i: Inputs) -> DataFrame:
     return SC.eligibility(P.count_by(i.hours, "park_num", name="hours"), i.census, P.POSSIBLE)
 
 
-#: Sample sizes that the models expect, by the column that admits a site.
-EXPECTED = {"main_model_eligible": 103, "coverage90_model_eligible": 98, "population20_sensitivity_eligible": 103}
-_ELIGIBLE = "e as (select h.park_num, bool_or(a.hasdata = 1) as main_model_eligible, bool_or(a.hasdata = 1) and 100.0e0*count(*)/360 >= 90 as coverage90_model_eligible, bool_or(b.hasdata = 1) as population20_sensitivity_eligible from v_hours h left join v_census a on a.park_num = h.park_num and a.walktime_min = 10 left join v_census b on b.park_num = h.park_num and b.walktime_min = 20 group by h.park_num)"
+# Waterfronts with activity, and those that each model's column admits.
+EXPECTED = {"activity_available": 103, "main_model_eligible": 98, "coverage90_model_eligible": 76, "population20_sensitivity_eligible": 103}
+_ELIGIBLE = "e as (select h.park_num, true as activity_available, bool_or(a.hasdata = 1) as main_model_eligible, bool_or(a.hasdata = 1) and 100.0e0*count(*)/360 >= 90 as coverage90_model_eligible, bool_or(b.hasdata = 1) as population20_sensitivity_eligible from v_hours h left join v_census a on a.park_num = h.park_num and a.walktime_min = 10 left join v_census b on b.park_num = h.park_num and b.walktime_min = 20 group by h.park_num)"
 
 
 @query(
@@ -144,9 +145,7 @@ _ELIGIBLE = "e as (select h.park_num, bool_or(a.hasdata = 1) as main_model_eligi
 def flt6_val3_scenario_samples(i: Inputs) -> DataFrame:
     """Sites that each scenario's named column admits, against the sizes that the published models expect."""
     e = SC.eligibility(P.count_by(i.hours, "park_num", name="hours"), i.census, P.POSSIBLE)
-    named = F.explode(F.array(*[F.struct(F.lit(k).alias("eligible"), F.lit(n).cast("long").alias("expected"), F.coalesce(k, F.lit(False)).alias("kept")) for k, n in EXPECTED.items()]))
-    c = e.select(named.alias("scenario")).select("scenario.*").groupBy("eligible", "expected").agg(F.count_if("kept").alias("sites"))
-    return c.select("eligible", "sites", "expected", (F.col("sites") == F.col("expected")).alias("ok"))
+    return C.sample_sizes(e.withColumn("activity_available", F.lit(True)), EXPECTED)
 
 
 _STATUS = "case when s.h <= 1 then 'park polygon not found' when coalesce(n_local,0) = 0 then 'no local network found' when coalesce(n_walk,0) = 0 then 'no walkable local network found' when coalesce(n_out,0) = 0 then 'no outside linework' when coalesce(n_graph,0) = 0 then 'outside graph could not be built' when coalesce(n_origin,0) = 0 then 'no routing origin points' else 'processed' end"
