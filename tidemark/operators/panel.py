@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import steady
+from tidemark.operators import ranks
+from tidemark.operators.graph import written
 
 #: Twelve months, two day types, fifteen hours.
 POSSIBLE = 360
@@ -50,18 +52,11 @@ def more_than_once(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    """N, mean, sd, median, quartiles and range of several columns, by unpivoting them: one pass, exact quantiles."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "value")
-    q = lambda p: steady(F.percentile("value", F.lit(p)), digits)
-    return long.groupBy("variable").agg(
-        F.count("value").alias("n"), steady(F.avg("value")).alias("mean"), steady(F.stddev_samp("value")).alias("sd"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), steady(F.min("value")).alias("min"), steady(F.max("value")).alias("max")
-    )
-
-
-def average_rank(value: Column, *partition: str) -> Column:
-    by = Window.partitionBy(*partition).orderBy(value)
-    ties = F.count("*").over(Window.partitionBy(*[F.col(p) for p in partition], value))
-    return F.rank().over(by) + (ties - 1) / 2.0
+    """N, mean, sd, median, quartiles and range of several columns, by unpivoting them; quantiles are exact."""
+    long = written(df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "variable", "value"), "long")
+    means = long.groupBy("variable").agg(F.count("value").alias("n"), *[steady(f("value"), digits).alias(n) for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("min", F.min), ("max", F.max))])
+    found = ranks.quantiles(long, "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}, "variable")
+    return means.join(found.select("variable", *[steady(F.col(c), digits).alias(c) for c in ("median", "q1", "q3")]), "variable", "left").select("variable", "n", "mean", "sd", "median", "q1", "q3", "min", "max")
 
 
 def null_counts(df: DataFrame) -> DataFrame:

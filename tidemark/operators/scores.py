@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import ratio_or_zero, row_mean, row_sum, steady
+from tidemark.operators import ranks
+from tidemark.operators.graph import written
 from tidemark.operators.windows import min_max, z_score
 
 
@@ -45,7 +47,8 @@ def lookup_checks(lookup: DataFrame, sites: DataFrame, site: str, cell: str) ->
     per_site = lookup.groupBy(site).agg(F.count("*").alias("n"))
     row = lambda df, report, item: df.select(F.lit(report).alias("report"), item.cast("string").alias("item"), number)
     one = lookup.agg(F.count("*").alias("pairs"), F.count_distinct(cell).alias("cells"), F.count_distinct(site).alias("sites"))
-    spread = per_site.agg(F.min("n").cast("double").alias("minimum"), F.max("n").cast("double").alias("maximum"), F.percentile("n", F.lit(0.5)).alias("median"))
+    spread = per_site.agg(F.min("n").cast("double").alias("minimum"), F.max("n").cast("double").alias("maximum"))
+    spread = ranks.join_by(spread, ranks.quantiles(per_site, "n", {"median": 0.5}), [])
     several = pairs.groupBy(cell).agg(F.count("*").alias("n")).filter("n > 1")
     repeated = pairs.filter("n > 1")
     reports = [
@@ -66,18 +69,14 @@ def dimension_pairs(df: DataFrame, dimensions: list[str], keep: list[str]) -> Da
     return df.select(*keep, rows.alias("p")).select(*keep, "p.*")
 
 
-def with_rank(df: DataFrame, value: str, name: str, by: list[str]) -> DataFrame:
-    """Average rank within groups: distinct values are counted first, and only the counts are summed in order."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*by).orderBy(value))
-    return df.join(counts.select(*by, value, (upto - (F.col("k") - 1) / 2).alias(name)), [*by, value])
-
-
 def pair_statistics(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Complete rows of each pair: n, Pearson's r, Spearman's rho, both medians."""
-    full = with_rank(with_rank(pairs.dropna(subset=["x", "y"]), "x", "a", by), "y", "b", by)
-    median = lambda c: F.percentile(c, F.lit(0.5)).alias(f"{c}_median")
-    return full.groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("a", "b").alias("spearman_rho"), median("x"), median("y"))
+    full = written(pairs.dropna(subset=["x", "y"]), "pairs")
+    ranked = ranks.with_rank(ranks.with_rank(full, "x", "a", *by), "y", "b", *by)
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("a", "b").alias("spearman_rho"))
+    for c in ("x", "y"):
+        out = ranks.join_by(out, ranks.quantiles(full, c, {f"{c}_median": 0.5}, *by), list(by))
+    return out
 
 
 def divergence(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -34,13 +34,14 @@ def tidy(shapes: DataFrame, parts: str = "parts") -> DataFrame:
 
 
 def explode_parts(shapes: DataFrame, key: str, parts: str = "parts") -> DataFrame:
-    """key, part, rings."""
-    return shapes.select(key, F.posexplode(parts).alias("part", "rings"))
+    """key, part, rings. The outer form and a filter behind it, as here and below: for a plain explode Spark infers a
+    filter on the array, which it writes out again in the steps before."""
+    return shapes.select(key, F.posexplode_outer(parts).alias("part", "rings")).filter("rings is not null")
 
 
 def sides(shapes: DataFrame, key: str, parts: str = "parts") -> DataFrame:
-    rings = explode_parts(shapes, key, parts).select(key, "part", F.posexplode("rings").alias("ring", "v"))
-    return rings.select(key, "part", "ring", F.explode(S.edges(F.col("v"))).alias("e")).select(key, "part", "ring", *[F.col(f"e.{c}").alias(c) for c in SIDE]).filter("ax <> bx or ay <> by")
+    rings = explode_parts(shapes, key, parts).select(key, "part", F.posexplode_outer("rings").alias("ring", "v")).filter("v is not null")
+    return rings.select(key, "part", "ring", F.explode_outer(S.edges(F.col("v"))).alias("e")).filter("e is not null").select(key, "part", "ring", *[F.col(f"e.{c}").alias(c) for c in SIDE]).filter("ax <> bx or ay <> by")
 
 
 def _moments(borders: DataFrame, key: str) -> DataFrame:

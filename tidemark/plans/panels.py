@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
+from tidemark.operators import graph as G
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
+from tidemark.operators import ranks
 from tidemark.operators import windows as W
 from tidemark.plans.registry import query
 from tidemark.sources.fixtures import Inputs
@@ -107,7 +109,8 @@ def agg11_describe(i: Inputs) -> DataFrame:
 
 @query(f"select agg_time_period, {R.format('quantile_cont(site_activity_index,0.5)')} as median_activity from v_hours group by agg_time_period")
 def agg12_median_by_hour(i: Inputs) -> DataFrame:
-    return i.hours.groupBy("agg_time_period").agg(X.steady(F.median("site_activity_index")).alias("median_activity"))
+    found = ranks.quantiles(i.hours, "site_activity_index", {"median": 0.5}, "agg_time_period")
+    return found.select("agg_time_period", X.steady(F.col("median")).alias("median_activity"))
 
 
 @query(f"select agg_time_period, n, {R.format('r')} as r, {R.format(CORR_P)} as p from (select agg_time_period, count(*) as n, corr(site_activity_index, cast(unique_cells_used as double)) as r from v_hours group by agg_time_period) q")
@@ -121,8 +124,7 @@ def agg13_pearson(i: Inputs) -> DataFrame:
     f" select walktime_min, n, {R.format('r')} as rho, {R.format(CORR_P)} as p from (select walktime_min, count(*) as n, corr(a,b) as r from k group by walktime_min) q"
 )
 def agg14_win10_spearman(i: Inputs) -> DataFrame:
-    rank = lambda c: P.average_rank(F.col(c), "walktime_min")
-    ranked = i.census.select("walktime_min", rank("pct_low_income").alias("a"), rank("pct_visible_minority").alias("b"))
+    ranked = ranks.with_rank(ranks.with_rank(i.census, "pct_low_income", "a", "walktime_min"), "pct_visible_minority", "b", "walktime_min")
     found = ranked.groupBy("walktime_min").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
     return found.select("walktime_min", "n", X.steady(F.col("r")).alias("rho"), X.steady(M.correlation_p(F.col("r"), F.col("n"))).alias("p"))
 
@@ -143,9 +145,11 @@ _SEASON = "case when month(start_date) in (12,1,2) then 'Winter' when month(star
 @query(f"with s as (select park_num, dimension, category, avg(site_activity_index) as m from (select park_num, site_activity_index, 'season' as dimension, {_SEASON} as category from v_hours union all select park_num, site_activity_index, 'day', case agg_day_period when 0 then 'Weekday' else 'Weekend' end from v_hours) x group by park_num, dimension, category) select dimension, category, count(*) as sites, {R.format('avg(m)')} as mean, {R.format('stddev_samp(m)')} as sd, {R.format('quantile_cont(m,0.5)')} as median, {R.format('stddev_samp(m)/sqrt(count(*))')} as se, {R.format('avg(m)-1.96*stddev_samp(m)/sqrt(count(*))')} as low, {R.format('avg(m)+1.96*stddev_samp(m)/sqrt(count(*))')} as high from s group by dimension, category")
 def agg16_site_balanced_means(i: Inputs) -> DataFrame:
     long = i.hours.select("park_num", "site_activity_index", X.season(F.month("start_date")).alias("season"), X.day_type(F.col("agg_day_period")).alias("day")).unpivot(["park_num", "site_activity_index"], ["season", "day"], "dimension", "category")
-    site = long.groupBy("park_num", "dimension", "category").agg(F.avg("site_activity_index").alias("m"))
+    site = G.written(long.groupBy("park_num", "dimension", "category").agg(F.avg("site_activity_index").alias("m")), "means")
     m, se = F.avg("m"), F.stddev_samp("m") / F.sqrt(F.count("*"))
-    return site.groupBy("dimension", "category").agg(F.count("*").alias("sites"), X.steady(m).alias("mean"), X.steady(F.stddev_samp("m")).alias("sd"), X.steady(F.median("m")).alias("median"), X.steady(se).alias("se"), X.steady(m - 1.96 * se).alias("low"), X.steady(m + 1.96 * se).alias("high"))
+    median = ranks.quantiles(site, "m", {"median": 0.5}, "dimension", "category").withColumn("median", X.steady(F.col("median")))
+    found = site.groupBy("dimension", "category").agg(F.count("*").alias("sites"), X.steady(m).alias("mean"), X.steady(F.stddev_samp("m")).alias("sd"), X.steady(se).alias("se"), X.steady(m - 1.96 * se).alias("low"), X.steady(m + 1.96 * se).alias("high"))
+    return found.join(median, ["dimension", "category"])
 
 
 _COVER = "(select park_num, 100.0e0*count(*)/360 as pct from v_hours group by park_num)"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as X
 from tidemark.operators import contracts as C
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
+from tidemark.operators import ranks
 from tidemark.operators import scores as SC
 from tidemark.operators import spatial as S
 from tidemark.operators import windows as W
@@ -131,9 +132,9 @@ _Q = "q as (select park_num, walktime_min, pct_low_income as a, pct_visible_mino
 
 @query(f"with {_Q} select park_num, walktime_min, (case when a >= ma then 'H' else 'L' end) || (case when b >= mb then 'H' else 'L' end) as quadrant from q")
 def cnd5_quadrants(i: Inputs) -> DataFrame:
-    w = Window.partitionBy("walktime_min")
-    a, b = F.col("pct_low_income"), F.col("pct_visible_minority")
-    return i.census.select("park_num", "walktime_min", X.quadrant(a, b, F.percentile(a, F.lit(0.5)).over(w), F.percentile(b, F.lit(0.5)).over(w)).alias("quadrant"))
+    a, b = "pct_low_income", "pct_visible_minority"
+    full = ranks.with_quantile(ranks.with_quantile(i.census, a, "ma", 0.5, "walktime_min"), b, "mb", 0.5, "walktime_min")
+    return full.select("park_num", "walktime_min", X.quadrant(*[F.col(c) for c in (a, b, "ma", "mb")]).alias("quadrant"))
 
 
 #: Dimensions that are compared two by two.
@@ -153,7 +154,7 @@ def cmp12_pairwise_dimensions(i: Inputs) -> DataFrame:
     """All pairs of dimensions: correlation with n and p, and by quadrant the sites, their share, mean gap and most
     divergent site. Medians are one row per walk time and dimension, joined back."""
     long = i.census.unpivot(["walktime_min"], list(DIMENSIONS), "dimension", "value")
-    medians = long.groupBy("walktime_min", "dimension").agg(F.percentile("value", F.lit(0.5)).alias("median"))
+    medians = ranks.quantiles(long, "value", {"median": 0.5}, "walktime_min", "dimension")
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("second"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in _PAIRS]))
     rows = i.census.select("park_num", "walktime_min", pairs.alias("p")).select("park_num", "walktime_min", "p.*")
     for side, m in (("first", "ma"), ("second", "mb")):
