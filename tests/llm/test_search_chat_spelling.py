@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, private, ranked, spelling, template
+from tidemark.llm import chat, mixing, packing, private, ranked, spelling, template
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -249,3 +249,10 @@ def test_private_data_in_a_text_of_many_matches(spark):
     assert [(s["start"], s["end"]) for s in found[1]["base"]] == at and len(at) == n
     clean = private.redact(spans).filter("doc_id = 1").first()["text"]
     assert clean.count("[IP]") == n and clean.startswith("é [IP] key=")
+
+
+def test_packing_follows_no_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.when(F.col("doc_id") % 3 == 0, F.lit(5)).otherwise(F.col("doc_id")).alias("doc_id"), "text")
+    docs = docs.unionByName(docs.filter("doc_id < 40"))
+    one, two = (collections.Counter(map(tuple, packing.pack(docs.orderBy(order).repartition(parts), shard=50).collect())) for parts, order in ((2, "text"), (5, F.desc(F.length("text")))))
+    assert one == two and sum(one.values()) > 150

@@ -234,7 +234,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
     marks = store.put(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "marks")
     chosen = store.put(marks.orderBy(F.xxhash64("doc_id")).limit(sample), "labelled")
     seen = store.put(base.mapInArrow(_measure, "row struct<doc_id:long,salt:long,meta_x:array<double>>, text_x array<double>").select("row.*", "text_x"), "seen")
-    found = seen.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most sample ids
+    own = seen.join(F.broadcast(chosen), "doc_id").groupBy("doc_id")  # at most sample ids; of texts of one id always the same
+    found = own.agg(F.min(F.struct(F.xxhash64("text_x", "meta_x").alias("h"), "text_x", "meta_x", "label")).alias("r")).select("doc_id", "r.*")
     known = found.select("label", "meta_x", "text_x", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("fold")).toPandas()
     dealt = marks.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
     free = seen.filter("doc_id is not null").join(dealt, ["doc_id", "salt"], "left_anti").select("text_x", "meta_x").unionByName(seen.filter("doc_id is null").select("text_x", "meta_x"))

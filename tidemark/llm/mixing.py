@@ -25,14 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import Store
+from tidemark.llm.store import PARTS, Store, numbered
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST, STRIPES, SEED = 3, 64, "mix-1"
 #: Rows of a table for which it gets a stripe, and the most stripes.
 ROWS, MOST_STRIPES = 100_000, 1 << 16
-#: Parts in which equal rows are numbered.
-PARTS = 64
 RESULTS = ("mix_size", "mix_source_size", "mix_target", "mix_copies", "mix_taken")
 
 
@@ -60,12 +58,8 @@ def _shared(work: DataFrame, store: Store) -> DataFrame:
     """row, step of the rows whose id others hold too: how many stripes further they are dealt."""
     many = work.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("many"))
     rows = work.select("row", "id", "whole", F.pmod(F.xxhash64("row"), F.lit(PARTS)).alias("part")).join(many, F.col("id").eqNullSafe(F.col("many")), "left_semi")
-    rows = store.put(rows.drop("id"), "shared")
-    sizes = rows.groupBy("whole", "part").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("whole").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    here = F.row_number().over(Window.partitionBy("whole", "part").orderBy("row")) - 1
-    numbered = rows.withColumn("here", here).join(sizes.select("whole", "part", before.alias("before")), ["whole", "part"])
-    return numbered.select("row", (F.pmod("whole", F.lit(MOST_STRIPES)) + F.col("before") + F.col("here")).alias("step"))
+    numbers = numbered(store.put(rows.select("row", "whole", "part"), "shared"))
+    return numbers.select("row", (F.pmod("whole", F.lit(MOST_STRIPES)) + F.col("number")).alias("step"))
 
 
 def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: Parts in which equal rows are numbered.
+PARTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +45,12 @@ class Store:
     def _free_shuffles(self) -> None:
         """Shuffle files of a finished job go when the driver's garbage does; ask for that between large steps."""
         self.spark.sparkContext._jvm.System.gc()
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows: row (unique), whole, part, stored -> row, whole, number from 0 among the rows of one whole. A whole that many
+    rows hold is numbered part by part, from the counts of the parts before."""
+    sizes = rows.groupBy("whole", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("whole").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    here = F.row_number().over(Window.partitionBy("whole", "part").orderBy("row")) - 1
+    return rows.withColumn("here", here).join(sizes.select("whole", "part", before.alias("before")), ["whole", "part"]).select("row", "whole", (F.col("before") + F.col("here")).alias("number"))

@@ -398,7 +398,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, window: int = 60, sample: int =
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     marks = marks.filter(~held).groupBy("doc_id").agg(F.max("label").alias("label"))
     marks = marks.orderBy(F.xxhash64("doc_id")).limit(sample)
-    labelled = store.put(base.join(F.broadcast(store.put(marks, "marks")), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    own = base.join(F.broadcast(store.put(marks, "marks")), "doc_id").groupBy("doc_id")  # of texts of one id always the same
+    labelled = store.put(own.agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "label")).alias("r")).select("doc_id", "r.text", "r.label"), "labelled")
     terms, stems, covered = learn_lexicon(labelled)
     edits, benign = learn_edits(labelled, terms, stems, covered) if terms or stems else ({}, [])
     run = _features(Automaton([*terms, *covered], list(stems), edits=edits, benign=benign), window)
