@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import contracts, ranks, raster, shapes
+from tidemark.operators import contracts, ranks, raster, select_points, shapes
 from tidemark.plans.lines import ADMITTED
 from tidemark.plans.quality import EXPECTED
 
@@ -162,3 +162,36 @@ def test_sweep_on_plain_ground_and_behind_a_wall(spark):
     assert see(wall) == {(r, c) for r, c in disc if c <= 5}
     # on an earth of ten metres' radius the ground is lost to sight within a few metres
     assert max(r * r + c * c for r, c in see(flat, earth=10.0)) < 100
+
+
+def test_thinning_in_rounds_is_the_greedy_fold(spark):
+    rng = random.Random(8)
+    points = [(rng.choice(["a", "b"]), float(rng.randint(0, 40)), float(rng.randint(0, 40))) for _ in range(500)]
+    points += [("line", float(k), 0.0) for k in range(30)]
+    extra = [(rng.choice(["a", "b", "c", "line"]), float(rng.randint(0, 60)), float(rng.randint(0, 60))) for _ in range(60)]
+
+    def greedy(ps, apart, kept=(), most=10**9):
+        out = list(kept)
+        for p in sorted(set(ps)):
+            if len(out) < most and all(math.dist(p, q) >= apart for q in out):
+                out.append(p)
+        return out
+
+    schema = "k string, x double, y double"
+    df, more = spark.createDataFrame(points, schema), spark.createDataFrame(extra, schema)
+    by = lambda rows: {k: sorted((r["x"], r["y"]) for r in rows if r["k"] == k) for k in {r["k"] for r in rows}}
+    own = {k: [(x, y) for g, x, y in points if g == k] for k in ("a", "b", "line")}
+    want = {k: greedy(ps, 3.0) for k, ps in own.items()}
+    thin = select_points.thinned(df, "k", 3.0)
+    assert by(thin.collect()) == {k: sorted(v) for k, v in want.items()}
+    full = select_points.supplemented(thin.filter("k <> 'a'"), more, "k", 5.0, 12)
+    filled = {k: greedy([(x, y) for g, x, y in extra if g == k], 5.0, want.get(k, []) if k != "a" else [], max(12, len(want.get(k, [])) if k != "a" else 0)) for k in ("a", "b", "c", "line")}
+    assert by(full.collect()) == {k: sorted(v) for k, v in filled.items() if v}
+
+    def spread(ps, most):
+        ps, out = sorted(ps), [min(ps)]
+        while len(out) < min(most, len(ps)):
+            out.append(max(ps, key=lambda p: (min(math.dist(p, q) for q in out), -ps.index(p))))
+        return out if len(ps) > most else ps
+
+    assert by(select_points.spread_out(thin, "k", 7).collect()) == {k: sorted(spread(v, 7)) for k, v in want.items()}

@@ -265,8 +265,7 @@ def _thin(points: str, apart: float, start: str = "[]", most: int | None = None)
 @query(f"with {_POINTS}, t as (select park_num, unnest({_thin('p', 150.0)}) as q from p) select park_num, q.x as x, q.y as y from t")
 def sel1_thinned_cells(i: Inputs) -> DataFrame:
     """Cells of each site at least 150 apart, in order of x, y."""
-    p = i.lookup.join(i.cells, "geography").groupBy("park_num").agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    return p.select("park_num", F.explode(SE.thin(F.col("p"), 150.0)).alias("p")).select("park_num", "p.x", "p.y")
+    return SE.thinned(i.lookup.join(i.cells, "geography"), "park_num", 150.0)
 
 
 _GAP = "list_transform(range(1, len(thin) + 1), lambda k: {'gap': list_min(list_transform(acc, lambda q: sqrt(power(q.x - thin[k].x, 2) + power(q.y - thin[k].y, 2)))), 'first': -k, 'p': thin[k]})"
@@ -281,13 +280,47 @@ _FAR = f"case when len(thin) <= 5 then thin else list_reduce(list_transform(rang
 )
 def sel2_sel3_sel5_farthest(i: Inputs) -> DataFrame:
     """At most five spread points a site, filled up to three from all its cells, with a log of what was done."""
-    p = i.lookup.join(i.cells, "geography").groupBy("park_num").agg(F.collect_list(F.struct("x", "y")).alias("p"))
-    thinned = p.withColumn("thin", SE.thin(F.col("p"), 250.0)).withColumn("far", SE.farthest(F.col("thin"), 5))
-    filled = thinned.withColumn("points", SE.supplement(F.col("far"), F.col("p"), 50.0, 3))
-    log = i.sites.select("park_num").join(filled, "park_num", "left")
-    n = F.coalesce(F.size("points"), F.lit(0))
-    total = lambda c: F.coalesce(F.aggregate("points", F.lit(0.0), lambda a, q: a + q[c]), F.lit(0.0)).alias(f"sum_{c}")
-    return log.select("park_num", F.coalesce(F.size("p"), F.lit(0)).alias("candidates"), n.alias("selected"), F.coalesce(F.size("thin") > 5, F.lit(False)).alias("capped"), (n < 3).alias("below_minimum"), F.when(F.col("p").isNull(), "no candidates").when(n < 3, "below minimum").otherwise("ok").alias("note"), total("x"), total("y"))
+    p = G.written(i.lookup.join(i.cells, "geography").select("park_num", "x", "y"), "cells")
+    thinned = G.written(SE.thinned(p, "park_num", 250.0), "thin")
+    points = SE.supplemented(G.written(SE.spread_out(thinned, "park_num", 5), "far"), p, "park_num", 50.0, 3)
+    return selection_log(i.sites, p, thinned, points, 5)
+
+
+def selection_log(sites: DataFrame, all_: DataFrame, thinned: DataFrame, points: DataFrame, most: int) -> DataFrame:
+    """Candidates, choice and what was done for every site; no site's points are gathered."""
+    count = lambda df, name: df.groupBy("park_num").agg(F.count("*").alias(name))
+    chosen = points.groupBy("park_num").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    log = sites.select("park_num").join(count(all_, "c"), "park_num", "left").join(count(thinned, "t"), "park_num", "left").join(chosen, "park_num", "left")
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    n = zero("n", "int")
+    note = F.when(F.col("c").isNull(), "no candidates").when(n < 3, "below minimum").otherwise("ok")
+    return log.select("park_num", zero("c", "int").alias("candidates"), n.alias("selected"), (zero("t", "int") > most).alias("capped"), (n < 3).alias("below_minimum"), note.alias("note"), zero("sum_x", "double").alias("sum_x"), zero("sum_y", "double").alias("sum_y"))
+
+
+_FALLBACK = f"""with c as (select park_num, x, y, cast(geography as bigint) % 40 = 0 as own from v_lookup join v_cells using (geography)),
+a as (select park_num, list_sort(list({{'x': x, 'y': y}}) filter (own)) as own, list_sort(list({{'x': x, 'y': y}}) filter (not own)) as other from c group by park_num),
+b as (select park_num, stop_id, v.x, v.y from v_stops v join v_sites s on sqrt(power(v.x-s.x,2)+power(v.y-s.y,2)) <= 400),
+f as (select park_num, list({{'x': x, 'y': y}} order by stop_id) as stops from b group by park_num),
+j as (select park_num, coalesce(own, []) as own, coalesce(other, []) as other, coalesce(stops, []) as stops from v_sites left join a using (park_num) left join f using (park_num)),
+t as (select *, {_thin('own', 150.0)} as thin from j), u as (select *, {_thin('other', 50.0, 'thin', 3)} as more from t),
+w as (select *, case when len(more) < 3 then least(3 - len(more), len(stops)) else 0 end as added from u),
+x as (select *, case when added = 0 then more else list_sort(list_distinct(list_concat(more, stops[1:added]))) end as joined from w),
+y as (select *, case when added = 0 then more else {_thin('joined', 50.0)} end as points from x)
+select park_num, cast(len(points) as int) as selected, cast(added as bigint) as added, round(coalesce(list_sum(list_transform(points, lambda q: q.x)), 0) + 1e-9, 6) as sum_x, round(coalesce(list_sum(list_transform(points, lambda q: q.y)), 0) + 1e-9, 6) as sum_y from y"""
+
+
+@query(_FALLBACK)
+def sel3_access_fallback(i: Inputs) -> DataFrame:
+    """A fortieth of a site's cells thinned, filled up to three from its other cells, and where these are too few by stops
+    within 400 metres as access points, thinned again; no site keeps more than fifteen."""
+    cells = G.written(i.lookup.join(i.cells, "geography").select("park_num", "x", "y", (F.col("geography").cast("long") % 40 == 0).alias("own")), "cells")
+    stops = S.within(i.stops, i.sites.select("park_num", F.col("x").alias("x2"), F.col("y").alias("y2")), 400.0).select("park_num", "stop_id", "x", "y")
+    more = G.written(SE.supplemented(SE.thinned(cells.filter("own"), "park_num", 150.0), cells.filter("not own"), "park_num", 50.0, 3), "more")
+    full = G.written(SE.with_fallback(more, stops, "stop_id", "park_num", 50.0, 3), "full")
+    points = SE.spread_out(full, "park_num", 15)
+    chosen = points.groupBy("park_num").agg(F.count("*").cast("int").alias("selected"), F.sum("x").alias("sum_x"), F.sum("y").alias("sum_y"))
+    out = i.sites.select("park_num").join(chosen, "park_num", "left").join(full.groupBy("park_num").agg(F.max("added").alias("added")), "park_num", "left")
+    return out.select("park_num", F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("added", F.lit(0).cast("long")).alias("added"), *[X.steady(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("sum_x", "sum_y")])
 
 
 @query()
