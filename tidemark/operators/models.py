@@ -275,16 +275,10 @@ def golden(f, low: float, high: float, rounds: int = 80) -> float:
     return (a + b) / 2
 
 
-def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
-    """y = rho W y + X b by concentrated likelihood: moments of (X, y, Wy) and the spectrum of W are all that it needs."""
-    design = ["intercept", *x]
-    full = df.withColumn("intercept", F.lit(1.0))
-    both = full.join(lag(full.select("id", y), w, y), "id")
-    r = moments(both, [*design, y, f"lag_{y}"]).first()
-    p, n = len(design), r.n
-    m = matrix(r.moments, p + 2)
+def lag_fit(m: np.ndarray, n: int, spectrum: Spectrum) -> dict:
+    """y = rho W y + X b by concentrated likelihood, from the moments of (X, y, Wy)."""
+    p = len(m) - 2
     inv = np.linalg.inv(m[:p, :p])
-    spectrum = spectrum or Spectrum(w)
 
     def at(rho: float) -> tuple[float, np.ndarray, float]:
         xy = m[:p, p] - rho * m[:p, p + 1]
@@ -297,23 +291,24 @@ def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectru
     h = 1e-4
     info = -(at(rho + h)[0] - 2 * at(rho)[0] + at(rho - h)[0]) / h**2
     loglik, beta, s2 = at(rho)
-    direct = spectrum.direct(rho)
-    total = 1 / (1 - rho)
-    impacts = {c: {"direct": b * direct, "total": b * total, "indirect": b * (total - direct)} for c, b in zip(x, beta[1:].tolist())}
     se_rho = 1 / math.sqrt(info) if info > 0 else float("nan")
-    return {"rho": rho, "se_rho": se_rho, "p_rho": normal_tail(rho / se_rho), "beta": beta, "se": np.sqrt(np.diag(inv) * s2), "loglik": loglik, "aic": 2 * (p + 2) - 2 * loglik, "impacts": impacts}
+    return {"rho": rho, "se_rho": se_rho, "p_rho": normal_tail(rho / se_rho), "beta": beta, "se": np.sqrt(np.diag(inv) * s2), "loglik": loglik, "aic": 2 * (p + 2) - 2 * loglik}
 
 
-def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
-    """y = X b + u, u = lambda W u + e: moments of (X, y, WX, Wy) are quadratic in lambda."""
+def spatial_lag_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
+    """The lag model of a table; moments of (X, y, Wy) and the spectrum of W are all that it needs."""
     design = ["intercept", *x]
     full = df.withColumn("intercept", F.lit(1.0))
-    names = [*design, y]
-    both = full.join(lag(full.select("id", *names), w, *names), "id")
-    r = moments(both, [*names, *[f"lag_{c}" for c in names]]).first()
-    q, n = len(names), r.n
-    m = matrix(r.moments, 2 * q)
+    r = moments(full.join(lag(full.select("id", y), w, y), "id"), [*design, y, f"lag_{y}"]).first()
     spectrum = spectrum or Spectrum(w)
+    fit = lag_fit(matrix(r.moments, len(design) + 2), r.n, spectrum)
+    direct, total = spectrum.direct(fit["rho"]), 1 / (1 - fit["rho"])
+    return fit | {"impacts": {c: {"direct": b * direct, "total": b * total, "indirect": b * (total - direct)} for c, b in zip(x, fit["beta"][1:].tolist())}}
+
+
+def error_fit(m: np.ndarray, n: int, spectrum: Spectrum) -> dict:
+    """y = X b + u, u = lambda W u + e, from the moments of (X, y, WX, Wy), which are quadratic in lambda."""
+    q = len(m) // 2
 
     def at(lam: float) -> tuple[float, np.ndarray, float, np.ndarray]:
         g = m[:q, :q] - lam * (m[:q, q:] + m[q:, :q]) + lam * lam * m[q:, q:]
@@ -327,6 +322,15 @@ def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spect
     return {"lambda": lam, "beta": beta, "se": np.sqrt(np.diag(inv) * s2), "loglik": loglik, "aic": 2 * (q + 1) - 2 * loglik}
 
 
+def spatial_error_model(df: DataFrame, w: DataFrame, y: str, x: list[str], spectrum: Spectrum | None = None) -> dict:
+    """The error model of a table."""
+    names = ["intercept", *x, y]
+    full = df.withColumn("intercept", F.lit(1.0))
+    both = full.join(lag(full.select("id", *names), w, *names), "id")
+    r = moments(both, [*names, *[f"lag_{c}" for c in names]]).first()
+    return error_fit(matrix(r.moments, 2 * len(names)), r.n, spectrum or Spectrum(w))
+
+
 def choose_family(candidates: DataFrame) -> DataFrame:
     """outcome, family, aic, moran_p -> the family used: plain least squares if its residuals are clean (p >= .05), else
     the spatial family of least AIC that is clean, else the least AIC."""

@@ -10,6 +10,8 @@ from tidemark.operators import graph as G
 from tidemark.operators import models as M
 from tidemark.operators import panel as P
 from tidemark.operators import spatial as S
+from tidemark.operators import sweeps as SW
+from tidemark.operators import windows as W
 from tidemark.plans.panels import CORR_P
 from tidemark.plans.registry import query
 from tidemark.plans.spatials import _KNN, site_neighbours
@@ -228,3 +230,46 @@ def grf8_smallest_connecting_k(i: Inputs) -> DataFrame:
     """The least number of neighbours, from six on, that connects all sites."""
     found = connecting_k(i.sites.select(F.col("park_num").alias("id"), "x", "y"))
     return i.sites.agg(F.count("*").alias("sites")).withColumn("k", F.lit(found))
+
+
+#: Predictors, and the controls of site type (against beach) and size.
+PREDICTORS = {"shelter": "shelter_expenditures_principal", "low_income": "pct_low_income", "bachelors": "pct_bachelors_and_above", "minority": "pct_visible_minority", "indigenous": "pct_indigenous_identity"}
+TYPES = {"no_beach": "coastal waterfront without beach", "lakefront": "lakefront", "riverfront": "riverfront"}
+OUTCOMES = ["pedestrian", "transit", "visual", "haptic", "physical", "multidimensional"]
+
+
+def access_models(i: Inputs, k: int = 6) -> DataFrame:
+    """All families of the access models: four walk times, six outcomes, with and without controls. A site stands in each
+    walk time's sample by its own number, far from the other samples, so one search finds the neighbours of all."""
+    near = S.within(i.stops, i.sites.select("park_num", F.col("x").alias("x2"), F.col("y").alias("y2")), 1800.0).select("park_num", "distance")
+    times = i.census.select("walktime_min").distinct()
+    stops = near.join(F.broadcast(times)).filter("distance <= 60 * walktime_min").groupBy("park_num", "walktime_min").agg(F.count("*").alias("stops"), F.avg("distance").alias("far"))
+    cells = i.lookup.join(i.cells, "geography").groupBy("park_num").agg(F.count("*").alias("cells"), F.avg(F.col("x") % 97).alias("shade"))
+    base = i.census.filter("hasdata = 1").dropna(subset=list(PREDICTORS.values())).join(i.sites.select("park_num", "site_type", "h", "x", "y"), "park_num")
+    base = base.join(stops, ["park_num", "walktime_min"], "left").join(cells, "park_num", "left")
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    raw = {"pedestrian": zero("stops") + F.col("pct_low_income") / 50, "transit": zero("far"), "visual": zero("shade"), "haptic": zero("cells") / F.col("h")}
+    full = base.select("park_num", "walktime_min", "x", "y", "site_type", F.log(4 * F.col("h") * F.col("h")).alias("log_area"), *[v.alias(n) for n, v in raw.items()], *[F.col(c).alias(n) for n, c in PREDICTORS.items()])
+    full = W.min_max(G.written(full, "raw"), {f"{c}_scaled": c for c in raw}, "walktime_min")
+    full = full.withColumn("physical", (F.col("pedestrian_scaled") + F.col("transit_scaled")) / 2).withColumn("multidimensional", (F.col("physical") + F.col("visual_scaled") + F.col("haptic_scaled")) / 3)
+    scaled = W.z_score(G.written(full, "outcomes"), {f"z_{c}": c for c in [*OUTCOMES, *PREDICTORS, "log_area"]}, "walktime_min")
+    rows = scaled.withColumn("id", F.col("park_num").cast("long") * 100 + F.col("walktime_min")).withColumns({n: (F.col("site_type") == t).cast("double") for n, t in TYPES.items()})
+    rows = G.written(rows.fillna(0.0, subset=[f"z_{c}" for c in OUTCOMES]), "rows")  # a constant outcome
+    places = rows.select("id", (F.col("x") + F.col("walktime_min") * 1e7).alias("x"), "y")
+    w = G.written(M.weights(S.nearest_points(places, k, 1000.0)), "weights")
+    baseline = [f"z_{c}" for c in PREDICTORS]
+    found = SW.family_candidates(rows, w, "walktime_min", [f"z_{c}" for c in OUTCOMES], {"baseline": baseline, "controlled": [*baseline, *TYPES, "z_log_area"]})
+    return found.withColumn("outcome", F.substring("outcome", 3, 99))
+
+
+@query()
+def sta8_access_models(i: Inputs) -> DataFrame:
+    """Every model's size, AIC, residual Moran p and spatial parameter (0 for least squares)."""
+    return access_models(i).select("walktime_min", "outcome", "specification", "family", "n", X.steady(F.col("aic"), 4).alias("aic"), X.steady(F.col("moran_p")).alias("moran_p"), F.nanvl("spatial", F.lit(0.0)).alias("spatial"))
+
+
+@query()
+def sta12_access_families(i: Inputs) -> DataFrame:
+    """The family of each walk time and outcome, chosen from the fits, and again under controls where residuals ask for it."""
+    found = SW.choose_and_recheck(access_models(i), "walktime_min")
+    return found.select("walktime_min", "outcome", "baseline_family", "baseline_reason", "rechecked", "final_family", *[X.steady(F.col(c)).alias(c) for c in ("baseline_p", "controlled_p", "final_p")])
