@@ -67,11 +67,23 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def reach(sources: DataFrame, edges: DataFrame, cutoff: float) -> DataFrame:
+def shortcuts(ways: DataFrame, doublings: int, cutoff: float) -> DataFrame:
+    """u, v, len with the least length of all ways of up to 2 ** doublings edges: each doubling joins the ways to
+    themselves once, for all sources that will use them."""
+    ways = written(ways.groupBy("u", "v").agg(F.min("len").alias("len")), "ways")
+    for _ in range(doublings):
+        on = ways.select(F.col("u").alias("v"), F.col("v").alias("to"), F.col("len").alias("more"))
+        longer = ways.join(on, "v").filter("u <> to").select("u", F.col("to").alias("v"), (F.col("len") + F.col("more")).alias("len")).filter(F.col("len") <= cutoff)
+        ways = written(ways.unionByName(longer).groupBy("u", "v").agg(F.min("len").alias("len")), "ways")
+    return ways
+
+
+def reach(sources: DataFrame, edges: DataFrame, cutoff: float, doublings: int = 2) -> DataFrame:
     """sources: source, node, dist; edges: u < v, len -> least distance of every node within cutoff of a source.
 
-    All sources advance together; a round joins only what has improved and keeps what beats the known distance."""
-    ways = written(both_ways(edges), "ways")
+    All sources advance together; a round joins only what has improved and keeps what beats the known distance. A round
+    steps along shortcuts of up to 2 ** doublings edges, so there are as many rounds as the longest path has of these."""
+    ways = shortcuts(both_ways(edges), doublings, cutoff)
     knowns, fronts = Rounds(edges.sparkSession, "known"), Rounds(edges.sparkSession, "front")
     known = knowns.put(sources.groupBy("source", "node").agg(F.min("dist").alias("dist")))
     front = known

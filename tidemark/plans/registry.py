@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from tidemark.plans import exchange, lines, models, panels, parks, quality, scores, spatials, tabular  # noqa: F401
+    from tidemark.plans import catchments, exchange, lines, models, panels, parks, quality, scores, spatials, tabular  # noqa: F401
 
 
 load()
