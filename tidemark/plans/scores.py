@@ -80,6 +80,18 @@ def cmp5_cmp6_proxy_ratios(i: Inputs) -> DataFrame:
     return segments(i).groupBy("park_num").agg(X.steady(part((gentle | F.col("beach")) & ~F.col("barrier"))).alias("unobstructed_ratio"), X.steady(part(F.col("barrier"))).alias("barrier_ratio"))
 
 
+_SEGMENTS = "(select cast(u % 97 as int) as park_num, 20.0e0 + (u % 5) as length, case when (u + v) % 13 = 0 then null else cast((u*7 + v) % 12 as double) end as slope, (u % 4 = 0) as beach, (v % 3 = 0) as barrier from v_network)"
+
+
+@query(f"select park_num, count(*) as segments, count(*) filter (where slope <= 5.710593137499643) as gentle_segments, {R.format('count(*) filter (where slope <= 5.710593137499643)*1.0e0/count(*)')} as gentle_segment_ratio, {R.format('coalesce(sum(length) filter (where slope <= 5.710593137499643), 0)/sum(length)')} as gentle_length_ratio from {_SEGMENTS} s group by park_num")
+def cmp5_gentle_ratios(i: Inputs) -> DataFrame:
+    """The terrain proxy itself: shares of a site's shore with a slope of at most one in ten, by pieces and by length."""
+    gentle = F.coalesce(F.col("slope") <= F.degrees(F.atan(F.lit(0.10))), F.lit(False))
+    sums = segments(i).groupBy("park_num").agg(F.count("*").alias("segments"), F.count_if(gentle).alias("gentle_segments"), F.sum(F.when(gentle, F.col("length")).otherwise(0.0)).alias("gentle"), F.sum("length").alias("length"))
+    share = {"gentle_segment_ratio": X.ratio_or_zero(F.col("gentle_segments"), F.col("segments")), "gentle_length_ratio": X.ratio_or_zero(F.col("gentle"), F.col("length"))}
+    return sums.select("park_num", "segments", "gentle_segments", *[X.steady(c).alias(n) for n, c in share.items()])
+
+
 #: Income brackets of the fixture: whole numbers, some missing.
 BRACKETS = range(1, 9)
 _BRACKET = "case when hasdata = 1 and (park_num + walktime_min + {k}) % 5 <> 0 then cast((park_num*({k} + 2) + walktime_min) % 40 as double) end"

@@ -338,6 +338,26 @@ def geo1_round_trip(i: Inputs) -> DataFrame:
     return there.select("park_num", "lon", "lat", F.hypot(x - F.col("x"), y - F.col("y")).alias("moved"))
 
 
+_F = 1 / 298.257222101
+_N = _F / (2 - _F)
+_BIG = 0.9996 * 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440, 17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280)
+# the twin finds the latitude from the conformal one by fixed-point steps instead of the second series
+_STEP = "2*atan(tan(pi()/4 + chi/2) * power((1 + e*sin({p}))/(1 - e*sin({p})), e/2)) - pi()/2"
+_LONLAT = f"""with s as (select park_num, (y + 5450000)/{_BIG!r}::double as xi, (x + 480000 - 500000)/{_BIG!r}::double as eta, sqrt({_F!r}::double*(2 - {_F!r}::double)) as e from v_sites),
+t as (select *, xi {" ".join(f"- {b!r}::double*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, b in enumerate(_BETA, 1))} as u, eta {" ".join(f"- {b!r}::double*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, b in enumerate(_BETA, 1))} as v from s),
+c as (select *, asin(sin(u)/cosh(v)) as chi from t), p1 as (select *, {_STEP.format(p="chi")} as a from c),
+p2 as (select *, {_STEP.format(p="a")} as b from p1), p3 as (select *, {_STEP.format(p="b")} as d from p2), p4 as (select *, {_STEP.format(p="d")} as f from p3), p5 as (select *, {_STEP.format(p="f")} as g from p4)
+select park_num, round(degrees(atan2(sinh(v), cos(u))) - 123 + 1e-9, 6) as lon, round(degrees(g) + 1e-9, 6) as lat from p5"""
+
+
+@query(_LONLAT)
+def geo1_lonlat(i: Inputs) -> DataFrame:
+    """Sites as longitude and latitude."""
+    lon, lat = S.to_lonlat(F.col("x") + 480000, F.col("y") + 5450000)
+    return i.sites.select("park_num", X.steady(lon).alias("lon"), X.steady(lat).alias("lat"))
+
+
 _SHAPES = "select park_num, case park_num % 6 when 0 then null when 1 then 'Point' else 'Polygon' end as kind, case park_num % 5 when 0 then 2 when 1 then 4 when 2 then null else 5 end as vertices, case park_num % 3 when 0 then 'Keep' when 1 then 'KEEP' else 'remove' end as decision from v_sites"
 
 
