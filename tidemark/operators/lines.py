@@ -42,3 +42,16 @@ def chains(edges: DataFrame) -> DataFrame:
     links = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("u"), F.max("id").alias("v")).filter("n = 2 and u <> v")
     labels = connected(links.select("u", "v", F.lit(1.0).alias("len")))
     return edges.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
+
+
+def noded(lines: DataFrame, size: float, tolerance: float = 1e-6) -> DataFrame:
+    """Linework without crossings and overlaps: segments cut where they cross others and where ends of others lie on them,
+    so that what two segments share, in one direction or against it, becomes equal pieces; each stays once, from its
+    smaller end (by x, then y), under the smallest id."""
+    ends = lines.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(lines.select("bx", "by")).distinct()
+    places = crossing_places(lines, size).unionByName(near_point_places(lines, ends, tolerance)).distinct()
+    pieces = split_at(lines, places)
+    turned = (F.col("bx") < F.col("ax")) | ((F.col("bx") == F.col("ax")) & (F.col("by") < F.col("ay")))
+    end = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)
+    one = pieces.select("id", end("ax", "bx"), end("ay", "by"), end("bx", "ax"), end("by", "ay"))
+    return one.groupBy("ax", "ay", "bx", "by").agg(F.min("id").alias("id")).select("id", "ax", "ay", "bx", "by")

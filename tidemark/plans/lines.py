@@ -62,6 +62,23 @@ def geo6_geo7_noded_lines(i: Inputs) -> DataFrame:
     return L.split_at(lines, places)
 
 
+_OVERLAPS = """with s as (select u*100000+v as id, ux as ax, uy as ay, vx as bx, vy as "by" from v_network),
+l as (select * from s union all select -id, bx + 50, "by", ax + 30, ay from s where id % 5 = 0 and ay = "by"),
+e as (select ax as x, ay as y from l union select bx, "by" from l),
+c as (select id, x, y from l join e on x between least(ax, bx) and greatest(ax, bx) and y between least(ay, "by") and greatest(ay, "by")),
+p as (select id, x as ax, y as ay, lead(x) over w as bx, lead(y) over w as "by" from c window w as (partition by id order by x, y))
+select min(id) as id, ax, ay, bx, "by" from p where bx is not null group by ax, ay, bx, "by"
+"""
+
+
+@query(_OVERLAPS)
+def geo6_overlaps(i: Inputs) -> DataFrame:
+    """Streets and, over some of them and their neighbours, others in the opposite direction that begin and end midway."""
+    s = streets(i).select("id", "ax", "ay", "bx", "by")
+    over = s.filter("id % 5 = 0 and ay = by").select((-F.col("id")).alias("id"), (F.col("bx") + 50).alias("ax"), F.col("by").alias("ay"), (F.col("ax") + 30).alias("bx"), F.col("ay").alias("by"))
+    return L.noded(s.unionByName(over), 200.0)
+
+
 _CHAINS = """with recursive n as (select u*100000+v as id, u as node from v_network union all select u*100000+v, v from v_network),
 l as (select min(id) as a, max(id) as b from n group by node having count(*) = 2 and min(id) <> max(id)), e as (select a, b from l union all select b, a from l),
 c as (select a as id, a as chain from e union select e.b, c.chain from c join e on e.a = c.id)
