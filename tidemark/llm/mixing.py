@@ -11,8 +11,8 @@ keeps the taken words near the target. Ranks need no window over a source: size
 groups, whose counts (a bounded table per source) are summed, and ranks run inside a group. The number of stripes follows
 the number of rows (``ROWS`` to a stripe, powers of two), so that no group of a hot source outgrows a task. An id that
 several rows hold, null among them, would be one stripe: its rows are dealt on by a hash of all their columns, and rows
-that are equal in all columns one by one, for which they are numbered within the parts of the stored table and by the
-counts of the parts before. The order inside a group ends with that hash, so only rows that are equal in all columns can
+that are equal in all columns one by one, for which they are stored apart and numbered in parts, from the counts of the
+parts before. The order inside a group ends with that hash, so only rows that are equal in all columns can
 change places, and a rerun over other files or another order takes the same rows.
 
 Null texts and texts without words have size 0 and are never taken; a null source is a source; null or repeated ids and
@@ -54,12 +54,17 @@ def targets(sized: DataFrame, most: int = MOST) -> DataFrame:
     return tried.select("source_key", "source_size", F.least("cap", F.col("weight") * share).alias("target"))
 
 
-def _shared(work: DataFrame, store: Store) -> DataFrame:
-    """row, step of the rows whose id others hold too: how many stripes further they are dealt."""
-    many = work.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("many"))
-    rows = work.select("row", "id", "whole", F.pmod(F.xxhash64("row"), F.lit(PARTS)).alias("part")).join(many, F.col("id").eqNullSafe(F.col("many")), "left_semi")
-    numbers = numbered(store.put(rows.select("row", "whole", "part"), "shared"))
-    return numbers.select("row", (F.pmod("whole", F.lit(MOST_STRIPES)) + F.col("number")).alias("step"))
+def _dealt(work: DataFrame, store: Store) -> DataFrame:
+    """work with step: how many stripes further a row is dealt than its id says. 0 where no other row has the id; else by
+    all its columns; rows that are equal in all columns are stored apart and numbered."""
+    ids = store.put(work.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("many"), F.lit(True).alias("shared")), "ids")
+    known = work.join(ids, F.col("id").eqNullSafe(F.col("many")), "left").drop("many")
+    same = store.put(known.filter("shared").groupBy("whole").agg(F.count("*").alias("n")).filter("n > 1").select("whole"), "same")
+    equal = known.join(same, "whole", "left_semi").withColumn("row", F.monotonically_increasing_id())
+    equal = store.put(equal.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(PARTS))), "equal")
+    equal = equal.join(numbered(equal.select("row", "whole", "part")).select("row", "number"), "row").drop("row", "part")
+    all_ = known.join(same, "whole", "left_anti").withColumn("number", F.lit(0).cast("long")).unionByName(equal)
+    return all_.withColumn("step", F.when(F.col("shared"), F.pmod("whole", F.lit(MOST_STRIPES)) + F.col("number")).otherwise(0)).drop("shared", "number")
 
 
 def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -76,10 +81,8 @@ def mix_sources(docs: DataFrame, most: int = MOST, stripes: int = STRIPES, seed:
     bits = F.length(F.bin("size")).cast("long")
     middle = F.expr("shiftleft(1L, cast(2 * length(bin(size)) - 1 as int))")
     work = work.withColumn("band", F.when(F.col("size") == 0, -1).otherwise(2 * bits + F.when(F.col("size") * F.col("size") >= middle, 1).otherwise(0)).cast("int"))
-    work = store.put(work.withColumn("row", F.monotonically_increasing_id()), "work")
     own = _md5_number(F.coalesce(F.col("id").cast("string"), F.lit("")), 4)
-    dealt = store.put(_shared(work, store), "dealt")
-    work = work.join(dealt, "row", "left").withColumn("stripe", F.pmod(own + F.coalesce("step", F.lit(0)), F.lit(stripes)).cast("int")).drop("row", "step")
+    work = _dealt(work, store).withColumn("stripe", F.pmod(own + F.col("step"), F.lit(stripes)).cast("int")).drop("step")
     groups = store.put(work.groupBy("source_key", "band", "stripe").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("source").alias("source")), "groups")
     goals = targets(groups)
     along = Window.partitionBy("source_key").orderBy("band", "stripe")
