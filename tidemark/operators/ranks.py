@@ -71,8 +71,10 @@ def lowest_from(values: DataFrame, of: Column, name: str, value: str, *by: str)
     return full.withColumn(name, F.least("__here", "__later")).drop("__of", "__here", "__later")
 
 
-def adjusted(df: DataFrame, p: str, *by: str, name: str = "q") -> DataFrame:
-    """df with Benjamini-Hochberg q-values of a family: p * n / rank, made monotone from the largest p down, 1 at most."""
+def adjusted(df: DataFrame, p: str, *by: str, name: str = "q", ties: str = "max") -> DataFrame:
+    """df with Benjamini-Hochberg q-values of a family: p * n / rank, made monotone from the largest p down, 1 at most.
+    Equal p take their last place ("max", as p.adjust in R) or their first ("min", as SQL's rank(): never smaller)."""
     c = counted(df.select(*by, F.col(p).alias("__v")), "__v", *by)
-    q = lowest_from(c, F.col("__v") * F.col("total") / (F.col("before") + F.col("n")), "__q", "__v", *by)
+    place = F.col("before") + {"max": F.col("n"), "min": F.lit(1)}[ties]
+    q = lowest_from(c, F.col("__v") * F.col("total") / place, "__q", "__v", *by)
     return join_by(df, q.select(*by, F.col("__v").alias(p), F.least(F.lit(1.0), "__q").alias(name)), [*by, p], "left")
