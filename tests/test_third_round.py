@@ -3,7 +3,10 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from tests.test_queries import plain
+from tidemark.operators import lines, spatial
 from tidemark.plans.registry import ORACLES, QUERIES
 
 
@@ -38,3 +41,22 @@ def test_many_access_points(spark, tmp_path):
     part = "select k::bigint as p_partkey from range(0, 280000) r(k) where k % 40 = 0"
     customer = "select k::bigint as c_custkey, (k % 25)::int as c_nationkey from range(0, 300) r(k)"
     same(spark, made(tmp_path, supplier=SUPPLIER.format("6, 13, 27"), part=part, customer=customer), "sel3_access_fallback")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["jn23_visible_area_mask", "agg20_agg21_zonal"])
+def test_discs_are_not_broadcast(spark, name):
+    """Observers are few bytes before an explode makes thousands of rows of each."""
+    assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_pieces_of_lines_are_not_broadcast(spark):
+    streets = spark.range(50).select("id", (F.col("id") * 100.0).alias("ax"), F.lit(0.0).alias("ay"), (F.col("id") * 100.0 + 150).alias("bx"), F.lit(0.0).alias("by"))
+    ends = streets.select(F.col("ax").alias("x"), F.col("ay").alias("y"))
+    near = spatial.points_near_segments(ends, streets, 1e-6, 200.0)
+    assert "BroadcastHashJoin" not in plan(near) and near.count() == 99  # its own start, and the start after it
+    assert "BroadcastHashJoin" not in plan(lines.crossing_places(streets, 200.0))
+    assert lines.noded(streets, 200.0).count() == 99  # cut at each start and end

@@ -15,9 +15,9 @@ def crossing_places(lines: DataFrame, size: float) -> DataFrame:
     return crossings(lines, others, size).filter("id <> other").select("id", F.round("t", 9).alias("t")).distinct()
 
 
-def near_point_places(lines: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
+def near_point_places(lines: DataFrame, points: DataFrame, tolerance: float, size: float | None = None) -> DataFrame:
     """id, t: where points (x, y) within the tolerance fall on segments, not counting their ends."""
-    near = points_near_segments(points, lines, tolerance)
+    near = points_near_segments(points, lines, tolerance, size)
     length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
     return near.filter((F.col("t") * length > tolerance) & ((1 - F.col("t")) * length > tolerance)).select("id", F.round("t", 9).alias("t")).distinct()
 
@@ -49,7 +49,7 @@ def noded(lines: DataFrame, size: float, tolerance: float = 1e-6) -> DataFrame:
     so that what two segments share, in one direction or against it, becomes equal pieces; each stays once, from its
     smaller end (by x, then y), under the smallest id."""
     ends = lines.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(lines.select("bx", "by")).distinct()
-    places = crossing_places(lines, size).unionByName(near_point_places(lines, ends, tolerance)).distinct()
+    places = crossing_places(lines, size).unionByName(near_point_places(lines, ends, tolerance, size)).distinct()
     pieces = split_at(lines, places)
     turned = (F.col("bx") < F.col("ax")) | ((F.col("bx") == F.col("ax")) & (F.col("by") < F.col("ay")))
     end = lambda a, b: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.spatial import meet
+
 
 def sample(points: DataFrame, cells: DataFrame, size: float, *values: str) -> DataFrame:
     """The cell under each point: one equi join."""
@@ -29,12 +31,15 @@ def slope(cells: DataFrame, size: float, value: str = "elev") -> DataFrame:
 
 
 def cells_within(observers: DataFrame, cells: DataFrame, size: float, radius: float) -> DataFrame:
-    """Cells whose centre is within radius of an observer (x, y): the disc's cells are listed, then joined by key."""
-    n = int(radius // size) + 1
-    row, col = F.floor(F.col("y") / size).cast("int"), F.floor(F.col("x") / size).cast("int")
-    disc = observers.withColumn("r", F.explode(F.sequence(row - n, row + n))).withColumn("c", F.explode(F.sequence(col - n, col + n)))
+    """Cells whose centre is within radius of an observer (x, y): both meet by blocks of cells, a fifth of the radius wide,
+    and the pairs are made in the join; no disc is listed."""
+    wide = max(1, int(radius // size) // 5)
+    block = lambda v: F.floor(v / (size * wide)).cast("int")
+    reach = lambda c: F.explode(F.sequence(block(F.col(c) - radius), block(F.col(c) + radius)))
+    held = cells.withColumn("br", F.floor(F.col("r") / wide).cast("int")).withColumn("bc", F.floor(F.col("c") / wide).cast("int"))
+    pairs = meet(observers.withColumn("br", reach("y")).withColumn("bc", reach("x")), held, ["br", "bc"]).drop("br", "bc")
     d = F.hypot((F.col("c") + 0.5) * size - F.col("x"), (F.col("r") + 0.5) * size - F.col("y"))
-    return disc.withColumn("distance", d).filter(F.col("distance") <= radius).join(cells, ["r", "c"])
+    return pairs.withColumn("distance", d).filter(F.col("distance") <= radius)
 
 
 #: Cells a tile has on a side.
