@@ -60,3 +60,24 @@ def test_pieces_of_lines_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(near) and near.count() == 99  # its own start, and the start after it
     assert "BroadcastHashJoin" not in plan(lines.crossing_places(streets, 200.0))
     assert lines.noded(streets, 200.0).count() == 99  # cut at each start and end
+
+
+def test_hours_of_squares(spark):
+    """Sums over squares are those of the join: cells of two sites, of two places, of none; repeated rows, missing values."""
+    import datetime
+
+    from tidemark.operators import panel
+
+    day = datetime.date
+    cells = spark.createDataFrame([("a", 0.0, 0.0), ("a", 1.0, 1.0), ("b", 10.0, 0.0), ("b", 10.0, 0.0), ("c", 900.0, -900.0), ("d", 5.0, 5.0), ("e", None, 1.0)], "geography string, x double, y double")
+    sites = spark.createDataFrame([(1, 0.0, 0.0, 10.0), (2, 8.0, 2.0, 5.0), (3, -500.0, 0.0, 20.0), (4, 0.0, 0.0, 0.0), (5, 899.5, -900.0, 1.0), (6, None, 0.0, 3.0)], "park_num int, x double, y double, h double")
+    activity = [(g, day(2023, m, 1) if m else None, d, t, v) for g in "abcde" for m in (1, 2, None) for d in (0, 1) for t in (5, 6, 20, 21) for v in (0.5, m and 1.25 * m, 0.125)]
+    activity = spark.createDataFrame(activity, "geography string, start_date date, agg_day_period int, agg_time_period int, activity_index_total double")
+    want = panel.site_hours(activity, spatial.points_in_polygons(cells.filter("x is not null").distinct(), spatial.site_rings(sites.filter("x is not null"))).select("park_num", "geography"))
+    got = panel.square_hours(activity, cells, sites, 3)
+    assert got.columns == want.columns
+    rows = lambda df: sorted(map(repr, df.collect()))
+    both = rows(got)
+    # a cell of two places in one site is two records of the join each time
+    assert both and both == rows(want)
+    assert {r.park_num for r in got.collect()} == {1, 2, 5}
