@@ -81,3 +81,13 @@ def test_hours_of_squares(spark):
     # a cell of two places in one site is two records of the join each time
     assert both and both == rows(want)
     assert {r.park_num for r in got.collect()} == {1, 2, 5}
+
+
+def test_neighbours_of_dense_points(spark):
+    """Two hundred points in one bucket of the size given: few pairs are made, and the nearest are right."""
+    import math
+
+    points = {k: (k * 37 % 101 * 1.0, k * 53 % 97 * 1.0) for k in range(200)} | {1000: (5e5, 5e5)}
+    got = spatial.nearest_points(spark.createDataFrame([(k, *p) for k, p in points.items()], "id long, x double, y double"), 3, 1000.0).collect()
+    want = {(i, j, r + 1) for i in points for r, (_, j) in enumerate(sorted((math.dist(points[i], points[j]), j) for j in points if j != i)[:3])}
+    assert {(r.i, r.j, r["rank"]) for r in got} == want
