@@ -91,3 +91,29 @@ def test_neighbours_of_dense_points(spark):
     got = spatial.nearest_points(spark.createDataFrame([(k, *p) for k, p in points.items()], "id long, x double, y double"), 3, 1000.0).collect()
     want = {(i, j, r + 1) for i in points for r, (_, j) in enumerate(sorted((math.dist(points[i], points[j]), j) for j in points if j != i)[:3])}
     assert {(r.i, r.j, r["rank"]) for r in got} == want
+
+
+def test_lookup_checks_with_repeated_keys(spark, tmp_path):
+    """Pairs repeat where a site or a cell has several rows; sites of 1 to 600 metres, some without cells."""
+    part = "select k::bigint as p_partkey from range(0, 6000) r(k) where k % 3 <> 1 union all select k from range(0, 600) r(k) where k % 50 = 0"
+    supplier = "select * from (" + SUPPLIER.format(", ".join(map(str, [*range(60), 6, 13, 27, 27]))) + ")"
+    same(spark, made(tmp_path, supplier=supplier, part=part), "cmp11_lookup_tables")
+
+
+def test_squares_are_counted_without_pairs(spark):
+    """Of two thousand cells in each of twenty overlapping squares no pair is a row."""
+    from tidemark.operators import scores, squares
+
+    cells = spark.range(2000).select(F.lpad(F.col("id").cast("string"), 10, "0").alias("geography"), (F.col("id") % 50 / 10).alias("x"), F.floor(F.col("id") / 50).cast("double").alias("y"))
+    sites = spark.range(1, 21).select(F.col("id").cast("int").alias("park_num"), F.lit(0.0).alias("x"), F.lit(20.0).alias("y"), (F.col("id") + 49.0).alias("h"))
+    assert squares.counts(cells, sites).count() < 2000 * 20 / 2
+    got = {(r.report, r.item): r.value for r in scores.square_checks(cells, sites).collect()}
+    assert got["matches", "pairs"] == 40_000 and got["cells in several sites", "0000000007"] == 20 and got["cells per site", "median"] == 2000
+    few = squares.by_tile(cells.select("x", "y"), sites, squares_seen, "n int", most=3).collect()
+    assert sum(r.n for r in few) == 20 and len(few) > 5  # chunks of a tile share its squares out
+
+
+def squares_seen(points, squares):
+    import pyarrow as pa
+
+    return pa.table({"n": pa.array([squares.num_rows], pa.int32())})

@@ -37,7 +37,7 @@ from tidemark.sources.fixtures import Inputs
 def cmp11_lookup_tables(i: Inputs) -> DataFrame:
     """The five checks of a cell lookup in one long table: matches, cells per site, sites without cells, cells of several
     sites, repeated pairs."""
-    return SC.lookup_checks(i.lookup, i.sites, "park_num", "geography")
+    return SC.square_checks(i.cells, i.sites)
 
 
 _LONG = " union all ".join(f"select park_num, walktime_min, '{a}' as first, '{b}' as second, {a} as x, {b} as y from v_census where hasdata = 1" for a, b in _PAIRS)
