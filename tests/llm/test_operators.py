@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bwt, lattice, packing, private, toxicity
+from tidemark.llm import bwt, cotraining, lattice, packing, private, toxicity
 from tidemark.llm.components import components
 from tidemark.llm.cotraining import quality_scores
 from tidemark.llm.lattice import embedding_links
@@ -555,6 +555,20 @@ def test_quality(spark, docs, none):
     assert all(r.q_kept and r.q_score == 0.5 for r in quality_scores(d, l.limit(0)).collect())
 
 
+def test_quality_labels_not_broadcast(spark, docs, monkeypatch):
+    """Labels dealt to their parts are more rows than Spark's size check expects: they are never broadcast."""
+    plans, put = {}, cotraining.Store.put
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(self, df, name)
+
+    monkeypatch.setattr(cotraining.Store, "put", seen)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 6)], "doc_id long, quality int")
+    assert quality_scores(docs, labels).count() == docs.count()
+    assert "LeftAnti" in plans["pool"] and "BroadcastHashJoin" not in plans["pool"], plans["pool"]
+
+
 def test_quality_held_out(spark):
     """Accuracy on labelled rows whose crc32(doc_id) mod 4 is 2, with all other labels to learn from."""
     where = "/root/testdata/sf0.01"

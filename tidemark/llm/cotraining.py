@@ -238,7 +238,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
     found = own.agg(F.min(F.struct(F.xxhash64("text_x", "meta_x").alias("h"), "text_x", "meta_x", "label")).alias("r")).select("doc_id", "r.*")
     known = found.select("label", "meta_x", "text_x", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(4)).alias("fold")).toPandas()
     dealt = marks.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    free = seen.filter("doc_id is not null").join(dealt, ["doc_id", "salt"], "left_anti").select("text_x", "meta_x").unionByName(seen.filter("doc_id is null").select("text_x", "meta_x"))
+    # Spark's size check knows nothing of the explode, so the dealt labels would be broadcast; rows are sorted and merged
+    free = seen.filter("doc_id is not null").join(dealt.hint("merge"), ["doc_id", "salt"], "left_anti").select("text_x", "meta_x").unionByName(seen.filter("doc_id is null").select("text_x", "meta_x"))
     zero = [np.zeros(WIDTH + 1), np.zeros(1 + SOURCES + LANGS + 1)]
     last = np.zeros(3)
     if len(known) and known.label.nunique() == 2:
