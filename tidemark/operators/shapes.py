@@ -8,7 +8,8 @@ Cover. A cell of the grid is a border cell of a shape if a side comes near it, a
 its reference point is inside; it is an inner cell if no side does and that point is inside. Points in inner cells are
 settled by the join alone. In border cells a point is inside as its cell's reference point is, turned by each side that
 crosses the way between the two, which stays in the cell. Reference points come row by row from the sorted crossings of
-one scan line a row; they lie a little off the middle, so that they are on no side of round coordinates.
+one scan line a row; they lie a little off the middle, by two amounts whose ratio to each other and to 1 is irrational,
+so that no side between round coordinates goes through one, whether upright, level or slanted.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import graph as G
 from tidemark.operators import spatial as S
 
-#: Place of a cell's reference point, in cells.
-OFF = 0.5 + 0.041421356
+#: Place of a cell's reference point along x and y, in cells: the middle and tenths of parts of the roots of 2 and 3.
+OFF_X, OFF_Y = 0.5 + 0.041421356237309515, 0.5 + 0.07320508075688772
 SIDE = ("ax", "ay", "bx", "by")
 
 
@@ -79,19 +81,21 @@ def cover(borders: DataFrame, key: str, size: float, halo: float = 0.0) -> tuple
     x0, x1, slack = ax + t0 * (bx - ax), ax + t1 * (bx - ax), halo + size * 1e-9
     touched = rows.withColumn("gx", F.explode(S.spread(F.least(x0, x1) - slack, F.greatest(x0, x1) + slack, size)))
     border = touched.groupBy(key, "gx", "gy").agg(F.collect_list(F.struct(*SIDE)).alias("sides"))
-    level = (F.col("gy") + OFF) * size
+    level = (F.col("gy") + OFF_Y) * size
     lines = borders.withColumn("gy", F.explode(S.spread(F.least(ay, by) - size, F.greatest(ay, by), size))).filter((ay > level) != (by > level))
-    hits = lines.select(key, "gy", ((ax + (level - ay) * (bx - ax) / (by - ay)) / size - OFF).alias("at"))
+    hits = lines.select(key, "gy", ((ax + (level - ay) * (bx - ax) / (by - ay)) / size - OFF_X).alias("at"))
     line = Window.partitionBy(key, "gy").orderBy("at")
     spans = hits.withColumn("k", F.row_number().over(line)).withColumn("to", F.lead("at").over(line)).filter("k % 2 = 1")
     spans = spans.select(key, "gy", F.ceil("at").alias("low"), F.floor("to").alias("high")).filter("low <= high")
     odd = spans.select(key, F.explode(F.sequence("low", "high")).alias("gx"), "gy", F.lit(1).alias("odd"))
     on = [key, "gx", "gy"]
-    return border.join(odd, on, "left").select(*on, F.coalesce("odd", F.lit(0)).alias("odd"), "sides"), odd.join(border.select(*on), on, "left_anti").select(*on)
+    # exploded rows are merged, never broadcast
+    return border.join(odd.hint("merge"), on, "left").select(*on, F.coalesce("odd", F.lit(0)).alias("odd"), "sides"), odd.join(border.select(*on).hint("merge"), on, "left_anti").select(*on)
 
 
-def _in_border_cell(x: Column, y: Column, size: float, near: float | None) -> Column:
-    rx, ry = (F.col("gx") + OFF) * size, (F.col("gy") + OFF) * size
+def _in_border_cell(x: Column, y: Column, size: float, near: float | None, one: bool = False) -> Column:
+    """one: cells of one side, whose coordinates are columns; the test of these is plain arithmetic."""
+    rx, ry = (F.col("gx") + OFF_X) * size, (F.col("gy") + OFF_Y) * size
 
     def crosses(e: Column) -> Column:
         xc = e["ax"] + (y - e["ay"]) * F.try_divide(e["bx"] - e["ax"], e["by"] - e["ay"])
@@ -100,18 +104,23 @@ def _in_border_cell(x: Column, y: Column, size: float, near: float | None) -> Co
         up = ((e["ax"] > rx) != (e["bx"] > rx)) & ((yc > y) != (yc > ry))
         return F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int")
 
-    odd = F.aggregate("sides", F.col("odd"), lambda acc, e: acc + crosses(e)) % 2 == 1
+    only = {c: F.col(c) for c in SIDE}
+    some = lambda test: test(only) if one else F.exists("sides", test)
+    odd = (F.col("odd") + crosses(only) if one else F.aggregate("sides", F.col("odd"), lambda acc, e: acc + crosses(e))) % 2 == 1
     cross = lambda e: (e["bx"] - e["ax"]) * (y - e["ay"]) - (e["by"] - e["ay"]) * (x - e["ax"])
-    on = F.exists("sides", lambda e: (cross(e) == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
+    on = some(lambda e: (cross(e) == 0) & x.between(F.least(e["ax"], e["bx"]), F.greatest(e["ax"], e["bx"])) & y.between(F.least(e["ay"], e["by"]), F.greatest(e["ay"], e["by"])))
     if near is None:
         return odd & ~on
-    return odd | F.exists("sides", lambda e: S.point_segment(x, y, *[e[c] for c in SIDE])[0] < near)
+    return odd | some(lambda e: S.point_segment(x, y, *[e[c] for c in SIDE])[0] < near)
 
 
 def points_in_shapes(points: DataFrame, borders: DataFrame, key: str, near: float | None = None, size: float = 500.0) -> DataFrame:
     """points: x, y, ... -> all pairs of a point and the key of a shape that it is inside of, or nearer to than ``near``."""
     border, inner = cover(borders, key, size, near or 0.0)
+    border = G.written(border, "border")
     at = points.withColumn("gx", S.bucket(F.col("x"), size)).withColumn("gy", S.bucket(F.col("y"), size))
-    settled = at.join(inner, ["gx", "gy"])
-    tested = at.join(border, ["gx", "gy"]).filter(_in_border_cell(F.col("x"), F.col("y"), size, near)).drop("odd", "sides")
-    return settled.unionByName(tested).drop("gx", "gy")
+    x, y, on = F.col("x"), F.col("y"), ["gx", "gy"]
+    one = border.filter(F.size("sides") == 1).select(key, *on, "odd", *[F.col("sides")[0][c].alias(c) for c in SIDE])
+    tested = S.meet(at, one, on).filter(_in_border_cell(x, y, size, near, True)).drop("odd", *SIDE)
+    mixed = S.meet(at, border.filter(F.size("sides") > 1), on).filter(_in_border_cell(x, y, size, near)).drop("odd", "sides")
+    return S.meet(at, inner, on).unionByName(tested).unionByName(mixed).drop(*on)
